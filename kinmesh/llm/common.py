@@ -70,3 +70,29 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     """The texts of a batch, nulls as empty texts."""
     return [t if t is not None else "" for t in batch.column(column).to_pylist()]
+
+
+def annotate(docs: DataFrame, fields: dict[str, str], func, text: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """Adds columns that ``func(list of texts)`` computes, a list or array for each of ``fields`` (name: Spark type).
+
+    ``carry`` names the input columns to keep (all by default); one that has the name of a result is replaced by it.
+    Null texts reach ``func`` as None. Nothing is shuffled.
+    """
+    from pyspark.sql import types as T
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    short_batches(docs.sparkSession)
+    results = {name.lower() for name in fields}
+    own = [c for c in (docs.columns if carry is None else carry) if c.lower() not in results]
+    source = docs.select(*[F.col(f"`{c}`") for c in own], F.col(f"`{text}`").alias("__text"))
+    kinds = {name: T._parse_datatype_string(kind) for name, kind in fields.items()}
+    schema = T.StructType([*source.schema.fields[:-1], *[T.StructField(name, kind) for name, kind in kinds.items()]])
+    arrow = [to_arrow_type(kind) for kind in kinds.values()]
+    names = [*own, *fields]
+
+    def run(batches):
+        for batch in chunks(batches, "__text"):
+            made = func(batch.column("__text").to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *[pa.array(x, type=kind) for x, kind in zip(made, arrow, strict=True)]], names=names)
+
+    return source.mapInArrow(run, schema)

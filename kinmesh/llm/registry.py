@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinmesh.llm import quality_rules
+from kinmesh.llm import language_id, quality_rules, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {"op3_quality_rules": quality_rules.op3_quality_rules}
+    return {
+        "op1_language_id": language_id.op1_language_id,
+        "op3_quality_rules": quality_rules.op3_quality_rules,
+        "op6_token_counts": token_counts.op6_token_counts,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
