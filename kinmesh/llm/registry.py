@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinmesh.llm import language_id, quality_rules, token_counts
+from kinmesh.llm import language_id, packing, quality_rules, token_counts, topk_search
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,9 +15,14 @@ def queries() -> dict[str, Query]:
     return {
         "op1_language_id": language_id.op1_language_id,
         "op3_quality_rules": quality_rules.op3_quality_rules,
+        "op4_topk_search": topk_search.op4_topk_search,
         "op6_token_counts": token_counts.op6_token_counts,
+        "op8_packing": packing.op8_packing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": quality_rules.oracle_sql()}
+    return {
+        "op3_quality_rules": quality_rules.oracle_sql(),
+        "op4_topk_search": topk_search.ORACLE,
+    }
