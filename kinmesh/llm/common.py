@@ -96,3 +96,20 @@ def annotate(docs: DataFrame, fields: dict[str, str], func, text: str = "text",
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *[pa.array(x, type=kind) for x, kind in zip(made, arrow, strict=True)]], names=names)
 
     return source.mapInArrow(run, schema)
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, folds: int, left_out: int) -> tuple[DataFrame, dict[int, int]]:
+    """Texts and labels to learn from: about ``per_class`` documents of each label value (0 and 1), by a hash of the id.
+
+    Rows of the fold ``left_out`` (crc32 of the id modulo ``folds``) are never taken. Also returns how many labelled
+    ids of each value there are. The sample of ids is bounded, so it alone is broadcast to the scan of the texts. Null
+    labels teach nothing; of contradicting labels of one id the larger counts.
+    """
+    known = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), folds) != left_out))
+    known = known.groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
+    totals = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    share = F.lit(0.0)
+    for value, n in totals.items():
+        share = F.when(F.col("label") == value, F.lit(min(1.0, per_class / n))).otherwise(share)
+    ids = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * float(1 << 20))
+    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "label"), totals

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinmesh.llm import language_id, packing, quality_rules, token_counts, topk_search
+from kinmesh.llm import language_id, packing, quality_rules, token_counts, topk_search, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,7 @@ def queries() -> dict[str, Query]:
         "op1_language_id": language_id.op1_language_id,
         "op3_quality_rules": quality_rules.op3_quality_rules,
         "op4_topk_search": topk_search.op4_topk_search,
+        "op5_toxicity": toxicity.op5_toxicity,
         "op6_token_counts": token_counts.op6_token_counts,
         "op8_packing": packing.op8_packing,
     }
