@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinmesh.llm import language_id, packing, quality_rules, token_counts, topk_search, toxicity
+from kinmesh.llm import language_id, packing, quality_classifier, quality_rules, token_counts, topk_search, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +19,7 @@ def queries() -> dict[str, Query]:
         "op5_toxicity": toxicity.op5_toxicity,
         "op6_token_counts": token_counts.op6_token_counts,
         "op8_packing": packing.op8_packing,
+        "op10_quality_classifier": quality_classifier.op10_quality_classifier,
     }
 
 
