@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinmesh.llm import language_id, packing, piece_codec, quality_classifier, quality_rules, token_counts, topk_search, toxicity
+from kinmesh.llm import language_id, lm_scoring, packing, piece_codec, quality_classifier, quality_rules, token_counts, topk_search, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,6 +14,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op1_language_id": language_id.op1_language_id,
+        "op2_lm_scoring": lm_scoring.op2_lm_scoring,
         "op3_quality_rules": quality_rules.op3_quality_rules,
         "op4_topk_search": topk_search.op4_topk_search,
         "op5_toxicity": toxicity.op5_toxicity,
