@@ -18,7 +18,9 @@ from __future__ import annotations
 
 import functools
 import re
+import sys
 import zlib
+from array import array
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -28,7 +30,7 @@ from kinmesh.llm.common import annotate, table
 
 SPACE_MARK = "▁"
 #: Stretches up to this length are remembered, so many of them in a worker at most.
-REMEMBERED, CACHE = 48, 400_000
+REMEMBERED, CACHE = 48, 1_000_000
 _STRETCH = re.compile(f"\n|{SPACE_MARK}*[^{SPACE_MARK}\n]+|{SPACE_MARK}+")
 _NONE = -1
 
@@ -59,6 +61,8 @@ class Vocabulary:
         for i, s in enumerate(special):
             if s:
                 self.bytes_of[i] = b""
+        #: Neighbouring characters that some piece holds; between any others all paths meet.
+        self.pairs = {p[i : i + 2] for p in self.pieces for i in range(len(p) - 1)}
         self._splits: dict[int, tuple[int, int]] = {}
         self._fits: dict[int, bool] = {}
         self.recent: dict[str, tuple[int, ...]] = {}
@@ -188,6 +192,18 @@ class Stream:
         return self.ids
 
 
+def _look(vocab: Vocabulary, stretch: str) -> tuple[int, ...]:
+    """Ids of a stretch that is not remembered; a short one is from now on."""
+    stream = Stream(vocab)
+    stream.feed(stretch)
+    found = tuple(stream.finish())
+    if len(stretch) <= REMEMBERED:
+        if len(vocab.recent) >= CACHE:
+            vocab.recent.clear()
+        vocab.recent[stretch] = found
+    return found
+
+
 def encode(vocab: Vocabulary, text: str | None) -> list[int]:
     """Ids of a whole text."""
     if not text:
@@ -197,13 +213,12 @@ def encode(vocab: Vocabulary, text: str | None) -> list[int]:
     for stretch in _STRETCH.findall(SPACE_MARK + text.replace(" ", SPACE_MARK)):
         found = recent.get(stretch)
         if found is None:
-            stream = Stream(vocab)
-            stream.feed(stretch)
-            found = tuple(stream.finish())
-            if len(stretch) <= REMEMBERED:
-                if len(recent) >= CACHE:
-                    recent.clear()
-                recent[stretch] = found
+            if len(stretch) > 1 and stretch[-2:] not in vocab.pairs and stretch[-1] in vocab.pieces:
+                # a final mark that no piece joins to a letter stands alone
+                ids += recent.get(stretch[:-1]) or _look(vocab, stretch[:-1])
+                found = (vocab.pieces[stretch[-1]],)
+            else:
+                found = _look(vocab, stretch)
         ids += found
     return ids
 
@@ -238,7 +253,7 @@ def digest(docs: DataFrame, model: str | None = None, text: str = "text", carry:
         for t in texts:
             ids = encode(vocab, t)
             n.append(len(ids))
-            crc.append(zlib.crc32(np.array(ids, dtype="<u4").tobytes()))
+            crc.append(zlib.crc32(array("I", ids).tobytes() if sys.byteorder == "little" else np.array(ids, dtype="<u4").tobytes()))
             same.append(decode(vocab, ids) == (t or ""))
         return n, crc, same
 
