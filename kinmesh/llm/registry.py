@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinmesh.llm import language_id, lm_scoring, packing, piece_codec, quality_classifier, quality_rules, token_counts, topk_search, toxicity
+from kinmesh.llm import jaccard_join, language_id, lm_scoring, packing, piece_codec, quality_classifier, quality_rules, token_counts, topk_search, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +19,7 @@ def queries() -> dict[str, Query]:
         "op4_topk_search": topk_search.op4_topk_search,
         "op5_toxicity": toxicity.op5_toxicity,
         "op6_token_counts": token_counts.op6_token_counts,
+        "op7_jaccard_join": jaccard_join.op7_jaccard_join,
         "op8_packing": packing.op8_packing,
         "op9_piece_codec": piece_codec.op9_piece_codec,
         "op10_quality_classifier": quality_classifier.op10_quality_classifier,
