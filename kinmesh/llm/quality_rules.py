@@ -61,6 +61,11 @@ BASE_REPEAT_PERCENT = 50
 RESULTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def _once(*columns: Column) -> Column:
+    """The columns as the output of a generator of one row: a filter above is not pushed below it, which would copy their expressions into each place, even into the functions over arrays."""
+    return F.inline(F.array(F.struct(*columns)))
+
+
 def with_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds the counts that the rules speak of: those of the base, n_lines (with a word) and n_stop_words."""
     keep = [c for c in docs.columns if c not in (*RESULTS, "n_lines", "n_stop_words")]
@@ -68,8 +73,10 @@ def with_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     step = docs.select(
         *own,
-        F.filter(F.split(t, SPACE_REGEX), lambda w: w != "").alias("__words"),
-        F.filter(F.split(t, "\n"), lambda x: F.translate(x, SPACES, "") != "").alias("__lines"),
+        _once(
+            F.filter(F.split(t, SPACE_REGEX), lambda w: w != "").alias("__words"),
+            F.filter(F.split(t, "\n"), lambda x: F.translate(x, SPACES, "") != "").alias("__lines"),
+        ),
         F.length(F.translate(t, SPACES, "")).cast("long").alias("word_chars"),
         (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long").alias("n_symbols"),
     )
@@ -102,7 +109,8 @@ def with_counts(docs: DataFrame, text: str = "text") -> DataFrame:
         F.when(F.size("__sorted") > 1, F.slice("__sorted", F.lit(2), F.greatest(F.size("__sorted"), F.lit(1)))).otherwise(F.col("__sorted")),
         lambda a, b: F.when(a["g"] == b["g"], F.array(a["i"], a["i"] + 1, a["i"] + 2, b["i"], b["i"] + 1, b["i"] + 2)).otherwise(F.array().cast("array<int>")),
     )
-    return step.select(*own, "n_words", "word_chars", "n_symbols", "n_dup_lines", F.size(F.array_distinct(F.flatten(covered))).cast("long").alias("n_repeat_words"), "n_lines", "n_stop_words")
+    repeated = F.size(F.array_distinct(F.flatten(covered))).cast("long").alias("n_repeat_words")
+    return step.select(*own, _once(*map(F.col, ("n_words", "word_chars", "n_symbols", "n_dup_lines")), repeated, *map(F.col, ("n_lines", "n_stop_words"))))
 
 
 def quality_rules(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
