@@ -9,7 +9,7 @@ by itself which passages matter (Ilse, Tomczak and Welling, 2018).
 The network is learned from a bounded, hashed sample of labelled documents and has a fixed size, whatever the
 corpus. Scoring is one pass over whole texts; nothing is shuffled.
 
-Defined cases: a null or empty text is a bag with one passage of zeros. Without labels of both values every score
+Defined cases: a null or empty text is a bag with one passage without words. Without labels of both values every score
 is the share of label 1 (0 if there are no labels). Repeated rows are scored alike.
 """
 
@@ -104,7 +104,7 @@ def encode(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
             np.sqrt(np.maximum(np.bincount(word_passage, weights=sizes**2, minlength=total) / held - mean**2, 0)) / 8,
             np.bincount(word_passage[1:][same], minlength=total) / held,
             distinct / held,
-            held / PASSAGE_WORDS,
+            np.bincount(word_passage, minlength=total) / PASSAGE_WORDS,
             np.log1p(np.repeat(words, passages)) / 10,
         )
         for i, s in enumerate(stats):
