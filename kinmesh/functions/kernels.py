@@ -1,8 +1,8 @@
 """String similarities in [0, 1] that Spark has no function for, from their published definitions.
 
 The longest common subsequence is computed on whole bit vectors held in Python integers (Hyyrö 2004), so its cost is
-one step for each character of the longer string. :func:`kernel_scores` evaluates all kernels of a pair in one Arrow
-function; pairs should be made distinct before it.
+one step for each character of the longer string. 
+:func:`kernel_table` evaluates all kernels of a pair in one Arrow function, each different pair of a batch once.
 """
 
 from __future__ import annotations
@@ -140,16 +140,31 @@ KERNELS = {
 }
 
 
-def kernel_scores(left: Column, right: Column, names: tuple[str, ...]) -> Column:
-    """A struct of the named kernels of two string columns (nulls as ''), in one Arrow function."""
-    chosen = {n: KERNELS[n] for n in names}
+def kernel_table(strings: list[tuple[Column, Column, tuple[str, ...], str]]) -> Column:
+    """Kernels of several pairs of string columns (nulls as '') in one Arrow function.
+
+    ``strings`` holds left, right, names of kernels and a prefix; the struct has a field prefix_kernel for each. A pair of
+    strings that comes again within a batch is computed once.
+    """
+    chosen = [(prefix, names) for _, _, names, prefix in strings]
+
+    @F.pandas_udf(", ".join(f"{prefix}_{n} double" for prefix, names in chosen for n in names))
+    def run(*columns: pd.Series) -> pd.DataFrame:
+        out = {}
+        for (prefix, names), a, b in zip(chosen, columns[::2], columns[1::2], strict=True):
+            pairs = list(zip(a.fillna(""), b.fillna(""), strict=True))
+            made = {p: tuple(KERNELS[n](*p) for n in names) for p in dict.fromkeys(pairs)}
+            for i, n in enumerate(names):
+                out[f"{prefix}_{n}"] = pd.Series([made[p][i] for p in pairs], dtype="float64")
+        return pd.DataFrame(out)
 
-    @F.pandas_udf(", ".join(f"{n} double" for n in names))
-    def run(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-        pairs = list(zip(a.fillna(""), b.fillna(""), strict=True))
-        return pd.DataFrame({n: pd.Series([f(x, y) for x, y in pairs], dtype="float64") for n, f in chosen.items()})
+    return run(*[c for left, right, _, _ in strings for c in (left, right)])
 
-    return run(left, right)
+
+def kernel_scores(left: Column, right: Column, names: tuple[str, ...]) -> Column:
+    """A struct of the named kernels of two string columns."""
+    made = kernel_table([(left, right, names, "k")])
+    return F.struct(*[made[f"k_{n}"].alias(n) for n in names])
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -29,9 +29,10 @@ def key_array() -> Column:
 
 
 def block_keys(normalised: DataFrame) -> DataFrame:
-    """(entity_id, country, key, weight, mult)."""
-    keys = normalised.select("entity_id", "country", F.explode(key_array()).alias("k"))
-    return keys.groupBy("entity_id", "country", F.col("k.key").alias("key")).agg(F.max("k.weight").alias("weight"), F.count("*").alias("mult"))
+    """(entity_id, country, key, weight, mult), one row for each different key of a record; nothing is shuffled."""
+    keys = normalised.select("entity_id", "country", key_array().alias("keys"))
+    counted = F.transform(F.array_distinct("keys"), lambda k: F.struct(k["key"].alias("key"), k["weight"].alias("weight"), F.size(F.filter("keys", lambda x: x["key"] == k["key"])).cast("long").alias("mult")))
+    return keys.select("entity_id", "country", F.inline(counted))
 
 
 def inverted_index(targets: DataFrame) -> DataFrame:
@@ -50,9 +51,14 @@ def prune(index: DataFrame, max_postings: int) -> DataFrame:
 
 
 def votes(queries: DataFrame, index: DataFrame) -> DataFrame:
-    """(s1_id, cand_id, score): summed weights of shared keys. Nulls and unknown countries find nothing."""
+    """(s1_id, cand_id, score): summed weights of shared keys. Nulls and unknown countries find nothing.
+
+    Votes are dealt by s1_id, which serves their sum here and the windows of the best k: one exchange for both. Summing
+    before it would gain little, since a pair's keys lie in different partitions.
+    """
     q = block_keys(queries).select(F.col("entity_id").alias("s1_id"), "country", "key", "weight", F.col("mult").alias("mq"))
-    return q.join(index, ["country", "key"]).groupBy("s1_id", "cand_id").agg(F.sum(F.col("mq") * F.col("mult") * F.col("weight")).alias("score"))
+    cast = q.join(index, ["country", "key"]).select("s1_id", "cand_id", (F.col("mq") * F.col("mult") * F.col("weight")).alias("vote"))
+    return cast.repartition("s1_id").groupBy("s1_id", "cand_id").agg(F.sum("vote").alias("score"))
 
 
 def top_k(scored: DataFrame, k: int) -> DataFrame:

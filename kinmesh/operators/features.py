@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinmesh.functions.kernels import dice, jaccard, kernel_scores, length_ratio, overlap
+from kinmesh.functions.kernels import dice, jaccard, kernel_table, length_ratio, overlap
 from kinmesh.functions.text import tokens
 
 # Fixed order of the features.
@@ -18,7 +18,7 @@ FEATURES = tuple(
     name_addr_prod is_source2 b_rank score_margin""".split()
 )
 
-_SIDES = ("name_clean", "name_root", "name_first", "name_compact", "addr_clean", "addr_norm", "addr_tokens", "addr_nums", "addr_words", "country")
+_SIDES = ("name", "address", "name_clean", "name_root", "name_first", "name_compact", "addr_clean", "addr_norm", "addr_tokens", "addr_nums", "addr_words", "country")
 
 
 def pairs(cands: DataFrame, queries: DataFrame, targets: DataFrame) -> DataFrame:
@@ -68,23 +68,16 @@ def set_features(pair: DataFrame) -> DataFrame:
 
 
 def pair_features(pair: DataFrame) -> DataFrame:
-    """s1_id, cand_id and the 42 features. Kernels run once for each distinct pair of strings."""
-    name = ("ratio", "token_sort", "token_set", "partial", "partial_sort", "jaro_winkler", "levenshtein", "damerau")
-    root = ("ratio", "token_sort", "token_set", "jaro_winkler")
-    addr = ("ratio", "token_sort", "token_set", "partial", "jaro_winkler", "levenshtein")
-
-    def scored(left: str, right: str, kernels: tuple[str, ...], alias: str) -> DataFrame:
-        distinct = pair.select(left, right).distinct()
-        return distinct.select(left, right, kernel_scores(F.col(left), F.col(right), kernels).alias(alias))
-
-    out = set_features(pair)
-    for left, right, kernels, alias in (
-        ("q_name_clean", "t_name_clean", name, "kn"),
-        ("q_name_root", "t_name_root", root, "kr"),
-        ("q_name_first", "t_name_first", ("jaro_winkler",), "kf"),
-        ("q_addr_norm", "t_addr_norm", addr, "ka"),
-    ):
-        out = out.join(scored(left, right, kernels, alias), [left, right])
+    """s1_id, cand_id and the 42 features. All kernels of a pair come from one Arrow function, without a shuffle."""
+    strings = {
+        "kn": ("name_clean", ("ratio", "token_sort", "token_set", "partial", "partial_sort", "jaro_winkler", "levenshtein", "damerau")),
+        "kr": ("name_root", ("ratio", "token_sort", "token_set", "jaro_winkler")),
+        "kf": ("name_first", ("jaro_winkler",)),
+        "ka": ("addr_norm", ("ratio", "token_sort", "token_set", "partial", "jaro_winkler", "levenshtein")),
+    }
+    columns = [(F.col(f"q_{c}"), F.col(f"t_{c}"), names, alias) for alias, (c, names) in strings.items()]
+    out = set_features(pair).withColumn("k", kernel_table(columns))
+    out = out.select("*", *[F.struct(*[F.col(f"k.{alias}_{n}").alias(n) for n in names]).alias(alias) for _, _, names, alias in columns])
     own = lambda c: F.when(F.col("has_a2") > 0, F.col(c)).otherwise(0.0)
     kernels = {
         "n_fuzz": F.col("kn.ratio"), "n_token_sort": F.col("kn.token_sort"), "n_token_set": F.col("kn.token_set"), "n_partial": F.col("kn.partial"),

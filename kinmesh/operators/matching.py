@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinmesh.functions.kernels import kernel_scores
+from kinmesh.functions.kernels import kernel_table
 
 
 def combine(name: Column, addr: Column, has_addresses: Column) -> Column:
@@ -14,13 +14,20 @@ def combine(name: Column, addr: Column, has_addresses: Column) -> Column:
     return F.when(~has_addresses, 0.9 * name).when(near, (name + addr) / 2).otherwise(0.6 * name + 0.4 * addr)
 
 
-def rule_score(pair: DataFrame) -> DataFrame:
-    """Adds ``p``. The query's address is only cleaned, the target's also written out; 'null' is no address."""
+def rule_score(pair: DataFrame, raw_query: bool = False, column: str = "p") -> DataFrame:
+    """Adds the rule score. The query's address is only cleaned, the target's also written out; 'null' is no address.
+
+    With ``raw_query`` the query's name and address are only lower-cased, as the hybrid matcher takes them.
+    """
     k = ("token_sort", "token_set")
-    pair = pair.withColumn("__n", kernel_scores(F.col("q_name_clean"), F.col("t_name_clean"), k)).withColumn("__a", kernel_scores(F.col("q_addr_clean"), F.col("t_addr_norm"), k))
-    best = lambda c: F.greatest(F.col(f"{c}.token_sort"), 0.95 * F.col(f"{c}.token_set"))
-    has = ~F.col("q_addr_clean").isin("", "null") & ~F.col("t_addr_norm").isin("", "null")
-    return pair.withColumn("p", combine(best("__n"), best("__a"), has)).drop("__n", "__a")
+    if raw_query:
+        name, addr = F.lower(F.coalesce("q_name", F.lit(""))), F.lower(F.coalesce("q_address", F.lit("")))
+    else:
+        name, addr = F.col("q_name_clean"), F.col("q_addr_clean")
+    pair = pair.withColumn("__k", kernel_table([(name, F.col("t_name_clean"), k, "n"), (addr, F.col("t_addr_norm"), k, "a")]))
+    best = lambda c: F.greatest(F.col(f"__k.{c}_token_sort"), 0.95 * F.col(f"__k.{c}_token_set"))
+    has = ~addr.isin("", "null") & ~F.col("t_addr_norm").isin("", "null")
+    return pair.withColumn(column, combine(best("n"), best("a"), has)).drop("__k")
 
 
 def gate(scored: DataFrame, threshold: Column, least_best: Column) -> DataFrame:

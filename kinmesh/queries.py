@@ -408,6 +408,13 @@ def _(spark, d):
     return M.rule_match(M.rule_score(_pairs(spark, d))).select("s1_id", "cand_id", F.round("p", 6).alias("p"))
 
 
+@query("hybrid_rule")
+def _(spark, d):
+    """The hybrid matcher's rule half, and its stand-in model score 25 - rank as a share of 25."""
+    p = M.rule_score(_pairs(spark, d), raw_query=True, column="p_rule").withColumn("p_model", (25 - F.col("rank")) / 25)
+    return M.hybrid(p).select("s1_id", "cand_id", F.round("p", 6).alias("p"))
+
+
 @query("rule_gate", _sql(_SCORED, "select s1_id, cand_id, p from (select *, max(p) over (partition by s1_id) as best from scored) where best >= 0.78 and p >= 0.74"))
 def _(spark, d):
     return M.rule_match(_scored(spark, d)).select("s1_id", "cand_id", "p")
