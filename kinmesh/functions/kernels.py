@@ -1,7 +1,7 @@
 """String similarities in [0, 1] that Spark has no function for, from their published definitions.
 
 The longest common subsequence is computed on whole bit vectors held in Python integers (Hyyrö 2004), so its cost is
-one step for each character of the longer string. 
+one step for each character of the longer string.
 :func:`kernel_table` evaluates all kernels of a pair in one Arrow function, each different pair of a batch once.
 """
 
@@ -143,19 +143,20 @@ KERNELS = {
 def kernel_table(strings: list[tuple[Column, Column, tuple[str, ...], str]]) -> Column:
     """Kernels of several pairs of string columns (nulls as '') in one Arrow function.
 
-    ``strings`` holds left, right, names of kernels and a prefix; the struct has a field prefix_kernel for each. A pair of
-    strings that comes again within a batch is computed once.
+    ``strings`` holds left, right, names of kernels and a prefix; the struct has a field prefix_kernel for each. Whole
+    batches are computed in numpy (:mod:`kinmesh.functions.batch`), each different pair of strings once.
     """
     chosen = [(prefix, names) for _, _, names, prefix in strings]
 
     @F.pandas_udf(", ".join(f"{prefix}_{n} double" for prefix, names in chosen for n in names))
     def run(*columns: pd.Series) -> pd.DataFrame:
+        from kinmesh.functions import batch
+
         out = {}
         for (prefix, names), a, b in zip(chosen, columns[::2], columns[1::2], strict=True):
-            pairs = list(zip(a.fillna(""), b.fillna(""), strict=True))
-            made = {p: tuple(KERNELS[n](*p) for n in names) for p in dict.fromkeys(pairs)}
-            for i, n in enumerate(names):
-                out[f"{prefix}_{n}"] = pd.Series([made[p][i] for p in pairs], dtype="float64")
+            left, right = a.fillna("").tolist(), b.fillna("").tolist()
+            for n in names:
+                out[f"{prefix}_{n}"] = batch.KERNELS[n](left, right)
         return pd.DataFrame(out)
 
     return run(*[c for left, right, _, _ in strings for c in (left, right)])
@@ -183,6 +184,12 @@ def dice(a: Column, b: Column) -> Column:
     return F.when(total == 0, 0.0).otherwise(2.0 * F.size(F.array_intersect(a, b)) / total)
 
 
+def levenshtein_similarity(a: Column, b: Column) -> Column:
+    """1 - distance / longer length, by Spark's own function; both empty 1."""
+    longest = F.greatest(F.length(a), F.length(b))
+    return F.when(longest == 0, 1.0).otherwise(1.0 - F.levenshtein(a, b) / longest)
+
+
 def length_ratio(a: Column, b: Column) -> Column:
     longest = F.greatest(F.length(a), F.length(b))
     return F.when(longest == 0, 1.0).otherwise(F.least(F.length(a), F.length(b)) / longest)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinmesh.functions.kernels import dice, jaccard, kernel_table, length_ratio, overlap
+from kinmesh.functions.kernels import dice, jaccard, kernel_table, length_ratio, levenshtein_similarity, overlap
 from kinmesh.functions.text import tokens
 
 # Fixed order of the features.
@@ -70,10 +70,10 @@ def set_features(pair: DataFrame) -> DataFrame:
 def pair_features(pair: DataFrame) -> DataFrame:
     """s1_id, cand_id and the 42 features. All kernels of a pair come from one Arrow function, without a shuffle."""
     strings = {
-        "kn": ("name_clean", ("ratio", "token_sort", "token_set", "partial", "partial_sort", "jaro_winkler", "levenshtein", "damerau")),
+        "kn": ("name_clean", ("ratio", "token_sort", "token_set", "partial", "partial_sort", "jaro_winkler", "damerau")),
         "kr": ("name_root", ("ratio", "token_sort", "token_set", "jaro_winkler")),
         "kf": ("name_first", ("jaro_winkler",)),
-        "ka": ("addr_norm", ("ratio", "token_sort", "token_set", "partial", "jaro_winkler", "levenshtein")),
+        "ka": ("addr_norm", ("ratio", "token_sort", "token_set", "partial", "jaro_winkler")),
     }
     columns = [(F.col(f"q_{c}"), F.col(f"t_{c}"), names, alias) for alias, (c, names) in strings.items()]
     out = set_features(pair).withColumn("k", kernel_table(columns))
@@ -81,11 +81,11 @@ def pair_features(pair: DataFrame) -> DataFrame:
     own = lambda c: F.when(F.col("has_a2") > 0, F.col(c)).otherwise(0.0)
     kernels = {
         "n_fuzz": F.col("kn.ratio"), "n_token_sort": F.col("kn.token_sort"), "n_token_set": F.col("kn.token_set"), "n_partial": F.col("kn.partial"),
-        "n_partial_sort": F.col("kn.partial_sort"), "n_jw": F.col("kn.jaro_winkler"), "n_lev": F.col("kn.levenshtein"), "n_damerau": F.col("kn.damerau"),
+        "n_partial_sort": F.col("kn.partial_sort"), "n_jw": F.col("kn.jaro_winkler"), "n_lev": levenshtein_similarity(F.col("q_name_clean"), F.col("t_name_clean")), "n_damerau": F.col("kn.damerau"),
         "root_fuzz": F.col("kr.ratio"), "root_sort": F.col("kr.token_sort"), "root_set": F.col("kr.token_set"), "root_jw": F.col("kr.jaro_winkler"),
         "first_jw": F.when((F.col("q_name_first") != "") & (F.col("t_name_first") != ""), F.col("kf.jaro_winkler")).otherwise(0.0),
         "a_fuzz": own("ka.ratio"), "a_token_sort": own("ka.token_sort"), "a_token_set": own("ka.token_set"), "a_partial": own("ka.partial"),
-        "a_jw": own("ka.jaro_winkler"), "a_lev": own("ka.levenshtein"),
+        "a_jw": own("ka.jaro_winkler"), "a_lev": F.when(F.col("has_a2") > 0, levenshtein_similarity(F.col("q_addr_norm"), F.col("t_addr_norm"))).otherwise(0.0),
     }
     out = out.select("*", *[c.alias(n) for n, c in kernels.items()])
     product = F.when(F.col("has_a2") > 0, F.col("n_token_sort") * F.col("a_token_sort")).otherwise(F.col("n_token_sort") * 0.9)

@@ -5,6 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from kinmesh.functions import batch
 from kinmesh.functions import kernels as K
 from kinmesh.functions import text as T
 from kinmesh.operators import records
@@ -81,6 +82,14 @@ def test_kernels(a, b):
     assert K.damerau(a, b) <= K.levenshtein(a, b)
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.text(alphabet="abcde é", max_size=80), st.text(alphabet="abcde é", max_size=80)), max_size=8))
+def test_batch_kernels_equal_scalar_ones(pairs):
+    a, b = [p[0] for p in pairs], [p[1] for p in pairs]
+    for name, f in batch.KERNELS.items():
+        assert list(f(a, b)) == pytest.approx([K.KERNELS[name](x, y) for x, y in pairs], abs=1e-12), name
+
+
 def test_kernel_values():
     assert K.ratio("", "") == 1 and K.ratio("a", "") == 0 and K.ratio("abcd", "abxd") == 0.75
     assert K.token_sort("fuzzy wuzzy bear", "bear wuzzy fuzzy") == 1
