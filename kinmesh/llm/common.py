@@ -10,6 +10,8 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinmesh.cluster import ship
+
 #: White space of the word definition ``[^\x20\x09-\x0D]+``.
 SPACES = " \t\n\x0b\x0c\r"
 SPACE_REGEX = r"[\x20\x09-\x0D]+"
@@ -26,7 +28,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def short_batches(spark: SparkSession) -> None:
-    """Limits the rows of an Arrow batch, so that a run of very long texts fits a worker."""
+    """Limits the rows of an Arrow batch, so that a run of very long texts fits a worker; called before any Python function, it also sends workers the package."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
