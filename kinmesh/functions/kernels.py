@@ -8,9 +8,11 @@ one step for each character of the longer string.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from kinmesh.cluster import ship
+
 
 def lcs(a: str, b: str) -> int:
     """Length of the longest common subsequence."""
@@ -147,6 +149,8 @@ def kernel_table(strings: list[tuple[Column, Column, tuple[str, ...], str]]) ->
     batches are computed in numpy (:mod:`kinmesh.functions.batch`), each different pair of strings once.
     """
     chosen = [(prefix, names) for _, _, names, prefix in strings]
+    if session := SparkSession.getActiveSession():
+        ship(session)
 
     @F.pandas_udf(", ".join(f"{prefix}_{n} double" for prefix, names in chosen for n in names))
     def run(*columns: pd.Series) -> pd.DataFrame:

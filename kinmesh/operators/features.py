@@ -68,7 +68,12 @@ def set_features(pair: DataFrame) -> DataFrame:
 
 
 def pair_features(pair: DataFrame) -> DataFrame:
-    """s1_id, cand_id and the 42 features. All kernels of a pair come from one Arrow function, without a shuffle."""
+    """s1_id, cand_id and the 42 features. All kernels of a pair come from one Arrow function.
+
+    Kernels cost far more than moving a pair, so pairs are dealt evenly first, by a number of partitions that is not
+    lowered for being small in bytes.
+    """
+    pair = pair.repartition(int(pair.sparkSession.conf.get("spark.sql.shuffle.partitions")), "s1_id", "cand_id")
     strings = {
         "kn": ("name_clean", ("ratio", "token_sort", "token_set", "partial", "partial_sort", "jaro_winkler", "damerau")),
         "kr": ("name_root", ("ratio", "token_sort", "token_set", "jaro_winkler")),
