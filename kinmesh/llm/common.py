@@ -43,7 +43,7 @@ def shared_dir(spark: SparkSession) -> str:
 
     The setting is read from the session; where it is unset (tests on one machine), a folder of the warehouse is taken.
     """
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints"
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
