@@ -126,7 +126,7 @@ def _(spark, d):
     """The records written as tab-separated text to the shared folder and read again."""
     from kinmesh.sources.files import read_records, write_tsv
 
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     import uuid
 
     path = f"{base.rstrip('/')}/{uuid.uuid4().hex}/records.tsv"
