@@ -116,6 +116,20 @@ def test_obfuscated_words_are_restored():
     assert toxicity.restore(m.letters, None) == "" and toxicity.restore(m.letters, "1 " * 500)
 
 
+def test_models_do_not_share_what_they_remember():
+    import pickle
+
+    texts, labels = toxic_texts()
+    for n in (60, 240):  # a freed model's place in memory may be taken by the next
+        m = pickle.loads(pickle.dumps(toxicity.fit(texts[:n], labels[:n], {0: n - n // 3, 1: n // 3})))
+        assert not m.seen
+        alone = [toxicity.score_texts(m, [t])[0][0] for t in texts[:20]]
+        m.seen.clear()
+        assert list(toxicity.score_texts(m, texts[:20])[0]) == pytest.approx(alone)
+        assert not pickle.loads(pickle.dumps(m)).seen
+        del m
+
+
 def test_toxicity_of_held_out_documents(spark):
     texts, labels = toxic_texts()
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
