@@ -2,13 +2,13 @@
 
 The model gives the probability of each next token: of the end, or of a word by its own count, interpolated
 (Witten-Bell) with how the word is spelled by byte n-grams within words up to :data:`ORDER`, interpolated in the same
-way. All spelling n-grams are kept. Words grow with the corpus without end, so that the filter may stay within its
-bound, words enter it from a least count on, which is 1 until the bound is met; rarer ones are left to their spelling.
+way. All spelling n-grams and all words are kept at every size.
 A count is quantised on a logarithmic scale, and an n-gram of level q is in the filter as the pairs (n-gram, 1)
 to (n-gram, q); how many different bytes follow a history is kept in the same way. Probing (x, 1), (x, 2), ... until
 one is missing gives the level back, never too low (Talbot and Osborne, 2007); a count is held to that of the
-n-gram's shorter endings, which undoes most of the filter's false positives. The filter is built in segments by many tasks and broadcast; it has at
-most :data:`MOST_BITS` bits.
+n-gram's shorter endings, which undoes most of the filter's false positives. The filter is built in segments by many tasks
+and grows with its items. At most :data:`MOST_BITS` bits of it are broadcast at once: a larger filter is dealt by key into
+parts, and the vocabulary is probed in one pass for each part, which adds the levels of the keys that lie there.
 
 Only words are scored, each once: the vocabulary with its exact training counts is a table that grows with the
 corpus. A bounded number of the most frequent words is broadcast, which covers most occurrences and takes the
@@ -31,15 +31,16 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinmesh.llm.common import chunks, fold, materialise, short_batches, table
+from kinmesh.llm.common import chunks, fold, materialise, shared_dir, short_batches, table
 
 ORDER = 6
 #: Quantisation: each level's least count is about so many times that of the level below.
 BASE = 1.25
+#: Bits of the filter that are broadcast at once, at most (a power of two).
 MOST_BITS = 1 << 28
 LEAST_BITS = 1 << 20
 BITS_PER_ITEM = 10
-#: Segments of the filter (a power of two), each built by one group.
+#: Segments of a part of the filter (a power of two), each built by one group.
 SEGMENTS = 512
 #: Most frequent words that are broadcast, at most.
 HOT_WORDS = 1 << 17
@@ -99,11 +100,18 @@ def spellings(words: list[bytes]):
     return word, grams
 
 
+def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
+    """The part of the filter that holds each key."""
+    return (keys >> np.uint64(20) & np.uint64(0xFFFFF)) % np.uint64(parts)
+
+
 @dataclass
 class LogFrequencyFilter:
-    bits: np.ndarray  # bytes of all segments
+    bits: np.ndarray  # bytes of all segments of the part
     segment_bits: int
     hashes: int
+    part: int = 0
+    parts: int = 1
 
     def _has(self, keys: np.ndarray, level: int) -> np.ndarray:
         segment, places = _places(keys, np.uint64(level), self.segment_bits, self.hashes)
@@ -113,16 +121,20 @@ class LogFrequencyFilter:
             found &= (self.bits[base + (p >> 3)] >> (p & 7).astype(np.uint8)) & 1 > 0
         return found
 
-    def counts(self, keys: np.ndarray) -> np.ndarray:
-        """The count that the level of each key stands for, by membership probes from level 1 upwards."""
-        level = np.zeros(len(keys), dtype=np.int64)
-        alive = np.arange(len(keys))
+    def levels(self, keys: np.ndarray) -> np.ndarray:
+        """The level of each key, by membership probes from level 1 upwards; 0 for keys of other parts."""
+        level = np.zeros(len(keys), dtype=np.uint8)
+        alive = np.arange(len(keys)) if self.parts == 1 else np.flatnonzero(part_of(keys, self.parts) == self.part)
         for q in range(1, len(LEVELS) + 1):
             alive = alive[self._has(keys[alive], q)]
             if not len(alive):
                 break
             level[alive] = q
-        return COUNTS[level]
+        return level
+
+    def counts(self, keys: np.ndarray) -> np.ndarray:
+        """The count that the level of each key stands for."""
+        return COUNTS[self.levels(keys)]
 
 
 def _places(keys: np.ndarray, level: np.uint64, segment_bits: int, hashes: int):
@@ -144,34 +156,50 @@ def _fill(keys: np.ndarray, levels: np.ndarray, segment_bits: int, hashes: int)
 
 @dataclass
 class SpellingModel:
-    filter: LogFrequencyFilter
     words: int  # training words
     letters: int  # predicted bytes in training
     followers: int  # different bytes predicted
     after_start: int  # different first bytes
     docs: int
-    known_words: int  # different words in the filter
-    known_count: int  # and their count in training
+    known_words: int  # different training words
+    segment_bits: int
+    hashes: int
+    parts: int  # parts of the filter
 
     def end_prob(self) -> float:
         return (self.docs + 1) / (self.words + self.docs + 2)
 
-    def word_log10(self, words: list[bytes]) -> np.ndarray:
-        """log10 probability of each word as the next token."""
+    def word_levels(self, words: list[bytes], held: LogFrequencyFilter) -> tuple[np.ndarray, np.ndarray]:
+        """The levels, as far as the part ``held`` has them, of all keys that the scores of the words need.
+
+        They come word by word. Also returns how many there are of each word.
+        """
+        _, grams = spellings(words)
+        word, keys = _asked(words, grams)
+        levels = []
+        for k in keys:
+            unique, back = np.unique(k, return_inverse=True)
+            levels.append(held.levels(unique)[back])
+        return np.concatenate(levels)[np.argsort(word, kind="stable")], np.bincount(word, minlength=len(words))
+
+    def word_log10(self, words: list[bytes], levels: np.ndarray) -> np.ndarray:
+        """log10 probability of each word as the next token; ``levels`` as :meth:`word_levels` gives them, from all parts."""
         if not words:
             return np.zeros(0)
         word, grams = spellings(words)
+        asked, keys = _asked(words, grams)
+        level = np.empty(len(asked), dtype=np.uint8)
+        level[np.argsort(asked, kind="stable")] = levels
+        counts = np.split(level, np.cumsum([len(k) for k in keys])[:-1])
         p = np.full(len(word), 1 / 256)
         own = np.full(len(word), np.inf)  # counts of the shorter n-gram that ends at a position
         history_count = np.full(len(word), float(self.letters))
-        for m, (at, keys, histories) in enumerate(grams):
-            unique, back = np.unique(keys, return_inverse=True)
-            count = np.minimum(self.filter.counts(unique)[back], own[at])
+        for m, (at, _, _) in enumerate(grams):
+            count = np.minimum(COUNTS[counts[m]], own[at])
             if m == 0:
                 total, kinds = float(self.letters), float(self.followers)
             else:
-                unique, back = np.unique(histories, return_inverse=True)
-                kinds = self.filter.counts(unique ^ _FOLLOWERS)[back]
+                kinds = COUNTS[counts[ORDER + m - 1]]
                 total = history_count[at - 1]
                 if m == 1:
                     first = (at == 1) | (word[at - 1] != word[at - 2])
@@ -185,10 +213,20 @@ class SpellingModel:
         logs = np.zeros(len(word))
         logs[grams[0][0]] = np.log10(p[grams[0][0]])
         spelled = np.bincount(word, weights=logs, minlength=len(words))
-        own_count = self.filter.counts(_hashes(words).view(np.uint64) ^ _WORDS)
-        rest = self.words - self.known_count + self.known_words
+        own_count = COUNTS[counts[-1]]
         # One unit is for unknown words as a kind, besides what their spelling gets.
-        return np.log10((own_count + rest * 10.0 ** np.maximum(spelled, -280) + (own_count == 0)) / (self.words + self.known_words + 1)) + math.log10(1 - self.end_prob())
+        return np.log10((own_count + self.known_words * 10.0 ** np.maximum(spelled, -280) + (own_count == 0)) / (self.words + self.known_words + 1)) + math.log10(1 - self.end_prob())
+
+
+def _asked(words: list[bytes], grams) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The filter keys that the scores of words need: n-grams of each order, followers of their histories, whole words.
+
+    The first result is the word of each, over all of them in order.
+    """
+    sizes = np.array([len(w) + 2 for w in words], dtype=np.int64)
+    word = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
+    keys = [*(k for _, k, _ in grams), *(h ^ _FOLLOWERS for _, _, h in grams[1:]), _hashes(words).view(np.uint64) ^ _WORDS]
+    return np.concatenate([*(word[at] for at, _, _ in grams), *(word[at] for at, _, _ in grams[1:]), np.arange(len(words), dtype=np.int32)]), keys
 
 
 def _binary(batch: pa.RecordBatch) -> list[bytes]:
@@ -227,8 +265,8 @@ def vocabulary(docs: DataFrame, training: Column, text: str = "text") -> DataFra
     return source.mapInArrow(count, "token binary, c long, n long").groupBy("token").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
 
 
-def train(vocab: DataFrame, n_docs: int) -> SpellingModel:
-    """Builds the filter from a vocabulary table with training counts; ``n_docs`` training documents."""
+def train(vocab: DataFrame, n_docs: int) -> tuple[SpellingModel, DataFrame]:
+    """The model and the filter's segments (part, segment, bytes), from a vocabulary table with training counts; ``n_docs`` training documents."""
     spark = vocab.sparkSession
     schema = pa.schema([("k", pa.int64()), ("h", pa.int64()), ("m", pa.int32()), ("c", pa.int64())])
 
@@ -281,57 +319,90 @@ def train(vocab: DataFrame, n_docs: int) -> SpellingModel:
     ).first()
     start = int(_mix(_BYTES[[_START]]).view(np.int64)[0])
     after_start = found.filter((F.col("m") == 1) & (F.col("h") == start)).count()
-    # The least count of words in the filter, from a histogram of their counts: as low as the bound allows.
-    items, least, known_words, known_count, total_words = stats["items"] * 1.3, None, 0, 0, 0
-    by_count = vocab.filter("c > 0").groupBy(F.floor(F.log("c") / math.log(BASE)).alias("q")).agg(F.count("*").alias("k"), F.sum("c").alias("all"), F.min("c").alias("least"), F.sum(1 + F.log("c") / math.log(BASE)).alias("items"))
-    room = True
-    for row in by_count.orderBy(F.desc("q")).collect():
-        total_words += row["all"]
-        room = room and (items + row["items"]) * BITS_PER_ITEM <= MOST_BITS
-        if room:
-            items, least, known_words, known_count = items + row["items"], row["least"], known_words + row["k"], known_count + row["all"]
-    whole = vocab.filter(F.col("c") >= (least or 1)).select(F.xxhash64("token").bitwiseXOR(F.lit(int(_WORDS.view(np.int64)))).alias("key"), "c")
-    items_of = spelled.unionByName(whole) if least else spelled
-    bits = min(MOST_BITS, max(LEAST_BITS, 1 << max(0, (int(items * BITS_PER_ITEM) - 1).bit_length())))
+    of_words = vocab.filter("c > 0").agg(F.count("*").alias("k"), F.coalesce(F.sum("c"), F.lit(0)).alias("all"), F.coalesce(F.sum(1 + F.log("c") / math.log(BASE)), F.lit(0.0)).alias("items")).first()
+    items = stats["items"] * 1.3 + of_words["items"]
+    whole = vocab.filter("c > 0").select(F.xxhash64("token").bitwiseXOR(F.lit(int(_WORDS.view(np.int64)))).alias("key"), "c")
+    items_of = spelled.unionByName(whole)
+    parts = max(1, math.ceil(items * BITS_PER_ITEM / MOST_BITS))
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << max(0, (int(items * BITS_PER_ITEM) - 1).bit_length())))  # of a part
     segment_bits = bits // SEGMENTS
-    hashes = int(min(7, max(1, round(bits / max(items, 1) * math.log(2)))))
+    hashes = int(min(7, max(1, round(parts * bits / max(items, 1) * math.log(2)))))
 
     def fill(group: pa.Table) -> pa.Table:
         keys = group.column("key").to_numpy().view(np.uint64)
         levels = quantise(group.column("c").to_numpy())
-        segment = int(group.column("segment")[0].as_py())
-        return pa.table({"segment": pa.array([segment], pa.int32()), "bytes": pa.array([_fill(keys, levels, segment_bits, hashes)], pa.binary())})
+        part, segment = int(group.column("part")[0].as_py()), int(group.column("segment")[0].as_py())
+        return pa.table({"part": pa.array([part], pa.int32()), "segment": pa.array([segment], pa.int32()), "bytes": pa.array([_fill(keys, levels, segment_bits, hashes)], pa.binary())})
+
+    part = F.shiftrightunsigned("key", 20).bitwiseAND(F.lit(0xFFFFF)) % parts  # as part_of
+    dealt = items_of.select("key", "c", part.cast("int").alias("part"), F.col("key").bitwiseAND(F.lit(SEGMENTS - 1)).cast("int").alias("segment"))
+    filled = materialise(dealt.groupBy("part", "segment").applyInArrow(fill, "part int, segment int, bytes binary"), "filter")
+    return SpellingModel(of_words["all"], stats["letters"], stats["followers"], after_start, n_docs, of_words["k"], segment_bits, hashes, parts), filled
+
 
-    filled = items_of.withColumn("segment", F.col("key").bitwiseAND(F.lit(SEGMENTS - 1)).cast("int")).groupBy("segment").applyInArrow(fill, "segment int, bytes binary")
-    data = np.zeros(bits >> 3, dtype=np.uint8)
-    for row in filled.toLocalIterator():
-        low = row["segment"] * (segment_bits >> 3)
-        data[low : low + (segment_bits >> 3)] = np.frombuffer(row["bytes"], dtype=np.uint8)
-    return SpellingModel(LogFrequencyFilter(data, segment_bits, hashes), total_words, stats["letters"], stats["followers"], after_start, n_docs, known_words, known_count)
+def load(model: SpellingModel, filled: DataFrame, part: int) -> LogFrequencyFilter:
+    """One part of the filter."""
+    size = model.segment_bits >> 3
+    data = np.zeros(SEGMENTS * size, dtype=np.uint8)
+    for row in filled.filter(F.col("part") == part).toLocalIterator():
+        data[row["segment"] * size : (row["segment"] + 1) * size] = np.frombuffer(row["bytes"], dtype=np.uint8)
+    return LogFrequencyFilter(data, model.segment_bits, model.hashes, part, model.parts)
 
 
-def word_scores(vocab: DataFrame, model: SpellingModel) -> DataFrame:
-    """Adds h (the word's 64-bit hash) and lm (its log10 probability) to a vocabulary table."""
-    sent = vocab.sparkSession.sparkContext.broadcast(model)
-    schema = pa.schema([("token", pa.binary()), ("h", pa.int64()), ("c", pa.int64()), ("n", pa.int64()), ("lm", pa.float64())])
+def word_scores(vocab: DataFrame, model: SpellingModel, filled: DataFrame) -> DataFrame:
+    """Adds h (the word's 64-bit hash) and lm (its log10 probability) to a vocabulary table.
+
+    One pass over the table for each part of the filter but the last carries the levels found so far; of these
+    tables only the newest is kept.
+    """
+    spark = vocab.sparkSession
+    rows, path = vocab.select("token", "c", "n", F.lit(None).cast("binary").alias("levels")), None
+    for part in range(model.parts - 1):
+        sent = spark.sparkContext.broadcast((model, load(model, filled, part)))
+        written = f"{shared_dir(spark)}/levels"
+        rows.mapInArrow(_prober(sent, False), "token binary, c long, n long, levels binary").write.parquet(written)
+        sent.unpersist()
+        if path is not None:
+            _remove(spark, path)
+        rows, path = spark.read.schema("token binary, c long, n long, levels binary").parquet(written), written
+    sent = spark.sparkContext.broadcast((model, load(model, filled, model.parts - 1)))
+    return rows.mapInArrow(_prober(sent, True), "token binary, h long, c long, n long, lm double")
+
+
+def _prober(sent, last: bool):
+    """Adds a part's levels to those of each word; the last part's pass gives the scores."""
 
     def run(batches):
         held: list[pa.RecordBatch] = []
 
         def out():
+            model, part = sent.value
             rows = pa.Table.from_batches(held)
-            tokens = rows.column("token").to_pylist()
-            yield from pa.table([rows.column("token"), pa.array(_hashes(tokens)), rows.column("c"), rows.column("n"), pa.array(sent.value.word_log10(tokens))], schema=schema).to_batches()
             held.clear()
+            tokens, before = rows.column("token").to_pylist(), rows.column("levels")
+            levels, sizes = model.word_levels(tokens, part)
+            if not before.null_count:
+                levels = np.maximum(levels, np.frombuffer(b"".join(before.to_pylist()), dtype=np.uint8))
+            if last:
+                yield from pa.table({"token": rows.column("token"), "h": pa.array(_hashes(tokens)), "c": rows.column("c"), "n": rows.column("n"), "lm": pa.array(model.word_log10(tokens, levels))}).to_batches()
+            else:
+                ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+                found = pa.Array.from_buffers(pa.binary(), len(tokens), [None, pa.py_buffer(ends), pa.py_buffer(levels)])
+                yield from pa.table({"token": rows.column("token"), "c": rows.column("c"), "n": rows.column("n"), "levels": found}).to_batches()
 
         for batch in batches:
             held.append(batch)
             if sum(b.num_rows for b in held) >= 60_000:
                 yield from out()
-        if held:
+        if sum(b.num_rows for b in held):
             yield from out()
 
-    return vocab.select("token", "c", "n").mapInArrow(run, "token binary, h long, c long, n long, lm double")
+    return run
+
+
+def _remove(spark, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def _hashes(tokens: list[bytes]) -> np.ndarray:
@@ -350,8 +421,8 @@ def score(docs: DataFrame, training: Column, text: str = "text", carry: tuple[st
     own = [c for c in carry if c.lower() not in results]
     train_docs = docs.filter(training).count()
     vocab = materialise(vocabulary(docs, training, text), "vocabulary")
-    model = train(vocab, train_docs)
-    scores = materialise(word_scores(vocab, model), "scores")
+    model, filled = train(vocab, train_docs)
+    scores = materialise(word_scores(vocab, model, filled), "scores")
     stats = scores.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.when(F.col("c") > 0, F.lit(1))).alias("v")).first()
     total, kinds = stats["n"] + train_docs, stats["v"] + (1 if train_docs else 0)
     # The least count of a hot word, from a histogram of count levels.

@@ -62,6 +62,27 @@ def test_filter_never_loses_a_count():
     assert np.mean(f.counts(np.random.default_rng(9).integers(0, 1 << 63, 4000, dtype=np.uint64)) == 0) > 0.8
 
 
+def test_filter_past_one_broadcast_holds_every_count(spark, sf, monkeypatch):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    whole = {r["doc_id"]: r["score"] for r in lm_scoring.score(docs, F.lit(True)).collect()}
+    monkeypatch.setattr(lm_scoring, "MOST_BITS", 1 << 21)
+    monkeypatch.setattr(lm_scoring, "LEAST_BITS", 1 << 18)
+    vocab = lm_scoring.materialise(lm_scoring.vocabulary(docs, F.lit(True)), "vocabulary")
+    model, filled = lm_scoring.train(vocab, docs.count())
+    assert model.parts > 2 and model.known_words == vocab.count()
+    parts = [lm_scoring.load(model, filled, i) for i in range(model.parts)]
+    rows = lm_scoring.word_scores(vocab, model, filled).collect()
+    assert len(rows) == model.known_words
+    tokens = [bytes(r["token"]) for r in rows]
+    keys = lm_scoring._hashes(tokens).view(np.uint64) ^ lm_scoring._WORDS
+    counts = np.max([p.counts(keys) for p in parts], axis=0)
+    assert (counts >= lm_scoring.LEVELS[lm_scoring.quantise(np.array([r["c"] for r in rows])) - 1]).all()
+    levels = np.max([model.word_levels(tokens, p)[0] for p in parts], axis=0)
+    assert np.allclose(model.word_log10(tokens, levels), [r["lm"] for r in rows])
+    for r in lm_scoring.score(docs, F.lit(True)).collect():
+        assert r["score"] == pytest.approx(whole[r["doc_id"]], rel=0.01)
+
+
 def brute_top(vectors, queries, k=5):
     w = {}
     for i, v in vectors:
