@@ -18,9 +18,11 @@ from kinmesh.operators import models as L
 from kinmesh.operators import records as R
 from kinmesh.operators import sampling as S
 from kinmesh.plans import fixtures as D
+from kinmesh.settings import Settings
 
-#: Limits low enough to matter on small data.
-TOP, POSTINGS = 25, 20
+#: The limits of a production run.
+TOP, POSTINGS = Settings.k, Settings.max_postings
+#: Low enough to matter on small data.
 THRESHOLDS = {"en": 0.7, "fr": 0.6}
 DEFAULT_THRESHOLD, MARGIN = 0.65, 0.05
 N_TRAIN, SAMPLE = 150, 120
@@ -599,17 +601,17 @@ def _training(spark, d) -> DataFrame:
 
 @query("train_gbt")
 def _(spark, d):
-    """Probabilities of a small model on its training pairs."""
+    """Probabilities of the first model on its training pairs."""
     data = _training(spark, d)
-    return L.ensemble_score(data, L.train_ensemble(data, trees=10, depth=4)[:1]).select("s1_id", "cand_id", "label", "p")
+    return L.ensemble_score(data, L.train_ensemble(data)[:1]).select("s1_id", "cand_id", "label", "p")
 
 
 @query("ensemble_score")
 def _(spark, d):
-    models = L.train_ensemble(_training(spark, d), trees=10, depth=4)
+    models = L.train_ensemble(_training(spark, d))
     return L.ensemble_score(X.pair_features(_pairs(spark, d)), models).select("s1_id", "cand_id", "p")
 
 
 @query("feature_importance")
 def _(spark, d):
-    return L.feature_importance(L.train_ensemble(_training(spark, d), trees=10, depth=4)[0], spark)
+    return L.feature_importance(L.train_ensemble(_training(spark, d))[0], spark)

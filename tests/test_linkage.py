@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from kinmesh import queries as linkage
 from kinmesh.operators import blocking, features, matching, metrics, models, records, sampling
 from kinmesh.plans import pipeline
 from kinmesh.settings import Settings
@@ -51,6 +52,24 @@ def test_candidates_equal_brute_force(spark, most):
     assert got == want
 
 
+def test_registered_queries_keep_frequent_keys_and_train_whole_models(spark, monkeypatch):
+    sf = "/root/testdata/sf0.01"
+    index, kept = (linkage.queries()[n](spark, sf) for n in ("inverted_index", "posting_prune"))
+    assert index.groupBy("country", "key").agg(F.sum("mult").alias("n")).agg(F.max("n")).first()[0] > 20
+    assert kept.count() == index.count()  # no key of this table is above 25,000
+    asked = []
+
+    def trained(data, trees=400, step=0.08, depth=6, seed=42):
+        asked.append((trees, depth))
+        raise InterruptedError
+
+    monkeypatch.setattr(models, "train_ensemble", trained)
+    for name in ("train_gbt", "ensemble_score", "feature_importance"):
+        with pytest.raises(InterruptedError):
+            linkage.queries()[name](spark, sf)
+    assert asked == [(400, 6)] * 3
+
+
 def test_repeats_multiply(spark):
     s1 = spark.createDataFrame([("S1-1", "boreal boreal", "", "US")], SCHEMA)
     s2 = spark.createDataFrame([("S2-1", "boreal boreal boreal", "", "US")], SCHEMA)
