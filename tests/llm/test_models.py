@@ -137,6 +137,17 @@ def test_obfuscated_words_are_restored():
     assert toxicity.restore(m.letters, None) == "" and toxicity.restore(m.letters, "1 " * 500)
 
 
+def test_long_stretches_are_decoded_whole():
+    texts, labels = toxic_texts()
+    m = toxicity.fit(texts, labels, {0: 160, 1: 80})
+    for lead in ("lodan lodan lodan lodan lodan", "martendan lodan marvel silgus", "silgus silgus silgus silgus silgus", "lodan silgus silgus silgus silgus"):
+        spelled = " ".join(f"{lead}worthless lodan".replace(" ", ""))  # a letter near the 32nd starts or parts the word
+        assert "worthless" in toxicity.restore(m.letters, spelled).split()
+    hidden = "lodan" * 12 + "w0rthl3ss" + "lodan"  # the 64th sign lies in the word
+    assert "worthless" in toxicity.restore(m.letters, hidden)
+    assert toxicity.restore(m.letters, " ".join("lodan" * 3000 + "worthless")).endswith("worthless")
+
+
 def test_models_do_not_share_what_they_remember():
     import pickle
 
