@@ -137,6 +137,20 @@ def test_obfuscated_words_are_restored():
     assert toxicity.restore(m.letters, None) == "" and toxicity.restore(m.letters, "1 " * 500)
 
 
+def test_words_hidden_in_other_ways_are_found():
+    texts, labels = toxic_texts()
+    m = toxicity.fit(texts, labels, {0: 160, 1: 80})
+    clean = toxicity.score_texts(m, ["lodan marvel tenmit"])[0][0]
+    for hidden, word in (("mo.ron", "moron"), ("id-iot", "idiot"), ("stu_pid", "stupid"), ("st.u.pid", "stupid"), ("s  t  u  p  i  d", "stupid"), ("i . d . i . o . t", "idiot"), ("i. d. i. o. t.", "idiot"), ("stuupid", "stupid"), ("worth...less", "worthless"), ("idio7", "idiot")):
+        assert word in toxicity.restore(m.letters, f"lodan {hidden} marvel").split(), hidden
+        assert toxicity.score_texts(m, [f"lodan marvel {hidden} tenmit"])[0][0] > clean, hidden
+    for hidden in ("stu pid", "st u pid,", "worth less"):
+        assert toxicity.score_texts(m, [f"lodan {hidden} marvel tenmit"])[0][0] > 0.5, hidden
+    for plain in ("lodan-marvel", "silgus.", "e-mail", "tall", "12.30", "3.5-4"):
+        assert toxicity.restore_token(m.letters, plain) == [plain.strip(".")] or set(toxicity.restore_token(m.letters, plain)) <= m.letters.words
+        assert toxicity.score_texts(m, [f"lodan {plain} marvel tenmit"])[0][0] < 0.5
+
+
 def test_long_stretches_are_decoded_whole():
     texts, labels = toxic_texts()
     m = toxicity.fit(texts, labels, {0: 160, 1: 80})
