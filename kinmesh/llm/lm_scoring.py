@@ -1,6 +1,6 @@
 """Language-model scores from a log-frequency Bloom filter of n-gram counts.
 
-The model gives the probability of each next token: of the end, or of a word by its own count, interpolated
+The model is a word unigram, so the order of words has no effect. It gives the probability of each next token: of the end, or of a word by its own count, interpolated
 (Witten-Bell) with how the word is spelled by byte n-grams within words up to :data:`ORDER`, interpolated in the same
 way. All spelling n-grams and all words are kept at every size.
 A count is quantised on a logarithmic scale, and an n-gram of level q is in the filter as the pairs (n-gram, 1)
