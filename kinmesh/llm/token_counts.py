@@ -63,6 +63,29 @@ def limits(hist: DataFrame) -> DataFrame:
     )
 
 
+def answers_at(hist: DataFrame, given: list[int]) -> DataFrame:
+    """What the context limits ``given`` answer, whether or not a document has just that length; columns as of :func:`limits`.
+
+    The given limits are few and meet every row of the histogram, whose sums are combined before their exchange. Repeated limits are
+    answered once; an empty histogram answers none.
+    """
+    wanted = hist.sparkSession.createDataFrame([(int(x),) for x in sorted(set(given))], "context_limit long")
+    limit, n, docs = F.col("context_limit"), F.col("n_tokens"), F.col("n_docs")
+    sums = hist.crossJoin(F.broadcast(wanted)).groupBy("context_limit").agg(
+        F.sum(F.when(n == limit, docs).otherwise(0)).alias("n_docs"),
+        F.sum(F.when(n > limit, docs).otherwise(0)).alias("docs_longer"),
+        F.sum(F.when(n > limit, n * docs).otherwise(0)).alias("tokens_longer"),
+        F.sum(F.when(n <= limit, docs).otherwise(0)).alias("docs_within"),
+        F.sum(F.when(n <= limit, n * docs).otherwise(0)).alias("tokens_within"),
+    )
+    return sums.select(
+        "*",
+        (F.col("tokens_within") + limit * F.col("docs_longer")).alias("tokens_truncated"),
+        (F.col("tokens_longer") - limit * F.col("docs_longer")).alias("tokens_lost"),
+        (F.col("docs_within") / (F.col("docs_within") + F.col("docs_longer"))).alias("share_within"),
+    )
+
+
 def quantile(answers: DataFrame, q: float) -> int | None:
     """The least length that at least the share ``q`` of the documents stay within; None for an empty table."""
     if not 0 < q <= 1:

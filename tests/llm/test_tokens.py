@@ -143,3 +143,21 @@ def test_codec_edges(spark, sp):
     for r in out:
         assert list(r["ids"]) == sp.encode(r["text"] or "") and r["decoded"] == (r["text"] or "").replace("▁", " ")
     assert piece_codec.digest(no_docs(spark)).count() == 0
+
+
+def test_limits_between_lengths(spark):
+    from kinmesh.llm import token_counts
+
+    counts = {0: 2, 3: 1, 10: 4, 5000: 2}
+    hist = spark.createDataFrame(list(counts.items()), "n_tokens long, n_docs long")
+    got = {r["context_limit"]: r for r in token_counts.answers_at(hist, [2, 2, 10, 2048, 4096, 9000]).collect()}
+    assert sorted(got) == [2, 10, 2048, 4096, 9000]
+    for x, r in got.items():
+        longer = {n: d for n, d in counts.items() if n > x}
+        assert (r["n_docs"], r["docs_longer"], r["tokens_longer"]) == (counts.get(x, 0), sum(longer.values()), sum(n * d for n, d in longer.items()))
+        assert r["tokens_truncated"] == sum(min(n, x) * d for n, d in counts.items())
+        assert r["tokens_lost"] == sum(max(n - x, 0) * d for n, d in counts.items())
+        assert r["share_within"] == sum(d for n, d in counts.items() if n <= x) / 9
+    known = {r["context_limit"]: r.asDict() for r in token_counts.limits(hist).collect()}
+    assert got[10].asDict() == known[10]
+    assert token_counts.answers_at(hist.limit(0), [5]).count() == 0
