@@ -1,8 +1,8 @@
-"""Similarity join of documents on five-word shingles (Jaccard), by a MinHash LSH forest.
+"""Similarity join of documents on five-word shingles (Jaccard), by MinHash LSH with fixed banding.
 
-Every tree of the forest is a trie of short MinHash signatures. Two documents of similarity s share the first r
-values of a tree with probability s**r; matched prefixes are shortened from the full depth until documents
-at the threshold meet in some tree with the target recall. Documents with a common prefix are a node. Within a
+Each of :data:`TREES` bands (trees in the code) has r MinHash values. Two documents of similarity s share a band with
+probability s**r; r is the largest up to :data:`DEPTH` with which documents at the threshold meet in some band with the
+target recall, whatever the data. No trie is built. Documents with a common band are a node. Within a
 node, estimates from a longer sketch tell which members may be linked, and these are joined into candidate
 clusters. All pairs of a cluster are then verified on the shingle sets of the whole texts.
 
