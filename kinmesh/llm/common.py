@@ -53,7 +53,17 @@ def materialise(df: DataFrame, name: str = "step") -> DataFrame:
     """Writes ``df`` as Parquet in the shared folder and reads it again: lineage ends at a table that every executor sees."""
     path = f"{shared_dir(df.sparkSession)}/{name}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    written = df.sparkSession.read.schema(df.schema).parquet(path)
+    written.written_to = path
+    return written
+
+
+def discard(*written: DataFrame) -> None:
+    """Deletes tables that :func:`materialise` wrote, once nothing reads them any more."""
+    for df in written:
+        context = df.sparkSession.sparkContext
+        at = context._jvm.org.apache.hadoop.fs.Path(df.written_to).getParent()
+        at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:

@@ -2,6 +2,7 @@ import itertools
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -71,8 +72,9 @@ def families(n, seed=1):
     return out
 
 
-def test_a_large_group_is_dealt_into_blocks_and_loses_no_link(spark):
-    texts = families(jaccard_join.WHOLE + 120) + families(20, 2) + ["one two", "one two"]
+def test_a_large_group_is_dealt_into_blocks_and_loses_no_link(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "WHOLE", 100)
+    texts = families(250) + families(20, 2) + ["one two", "one two"]
     check(spark, spark.createDataFrame(rows(texts), SCHEMA).repartition(4))
 
 
@@ -87,10 +89,43 @@ def test_one_of_each(spark):
     assert kept.count() - len(worded) == sum(1 for _, t in held if not (t and t.split()))
 
 
-def test_prefix_is_as_long_as_the_recall_allows():
-    r = jaccard_join.prefix_length()
-    recall = lambda n: 1 - (1 - 0.8**n) ** jaccard_join.TREES
-    assert recall(r) >= jaccard_join.RECALL > recall(r + 1)
+def test_prefixes_are_shortened_where_the_trie_is_sparse_until_the_recall_holds():
+    rng = np.random.default_rng(3)
+    depths = jaccard_join.DEPTH - jaccard_join.SHORTEST + 1
+    crowding = np.sort(rng.integers(0, 12, (50, jaccard_join.TREES, depths)), axis=2)  # shorter prefixes are met by more
+    crowding[:, :8, 1:] = 15  # eight crowded trees
+    crowding[0] = 0
+    length = jaccard_join.prefix_lengths(crowding)
+    recall = 1 - np.prod(1 - 0.8 ** length.astype(float), axis=1)
+    assert (recall >= jaccard_join.RECALL).all()
+    assert (length[1:, :8] == jaccard_join.DEPTH).all() and (length[1:, 8:] < jaccard_join.DEPTH).any(axis=1).all()
+    # no longer than needed: one step less in the tree shortened last would miss the target
+    for own in length[1:]:
+        at = own[8:].argmin() + 8
+        less = own.astype(float).copy()
+        less[at] += 1
+        assert 1 - np.prod(1 - 0.8**less) < jaccard_join.RECALL + 1e-4
+    assert len({tuple(x) for x in length}) > 1
+
+
+def test_slices_of_a_long_text_are_the_whole(monkeypatch):
+    text = " ".join(f"w{i % 977} {'y' * (i % 13)}" for i in range(4000)).encode()
+    whole = jaccard_join._sign([text, None, b"", b"a b"])
+    first = set(jaccard_join.shingles([text.split()])[0].tolist())
+    monkeypatch.setattr(jaccard_join, "CHUNK_BYTES", 700)
+    parts = jaccard_join._sign([text, None, b"", b"a b"])
+    assert whole[0] == parts[0] and (whole[1] == parts[1]).all() and (whole[2] == parts[2]).all()
+    assert first == {x for words, _ in jaccard_join.word_lists(text) for x in jaccard_join.shingles([words])[0].tolist()}
+    giant = b"x" * 3000 + b" " * 2000 + b"y z"
+    assert [w for w, _ in jaccard_join.word_lists(giant)] == [[b"x" * 3000, b"y", b"z"]]
+
+
+def test_pairs_of_many_sets_equal_plain_counting():
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 60 if i % 2 else 5000, rng.integers(0, 200)).astype(np.uint64)) for i in range(150)]
+    common = jaccard_join._common(sets)
+    for i, j in itertools.combinations(range(150), 2):
+        assert common[i, j] == common[j, i] == len(np.intersect1d(sets[i], sets[j]))
 
 
 def test_components(spark):
