@@ -425,7 +425,8 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Data
     held = inside.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / WHOLE), F.ceil(F.sum("size") * 8 / WHOLE_BYTES)).alias("blocks"))
     asked = inside.join(held, "cluster").select("rep", "cluster", "copies", "blocks", F.col("row.doc_id").alias("doc_id"), F.col("row.text_hash").alias("text_hash"))
     texts = _source(docs, text, doc_id)
-    met = asked.join(texts, asked["doc_id"].eqNullSafe(texts["doc_id"]) & (asked["text_hash"] == texts["text_hash"])).select("rep", "cluster", "copies", "blocks", "text")
+    # Merged at every size: which texts are asked for is not bounded, so it is never broadcast.
+    met = asked.hint("merge").join(texts, asked["doc_id"].eqNullSafe(texts["doc_id"]) & (asked["text_hash"] == texts["text_hash"])).select("rep", "cluster", "copies", "blocks", "text")
     met = met.mapInArrow(_sets, "rep long, cluster long, copies long, blocks long, shingles binary")
     met = _dealt(met, "cluster", F.col("blocks"), "rep").select("group", "rep", "copies", "block", "shingles")
     verified = materialise(met.repartition("group").sortWithinPartitions("group").mapInArrow(_verified_links, "u long, v long, n long"), "verified")
