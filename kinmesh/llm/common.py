@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -20,6 +21,7 @@ SPACE_REGEX = r"[\x20\x09-\x0D]+"
 ARROW_ROWS = 512
 #: Bytes of text that the numpy kernels take at once.
 CHUNK_BYTES = 2 << 20
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,6 +82,22 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             yield batch.slice(start)
 
 
+def word_slices(text: bytes | None) -> Iterator[list[bytes]]:
+    """The lower-cased words of a text in order, those of about :data:`CHUNK_BYTES` at a time.
+
+    bytes.lower and bytes.split know ASCII letters and ASCII white space only, as the word definition has it.
+    """
+    if not text:
+        return
+    at = 0
+    while at < len(text):
+        end = _SPACE.search(text, at + CHUNK_BYTES) if len(text) - at > CHUNK_BYTES else None
+        end = end.start() if end else len(text)
+        if words := text[at:end].lower().split():
+            yield words
+        at = end
+
+
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     """The texts of a batch, nulls as empty texts."""
     return [t if t is not None else "" for t in batch.column(column).to_pylist()]

@@ -25,7 +25,6 @@ signed in slices; verification holds its set of shingles. Other columns are neit
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinmesh.llm.common import CHUNK_BYTES, SPACES, chunks, discard, materialise, short_batches, table
+from kinmesh.llm.common import CHUNK_BYTES, SPACES, chunks, discard, materialise, short_batches, table, word_slices
 from kinmesh.llm.components import components
 
 SHINGLE = 5
@@ -52,7 +51,6 @@ _LOOK = 1 << 18
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _POWERS = np.cumprod(np.concatenate([[1], np.full((1 << 16) - 1, 0x100000001B3)]).astype(np.uint64), dtype=np.uint64)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
-_SPACE = re.compile(rb"[\x20\x09-\x0D]")
 #: What a prefix of DEPTH, DEPTH - 1, ... SHORTEST values adds to -log(1 - recall) at the threshold.
 GAINS = np.array([-math.log(1 - THRESHOLD**d) for d in range(DEPTH, SHORTEST - 1, -1)])
 
@@ -80,21 +78,15 @@ def prefix_lengths(crowding: np.ndarray) -> np.ndarray:
 
 def word_lists(text: bytes | None) -> Iterator[tuple[list[bytes], int]]:
     """The words of a text in slices; each but the first begins with the last words of the one before, whose number is given too."""
-    if not text:
-        return
-    if len(text) <= CHUNK_BYTES:
-        yield text.lower().split(), 0
-        return
-    words, old, at = [], 0, 0
-    while at < len(text):
-        end = _SPACE.search(text, min(at + CHUNK_BYTES, len(text)))
-        end = end.start() if end else len(text)
-        words += text[at:end].lower().split()
-        at = end
-        if len(words) > old and (at == len(text) or len(words) >= SHINGLE):
+    words, old = [], 0
+    for part in word_slices(text):
+        words += part
+        if len(words) >= SHINGLE:
             yield words, old
             words = words[1 - SHINGLE :]
             old = len(words)
+    if len(words) > old:
+        yield words, old
 
 
 def shingles(words: list[list[bytes]], size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:

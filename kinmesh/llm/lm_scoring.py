@@ -1,57 +1,73 @@
 """Language-model scores from a log-frequency Bloom filter of n-gram counts.
 
-The model is a word unigram, so the order of words has no effect. It gives the probability of each next token: of the end, or of a word by its own count, interpolated
-(Witten-Bell) with how the word is spelled by byte n-grams within words up to :data:`ORDER`, interpolated in the same
-way. All spelling n-grams and all words are kept at every size.
-A count is quantised on a logarithmic scale, and an n-gram of level q is in the filter as the pairs (n-gram, 1)
-to (n-gram, q); how many different bytes follow a history is kept in the same way. Probing (x, 1), (x, 2), ... until
-one is missing gives the level back, never too low (Talbot and Osborne, 2007); a count is held to that of the
-n-gram's shorter endings, which undoes most of the filter's false positives. The filter is built in segments by many tasks
-and grows with its items. At most :data:`MOST_BITS` bits of it are broadcast at once: a larger filter is dealt by key into
-parts, and the vocabulary is probed in one pass for each part, which adds the levels of the keys that lie there.
-
-Only words are scored, each once: the vocabulary with its exact training counts is a table that grows with the
-corpus. A bounded number of the most frequent words is broadcast, which covers most occurrences and takes the
-hot keys out of the join; the other occurrences are joined with the table by word hash.
+The model is a word bigram with Katz back-off. After a history h (a word or the start of a text), a token w (a word or the end) whose
+pair with h is in the filter has probability (count - :data:`DISCOUNT`) / (c(h) + :data:`KAPPA`); the mass that is
+left goes to the other tokens in proportion to their unigram probability (c(w) + 1) / (N + V + 1), in which one unit is for unknown words
+as a kind. The probabilities of all known words, the unknown kind and the end sum to 1.
+
+Pairs and words that training has seen twice or more are in the filter, at every size. A count is quantised downwards on a
+logarithmic scale (two levels for each power of two), and a key of level q is in the filter as (key, 1) to (key, q).
+Probing (key, 1), (key, 2), ... until one is missing gives the level back, never too low (Talbot and Osborne, 2007);
+a pair's level is held to those of its words, which undoes most false positives. The filter is built in segments by many tasks and grows with its
+items; building raises an error if the share of false positives exceeds :data:`FALSE_POSITIVES`. At most :data:`MOST_BITS` bits
+are broadcast at once: a larger filter is dealt by key into parts, and the texts are scored in one pass for each part, which
+counts the tokens whose pairs lie there.
+
+What a word adds to a score apart from the filter (c(w), and as a history c(h) and the back-off weight) is a table that grows with the corpus.
+A bounded number of the most frequent words is broadcast, which covers most occurrences and takes the hot keys out of the join;
+of other words a document's occurrences are added up and joined with the table.
 
 Defined cases: a null text is an empty one, which has only the end token. Repeated rows count each time and are
-scored each. With no training documents every count is 0. Words are told apart by 64-bit hashes in the join.
+scored each. With no training documents every count is 0 and every score too. Words are told apart by 64-bit hashes. A very long
+text is taken in slices. Columns that are carried and have the name of a result are replaced by it.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from kinmesh.llm.common import chunks, fold, materialise, shared_dir, short_batches, table
+from kinmesh.llm.common import chunks, discard, fold, materialise, short_batches, table, word_slices
 
-ORDER = 6
-#: Quantisation: each level's least count is about so many times that of the level below.
-BASE = 1.25
+DISCOUNT, KAPPA = 0.75, 2
+#: Least count of what is in the filter.
+LEAST = 2
 #: Bits of the filter that are broadcast at once, at most (a power of two).
-MOST_BITS = 1 << 28
+MOST_BITS = 1 << 29
 LEAST_BITS = 1 << 20
-BITS_PER_ITEM = 10
+BITS_PER_ITEM = 14
+#: Share of absent keys that may seem present, at most.
+FALSE_POSITIVES = 0.005
 #: Segments of a part of the filter (a power of two), each built by one group.
 SEGMENTS = 512
 #: Most frequent words that are broadcast, at most.
 HOT_WORDS = 1 << 17
-#: Different words that a task counts before it passes them on.
-FLUSH_WORDS = 300_000
+#: Tokens that are looked at together, and different pairs that a task counts before it passes them on.
+TOGETHER, FLUSH = 1 << 19, 1 << 21
 
-_START, _END = 2, 3
+#: No word holds a space, so these stand for the start and the end of a text.
+START, END = b"  ", b" "
+#: The history under which single words are counted.
+_ALONE = np.int64(0)
 _MULT = np.uint64(0x9E3779B97F4A7C15)
-_BYTES = np.random.default_rng(11).integers(1, 1 << 63, size=256, dtype=np.uint64) | np.uint64(1)
-_FOLLOWERS = np.uint64(0x5851F42D4C957F2D)
-_WORDS = np.uint64(0x14057B7EF767814F)
+#: A factor for each hash function of the filter.
+_FACTORS = np.random.default_rng(11).integers(1, 1 << 63, size=16, dtype=np.uint64) | np.uint64(1)
+
+
+def _hashes(words: list[bytes]) -> np.ndarray:
+    digest = xxhash.xxh64_intdigest  # seed 42 as in Spark's xxhash64
+    return np.array([digest(w, 42) for w in words], dtype=np.uint64).view(np.int64)
+
+
+_START_HASH, _END_HASH = (int(_hashes([w])[0]) for w in (START, END))
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -60,44 +76,23 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def _levels() -> np.ndarray:
-    least = [1]
-    while least[-1] < 1 << 50:
-        least.append(max(least[-1] + 1, math.ceil(least[-1] * BASE)))
-    return np.array(least, dtype=np.int64)
+def keys_of(h: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """The filter key of each pair of hashes."""
+    return _mix(_mix(h.view(np.uint64)) * _MULT + w.view(np.uint64))
 
 
-#: Least count of each level, and the count that a level stands for.
-LEVELS = _levels()
-COUNTS = np.concatenate([[0.0], (LEVELS + np.append(LEVELS[1:] - 1, LEVELS[-1])) / 2])
+#: Least count of each level from 1 on: 2, 3, 4, 6, 8, 12, ...
+LEVELS = np.array([(2 + m) << e for e in range(50) for m in (0, 1)], dtype=np.int64)
 
 
 def quantise(counts: np.ndarray) -> np.ndarray:
+    """The level of each count; 0 below :data:`LEAST`."""
     return np.searchsorted(LEVELS, counts, side="right")
 
 
-def spellings(words: list[bytes]):
-    """For orders 1 to ORDER: position, n-gram key and history key of each n-gram that predicts a byte.
-
-    Also the word of each position. A position is that of the predicted byte (the end of a word included).
-    """
-    data = np.frombuffer(b"".join(bytes([_START]) + w + bytes([_END]) for w in words), dtype=np.uint8)
-    sizes = np.array([len(w) + 2 for w in words], dtype=np.int64)
-    start = np.repeat(np.cumsum(sizes) - sizes, sizes)
-    word = np.repeat(np.arange(len(words)), sizes)
-    place = np.arange(len(data)) - start
-    value = _BYTES[data]
-    grams = []
-    key = value
-    for m in range(ORDER):
-        at = np.flatnonzero((place >= m) & (place >= 1))
-        if m:
-            history = np.concatenate([[np.uint64(0)], key[:-1]])
-            key = (history * _MULT + value) ^ np.uint64(m)
-            grams.append((at, _mix(key[at]), _mix(history[at])))
-        else:
-            grams.append((at, _mix(key[at]), np.zeros(len(at), np.uint64)))
-    return word, grams
+def _floor(c: str) -> Column:
+    """The least count of the level of a count of two or more, as a column."""
+    return F.expr(f"shiftleft(shiftright({c}, cast(length(bin({c})) - 2 as int)), cast(length(bin({c})) - 2 as int))")
 
 
 def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
@@ -114,34 +109,33 @@ class LogFrequencyFilter:
     parts: int = 1
 
     def _has(self, keys: np.ndarray, level: int) -> np.ndarray:
+        alive = np.arange(len(keys))
         segment, places = _places(keys, np.uint64(level), self.segment_bits, self.hashes)
-        found = np.ones(len(keys), dtype=bool)
         base = segment * (self.segment_bits >> 3)
         for p in places:
-            found &= (self.bits[base + (p >> 3)] >> (p & 7).astype(np.uint8)) & 1 > 0
-        return found
+            p = p[alive]
+            alive = alive[(self.bits[base[alive] + (p >> 3)] >> (p & 7).astype(np.uint8)) & 1 > 0]
+        return alive
 
-    def levels(self, keys: np.ndarray) -> np.ndarray:
-        """The level of each key, by membership probes from level 1 upwards; 0 for keys of other parts."""
+    def levels(self, keys: np.ndarray, most: np.ndarray | None = None) -> np.ndarray:
+        """The level of each key, ``most`` at most, by membership probes from level 1 upwards."""
         level = np.zeros(len(keys), dtype=np.uint8)
-        alive = np.arange(len(keys)) if self.parts == 1 else np.flatnonzero(part_of(keys, self.parts) == self.part)
+        alive = np.arange(len(keys))
         for q in range(1, len(LEVELS) + 1):
+            if most is not None:
+                alive = alive[most[alive] >= q]
             alive = alive[self._has(keys[alive], q)]
             if not len(alive):
                 break
             level[alive] = q
         return level
 
-    def counts(self, keys: np.ndarray) -> np.ndarray:
-        """The count that the level of each key stands for."""
-        return COUNTS[self.levels(keys)]
-
 
 def _places(keys: np.ndarray, level: np.uint64, segment_bits: int, hashes: int):
     segment = (keys % np.uint64(SEGMENTS)).astype(np.int64)
     h = _mix(keys + np.array([level], dtype=np.uint64) * _MULT)
-    a, b = h >> np.uint64(32), (h & np.uint64(0xFFFFFFFF)) | np.uint64(1)
-    return segment, [((a + np.uint64(i) * b) & np.uint64(segment_bits - 1)).astype(np.int64) for i in range(hashes)]
+    shift = np.uint64(65 - segment_bits.bit_length())
+    return segment, [(h * f >> shift).astype(np.int64) for f in _FACTORS[:hashes]]
 
 
 def _fill(keys: np.ndarray, levels: np.ndarray, segment_bits: int, hashes: int) -> bytes:
@@ -154,323 +148,308 @@ def _fill(keys: np.ndarray, levels: np.ndarray, segment_bits: int, hashes: int)
     return np.packbits(bits, bitorder="little").tobytes()
 
 
-@dataclass
-class SpellingModel:
-    words: int  # training words
-    letters: int  # predicted bytes in training
-    followers: int  # different bytes predicted
-    after_start: int  # different first bytes
-    docs: int
-    known_words: int  # different training words
-    segment_bits: int
-    hashes: int
-    parts: int  # parts of the filter
-
-    def end_prob(self) -> float:
-        return (self.docs + 1) / (self.words + self.docs + 2)
-
-    def word_levels(self, words: list[bytes], held: LogFrequencyFilter) -> tuple[np.ndarray, np.ndarray]:
-        """The levels, as far as the part ``held`` has them, of all keys that the scores of the words need.
-
-        They come word by word. Also returns how many there are of each word.
-        """
-        _, grams = spellings(words)
-        word, keys = _asked(words, grams)
-        levels = []
-        for k in keys:
-            unique, back = np.unique(k, return_inverse=True)
-            levels.append(held.levels(unique)[back])
-        return np.concatenate(levels)[np.argsort(word, kind="stable")], np.bincount(word, minlength=len(words))
-
-    def word_log10(self, words: list[bytes], levels: np.ndarray) -> np.ndarray:
-        """log10 probability of each word as the next token; ``levels`` as :meth:`word_levels` gives them, from all parts."""
-        if not words:
-            return np.zeros(0)
-        word, grams = spellings(words)
-        asked, keys = _asked(words, grams)
-        level = np.empty(len(asked), dtype=np.uint8)
-        level[np.argsort(asked, kind="stable")] = levels
-        counts = np.split(level, np.cumsum([len(k) for k in keys])[:-1])
-        p = np.full(len(word), 1 / 256)
-        own = np.full(len(word), np.inf)  # counts of the shorter n-gram that ends at a position
-        history_count = np.full(len(word), float(self.letters))
-        for m, (at, _, _) in enumerate(grams):
-            count = np.minimum(COUNTS[counts[m]], own[at])
-            if m == 0:
-                total, kinds = float(self.letters), float(self.followers)
-            else:
-                kinds = COUNTS[counts[ORDER + m - 1]]
-                total = history_count[at - 1]
-                if m == 1:
-                    first = (at == 1) | (word[at - 1] != word[at - 2])
-                    total, kinds = np.where(first, float(self.words), total), np.where(first, float(self.after_start), kinds)
-            # a history that nothing followed was not seen: what the filter says of it is false
-            count, total = np.where(kinds > 0, count, 0.0), np.where(kinds > 0, np.maximum(total, count), 1.0)
-            p[at] = np.where(kinds > 0, (count + kinds * p[at]) / (total + kinds), p[at])
-            own[at] = count
-            history_count = np.full(len(word), np.inf)
-            history_count[at] = count
-        logs = np.zeros(len(word))
-        logs[grams[0][0]] = np.log10(p[grams[0][0]])
-        spelled = np.bincount(word, weights=logs, minlength=len(words))
-        own_count = COUNTS[counts[-1]]
-        # One unit is for unknown words as a kind, besides what their spelling gets.
-        return np.log10((own_count + self.known_words * 10.0 ** np.maximum(spelled, -280) + (own_count == 0)) / (self.words + self.known_words + 1)) + math.log10(1 - self.end_prob())
-
-
-def _asked(words: list[bytes], grams) -> tuple[np.ndarray, list[np.ndarray]]:
-    """The filter keys that the scores of words need: n-grams of each order, followers of their histories, whole words.
-
-    The first result is the word of each, over all of them in order.
-    """
-    sizes = np.array([len(w) + 2 for w in words], dtype=np.int64)
-    word = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
-    keys = [*(k for _, k, _ in grams), *(h ^ _FOLLOWERS for _, _, h in grams[1:]), _hashes(words).view(np.uint64) ^ _WORDS]
-    return np.concatenate([*(word[at] for at, _, _ in grams), *(word[at] for at, _, _ in grams[1:]), np.arange(len(words), dtype=np.int32)]), keys
+def runs(texts: list[bytes | None]) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]]:
+    """The tokens of texts, about :data:`TOGETHER` at a time: different words, and for each token its history, itself and its text by number."""
+    ids: dict[bytes, int] = {}
+    history, token, text = [], [], []
+
+    def out():
+        made = list(ids), np.array(history, dtype=np.int64), np.array(token, dtype=np.int64), np.repeat(np.array([i for i, _ in text], dtype=np.int64), np.array([n for _, n in text], dtype=np.int64))
+        ids.clear()
+        history.clear()
+        token.clear()
+        text.clear()
+        return made
+
+    for i, t in enumerate(texts):
+        last = START
+        for words in word_slices(t):
+            number = ids.setdefault
+            history.append(number(last, len(ids)))
+            found = [number(w, len(ids)) for w in words]
+            token += found
+            history += found[:-1]
+            text.append((i, len(found)))
+            last = words[-1]
+            if len(token) >= TOGETHER:
+                yield out()
+        history.append(ids.setdefault(last, len(ids)))
+        token.append(ids.setdefault(END, len(ids)))
+        text.append((i, 1))
+        if len(token) >= TOGETHER:
+            yield out()
+    if token:
+        yield out()
 
 
 def _binary(batch: pa.RecordBatch) -> list[bytes]:
     return batch.column("text").cast(pa.binary()).to_pylist()
 
 
-def words_of(text: bytes | None) -> list[bytes]:
-    """Tokens but the end: bytes.lower and bytes.split know ASCII letters and ASCII white space only, as the definition has it."""
-    return text.lower().split() if text else []
+def _added(h: np.ndarray, w: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sums c by pairs (h, w)."""
+    order = np.lexsort((w, h))
+    h, w, c = h[order], w[order], c[order]
+    first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (w[1:] != w[:-1])]))
+    return h[first], w[first], np.add.reduceat(c, first)
 
 
-def vocabulary(docs: DataFrame, training: Column, text: str = "text") -> DataFrame:
-    """token, c (its count in training rows) and n (its count in all rows)."""
-    schema = pa.schema([("token", pa.binary()), ("c", pa.int64()), ("n", pa.int64())])
+def count(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(h, w, c): how often token w follows h, as hashes, and how often it occurs at all (h 0); pairs from :data:`LEAST` on. A written table."""
+    schema = pa.schema([("h", pa.int64()), ("w", pa.int64()), ("c", pa.int64())])
 
-    def rows(c: Counter, n: Counter):
-        tokens = list(n)
-        for low in range(0, len(tokens), 1 << 16):
-            part = tokens[low : low + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), pa.array([c[t] for t in part], pa.int64()), pa.array([n[t] for t in part], pa.int64())], schema=schema)
-
-    def count(batches):
-        c, n = Counter(), Counter()
-        for batch in chunks(batches):
-            for t, learn in zip(_binary(batch), batch.column("training").to_pylist(), strict=True):
-                found = words_of(t)
-                n.update(found)
-                if learn:
-                    c.update(found)
-            if len(n) > FLUSH_WORDS:
-                yield from rows(c, n)
-                c, n = Counter(), Counter()
-        yield from rows(c, n)
-
-    source = docs.select(F.col(f"`{text}`").alias("text"), training.alias("training"))
-    return source.mapInArrow(count, "token binary, c long, n long").groupBy("token").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
-
-
-def train(vocab: DataFrame, n_docs: int) -> tuple[SpellingModel, DataFrame]:
-    """The model and the filter's segments (part, segment, bytes), from a vocabulary table with training counts; ``n_docs`` training documents."""
-    spark = vocab.sparkSession
-    schema = pa.schema([("k", pa.int64()), ("h", pa.int64()), ("m", pa.int32()), ("c", pa.int64())])
-
-    def merged(parts):
-        k, h, m, c = (np.concatenate(x) for x in zip(*parts, strict=True))
-        unique, index, back = np.unique(k, return_index=True, return_inverse=True)
-        return unique, h[index], m[index], np.bincount(back, weights=c, minlength=len(unique)).astype(np.int64)
-
-    def grams(batches):
-        held, words, counts, size = [], [], [], 0
-
-        def digest():
-            word, orders = spellings(words)
-            weight = np.array(counts, dtype=np.int64)
-            for m, (at, keys, histories) in enumerate(orders):
-                held.append(merged([(keys, histories, np.full(len(at), m, np.int32), weight[word[at]])]))
-            words.clear()
-            counts.clear()
+    def run(batches):
+        held = []
 
         def out():
-            k, h, m, c = merged(held)
-            for low in range(0, len(k), 1 << 16):
+            h, w, c = _added(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            held.clear()
+            for low in range(0, len(h), 1 << 16):
                 s = slice(low, low + (1 << 16))
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (k[s].view(np.int64), h[s].view(np.int64), m[s], c[s])], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(h[s]), pa.array(w[s]), pa.array(c[s])], schema=schema)
 
-        for batch in batches:
-            words += batch.column("token").to_pylist()
-            counts += batch.column("c").to_pylist()
-            if len(words) >= 30_000:
-                digest()
-                size = sum(len(x[0]) for x in held)
-                if size > 4_000_000:
-                    held[:] = [merged(held)]
-                    if len(held[0][0]) > 2_000_000:
-                        yield from out()
-                        held.clear()
-        if words:
-            digest()
+        for batch in chunks(batches):
+            for words, history, token, _ in runs(_binary(batch)):
+                hashes, n = _hashes(words), len(words)
+                pair, c = np.unique(history * n + token, return_counts=True)
+                once = np.bincount(token, minlength=n)
+                own = np.flatnonzero(once)
+                held.append((np.concatenate([hashes[pair // n], np.full(len(own), _ALONE)]), np.concatenate([hashes[pair % n], hashes[own]]), np.concatenate([c, once[own]])))
+            if sum(len(x[0]) for x in held) >= FLUSH:
+                yield from out()
         if held:
             yield from out()
 
-    found = vocab.filter("c > 0").select("token", "c").mapInArrow(grams, "k long, h long, m int, c long")
-    found = materialise(found.groupBy("k").agg(F.min("h").alias("h"), F.min("m").alias("m"), F.sum("c").alias("c")), "grams")
-    followers = found.filter("m > 0").groupBy("h").agg(F.count("*").alias("c"))
-    spelled = found.select(F.col("k").alias("key"), "c").unionByName(followers.select(F.col("h").bitwiseXOR(F.lit(int(_FOLLOWERS.view(np.int64)))).alias("key"), "c"))
-    stats = found.agg(
-        F.coalesce(F.sum(F.when(F.col("m") == 0, F.col("c"))), F.lit(0)).alias("letters"),
-        F.count(F.when(F.col("m") == 0, F.lit(1))).alias("followers"),
-        F.coalesce(F.sum(1 + F.log("c") / math.log(BASE)), F.lit(0.0)).alias("items"),
-    ).first()
-    start = int(_mix(_BYTES[[_START]]).view(np.int64)[0])
-    after_start = found.filter((F.col("m") == 1) & (F.col("h") == start)).count()
-    of_words = vocab.filter("c > 0").agg(F.count("*").alias("k"), F.coalesce(F.sum("c"), F.lit(0)).alias("all"), F.coalesce(F.sum(1 + F.log("c") / math.log(BASE)), F.lit(0.0)).alias("items")).first()
-    items = stats["items"] * 1.3 + of_words["items"]
-    whole = vocab.filter("c > 0").select(F.xxhash64("token").bitwiseXOR(F.lit(int(_WORDS.view(np.int64)))).alias("key"), "c")
-    items_of = spelled.unionByName(whole)
-    parts = max(1, math.ceil(items * BITS_PER_ITEM / MOST_BITS))
-    bits = min(MOST_BITS, max(LEAST_BITS, 1 << max(0, (int(items * BITS_PER_ITEM) - 1).bit_length())))  # of a part
-    segment_bits = bits // SEGMENTS
-    hashes = int(min(7, max(1, round(parts * bits / max(items, 1) * math.log(2)))))
-
-    def fill(group: pa.Table) -> pa.Table:
-        keys = group.column("key").to_numpy().view(np.uint64)
-        levels = quantise(group.column("c").to_numpy())
-        part, segment = int(group.column("part")[0].as_py()), int(group.column("segment")[0].as_py())
-        return pa.table({"part": pa.array([part], pa.int32()), "segment": pa.array([segment], pa.int32()), "bytes": pa.array([_fill(keys, levels, segment_bits, hashes)], pa.binary())})
+    found = docs.select(F.col(f"`{text}`").alias("text")).mapInArrow(run, "h long, w long, c long").groupBy("h", "w").agg(F.sum("c").alias("c"))
+    return materialise(found.filter((F.col("h") == int(_ALONE)) | (F.col("c") >= LEAST)), "counts")
 
-    part = F.shiftrightunsigned("key", 20).bitwiseAND(F.lit(0xFFFFF)) % parts  # as part_of
-    dealt = items_of.select("key", "c", part.cast("int").alias("part"), F.col("key").bitwiseAND(F.lit(SEGMENTS - 1)).cast("int").alias("segment"))
-    filled = materialise(dealt.groupBy("part", "segment").applyInArrow(fill, "part int, segment int, bytes binary"), "filter")
-    return SpellingModel(of_words["all"], stats["letters"], stats["followers"], after_start, n_docs, of_words["k"], segment_bits, hashes, parts), filled
 
+@dataclass
+class Model:
+    tokens: int  # in training, N
+    kinds: int  # different ones, V
+    docs: int
+    segment_bits: int
+    hashes: int
+    parts: int
 
-def load(model: SpellingModel, filled: DataFrame, part: int) -> LogFrequencyFilter:
-    """One part of the filter."""
-    size = model.segment_bits >> 3
-    data = np.zeros(SEGMENTS * size, dtype=np.uint8)
-    for row in filled.filter(F.col("part") == part).toLocalIterator():
-        data[row["segment"] * size : (row["segment"] + 1) * size] = np.frombuffer(row["bytes"], dtype=np.uint8)
-    return LogFrequencyFilter(data, model.segment_bits, model.hashes, part, model.parts)
+    @property
+    def unit(self) -> float:
+        """log10 of one unit of the unigram probability."""
+        return -math.log10(self.tokens + self.kinds + 1)
 
 
-def word_scores(vocab: DataFrame, model: SpellingModel, filled: DataFrame) -> DataFrame:
-    """Adds h (the word's 64-bit hash) and lm (its log10 probability) to a vocabulary table.
+def train(counts: DataFrame, n_docs: int, bits_per_item: float = BITS_PER_ITEM) -> tuple[Model, DataFrame, DataFrame]:
+    """The model, the filter's segments (part, segment, bytes) and the words (w, c, alpha, d), both written tables.
 
-    One pass over the table for each part of the filter but the last carries the levels found so far; of these
-    tables only the newest is kept.
+    alpha is log10 of a word's back-off weight and d that of its denominator as a history.
     """
-    spark = vocab.sparkSession
-    rows, path = vocab.select("token", "c", "n", F.lit(None).cast("binary").alias("levels")), None
-    for part in range(model.parts - 1):
-        sent = spark.sparkContext.broadcast((model, load(model, filled, part)))
-        written = f"{shared_dir(spark)}/levels"
-        rows.mapInArrow(_prober(sent, False), "token binary, c long, n long, levels binary").write.parquet(written)
-        sent.unpersist()
-        if path is not None:
-            _remove(spark, path)
-        rows, path = spark.read.schema("token binary, c long, n long, levels binary").parquet(written), written
-    sent = spark.sparkContext.broadcast((model, load(model, filled, model.parts - 1)))
-    return rows.mapInArrow(_prober(sent, True), "token binary, h long, c long, n long, lm double")
-
-
-def _prober(sent, last: bool):
-    """Adds a part's levels to those of each word; the last part's pass gives the scores."""
+    alone = counts.filter(F.col("h") == int(_ALONE)).select("w", "c")
+    pairs = counts.filter(F.col("h") != int(_ALONE))
+    stats = alone.agg(F.count("*").alias("v"), F.coalesce(F.sum("c"), F.lit(0)).alias("n")).first()
+    whole = stats["n"] + stats["v"] + 1
+    # What a history has given to its own followers, in its own measure and in that of unigrams.
+    given = pairs.join(alone.withColumnRenamed("c", "cw"), "w").groupBy("h").agg(F.sum(_floor("c") - DISCOUNT).alias("own"), (F.sum(F.col("cw") + 1.0) / whole).alias("all"))
+    start = counts.sparkSession.range(1).select(F.lit(_START_HASH).alias("w"), F.lit(n_docs).cast("long").alias("c"))
+    words = alone.unionByName(start).join(given.withColumnRenamed("h", "w"), "w", "left").na.fill(0.0, ["own", "all"])
+    d = F.col("c") + KAPPA
+    words = words.select("w", "c", F.log10((1 - F.col("own") / d) / (1 - F.col("all"))).alias("alpha"), F.log10(d.cast("double")).alias("d"))
+    words = materialise(words, "words")
+    items_of = counts.filter(F.col("c") >= LEAST)
+    items = items_of.agg(F.coalesce(F.sum(2 * F.length(F.bin("c")) - 3), F.lit(0))).first()[0]  # levels, or one more
+    parts = max(1, math.ceil(items * bits_per_item / MOST_BITS))
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << max(0, (int(items * bits_per_item) - 1).bit_length())))  # of a part
+    if bits_per_item < BITS_PER_ITEM:
+        parts, bits = 1, max(SEGMENTS * 8, 1 << max(0, int(items * bits_per_item).bit_length() - 1))
+    segment_bits = bits // SEGMENTS
+    hashes = int(min(10, max(1, round(parts * bits / max(items, 1) * math.log(2)))))
 
-    def run(batches):
-        held: list[pa.RecordBatch] = []
+    def fill(batches):
+        """Rows come sorted by part and segment."""
+        schema = pa.schema([("part", pa.int32()), ("segment", pa.int32()), ("bytes", pa.binary()), ("ones", pa.int64())])
+        held, current = [], None
 
         def out():
-            model, part = sent.value
-            rows = pa.Table.from_batches(held)
+            keys, c = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
-            tokens, before = rows.column("token").to_pylist(), rows.column("levels")
-            levels, sizes = model.word_levels(tokens, part)
-            if not before.null_count:
-                levels = np.maximum(levels, np.frombuffer(b"".join(before.to_pylist()), dtype=np.uint8))
-            if last:
-                yield from pa.table({"token": rows.column("token"), "h": pa.array(_hashes(tokens)), "c": rows.column("c"), "n": rows.column("n"), "lm": pa.array(model.word_log10(tokens, levels))}).to_batches()
-            else:
-                ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-                found = pa.Array.from_buffers(pa.binary(), len(tokens), [None, pa.py_buffer(ends), pa.py_buffer(levels)])
-                yield from pa.table({"token": rows.column("token"), "c": rows.column("c"), "n": rows.column("n"), "levels": found}).to_batches()
+            made = _fill(keys, quantise(c), segment_bits, hashes)
+            ones = int(np.unpackbits(np.frombuffer(made, dtype=np.uint8)).sum())
+            return pa.RecordBatch.from_pydict({"part": [current // SEGMENTS], "segment": [current % SEGMENTS], "bytes": [made], "ones": [ones]}, schema=schema)
 
         for batch in batches:
-            held.append(batch)
-            if sum(b.num_rows for b in held) >= 60_000:
-                yield from out()
-        if sum(b.num_rows for b in held):
-            yield from out()
+            place = batch.column("place").to_numpy()
+            keys, c = batch.column("key").to_numpy().view(np.uint64), batch.column("c").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(place)) + 1), len(place)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if a == b:
+                    continue
+                if held and place[a] != current:
+                    yield out()
+                current = int(place[a])
+                held.append((keys[a:b], c[a:b]))
+        if held:
+            yield out()
+
+    def keyed(batches):
+        for batch in batches:
+            keys = keys_of(batch.column("h").to_numpy(), batch.column("w").to_numpy())
+            place = part_of(keys, parts).astype(np.int64) * SEGMENTS + (keys % np.uint64(SEGMENTS)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(keys.view(np.int64)), batch.column("c")], names=["place", "key", "c"])
 
-    return run
+    dealt = items_of.mapInArrow(keyed, "place long, key long, c long").repartition("place").sortWithinPartitions("place")
+    filled = materialise(dealt.mapInArrow(fill, "part int, segment int, bytes binary, ones long"), "filter")
+    ones = filled.agg(F.coalesce(F.sum("ones"), F.lit(0))).first()[0]
+    if (ones / (parts * bits)) ** hashes > FALSE_POSITIVES:
+        raise ValueError(f"the filter is too small for its {items} items: {ones} of {parts * bits} bits are set")
+    return Model(stats["n"], stats["v"], n_docs, segment_bits, hashes, parts), filled, words
 
 
-def _remove(spark, path: str) -> None:
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+def load(model: Model, filled: DataFrame, part: int) -> LogFrequencyFilter:
+    """One part of the filter."""
+    size = model.segment_bits >> 3
+    data = np.zeros(SEGMENTS * size, dtype=np.uint8)
+    for row in filled.filter(F.col("part") == part).toLocalIterator():
+        data[row["segment"] * size : (row["segment"] + 1) * size] = np.frombuffer(row["bytes"], dtype=np.uint8)
+    return LogFrequencyFilter(data, model.segment_bits, model.hashes, part, model.parts)
 
 
-def _hashes(tokens: list[bytes]) -> np.ndarray:
-    digest = xxhash.xxh64_intdigest  # seed 42 as in Spark's xxhash64
-    return np.array([digest(t, 42) for t in tokens], dtype=np.uint64).view(np.int64)
+@dataclass
+class FrequentWords:
+    w: np.ndarray  # sorted hashes
+    c: np.ndarray
+    alpha: np.ndarray
+    d: np.ndarray
+
+    def of(self, hashes: np.ndarray):
+        """Which words are held, and their c, alpha and d (0 for others)."""
+        at = np.minimum(np.searchsorted(self.w, hashes), len(self.w) - 1)
+        held = self.w[at] == hashes
+        return held, *(np.where(held, x[at], 0) for x in (self.c, self.alpha, self.d))
+
+
+def frequent(words: DataFrame) -> FrequentWords:
+    """The start, the end and the most frequent words: a histogram of counts says from which count on there are :data:`HOT_WORDS` at most."""
+    special = F.col("w").isin(_START_HASH, _END_HASH)
+    at, least = 0, None
+    for row in words.filter(~special).groupBy(_floor("c + 1").alias("q")).agg(F.count("*").alias("k"), F.min("c").alias("c")).orderBy(F.desc("q")).collect():
+        at += row["k"]
+        if at > HOT_WORDS:
+            break
+        least = row["c"]
+    held = words.filter(special if least is None else special | (F.col("c") >= least)).orderBy("w").collect()
+    if not held:
+        return FrequentWords(*(np.zeros(1, t) for t in (np.int64, np.int64, float, float)))
+    return FrequentWords(*(np.array([r[k] for r in held], dtype=t) for k, t in (("w", np.int64), ("c", np.int64), ("alpha", float), ("d", float))))
+
+
+#: What a token whose pair has a level adds besides its history's denominator.
+_SEEN = np.concatenate([[0.0], np.log10(LEVELS - DISCOUNT)])
+
+
+def _look_up(texts: list[bytes | None], model: Model, held: LogFrequencyFilter, hot: FrequentWords):
+    """What texts get from frequent words and the part ``held`` of the filter.
+
+    Arrays n_words (tokens of pairs of this part), known, base and lm, and for words that are not frequent columns (text, hash,
+    occurrences, those with no pair, as a history with no pair and with one).
+    """
+    sums = np.zeros((4, len(texts)))
+    rare = []
+    for words, history, token, text in runs(texts):
+        hashes = _hashes(words)
+        is_hot, c, alpha, d = hot.of(hashes)
+        level = quantise(c).astype(np.uint8)
+        level[hashes == _START_HASH] = 255
+        cold = np.flatnonzero(~is_hot)
+        keys = keys_of(np.full(len(cold), _ALONE), hashes[cold])
+        mine = part_of(keys, model.parts) == held.part
+        # of a word that lies in another part the level is not known here: it bounds nothing
+        level[cold] = 255
+        level[cold[mine]] = held.levels(keys[mine])
+        keys = keys_of(hashes[history], hashes[token])
+        if model.parts > 1:
+            own = np.flatnonzero(part_of(keys, model.parts) == held.part)
+            history, token, text, keys = history[own], token[own], text[own], keys[own]
+        q = held.levels(keys, np.minimum(level[history], level[token]))
+        seen = q > 0
+        n, log_c = len(texts), np.log10(c + 1.0)
+        sums[0] += np.bincount(text, minlength=n)
+        sums[1] += np.bincount(text, weights=(is_hot & (c > 0))[token], minlength=n)
+        sums[2] += np.bincount(text, weights=log_c[token] + model.unit, minlength=n)
+        sums[3] += np.bincount(text, weights=np.where(seen, _SEEN[q] - d[history], log_c[token] + model.unit + alpha[history]), minlength=n)
+        for word, kinds in ((token, (np.ones(len(q), bool), ~seen, None, None)), (history, (None, None, ~seen, seen))):
+            at = np.flatnonzero(~is_hot[word])
+            if len(at):
+                place, back = np.unique(text[at] * len(words) + word[at], return_inverse=True)
+                rare.append((place // len(words), hashes[place % len(words)], *(np.zeros(len(place), np.int64) if k is None else np.bincount(back, weights=k[at], minlength=len(place)).astype(np.int64) for k in kinds)))
+    return sums, [np.concatenate(x) for x in zip(*rare, strict=True)] if rare else [np.zeros(0, np.int64)] * 6
+
+
+_RARE = ("w", "k", "b", "a", "s")
 
 
 def score(docs: DataFrame, training: Column, text: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns ``carry`` with n_tokens, n_known, train_tokens, base_score and score of each row of ``docs``.
 
-    Rows for which ``training`` holds are learned from.
+    Rows for which ``training`` holds are learned from. A written table.
     """
     spark = docs.sparkSession
     short_batches(spark)
     results = {"row_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"}
     own = [c for c in carry if c.lower() not in results]
-    train_docs = docs.filter(training).count()
-    vocab = materialise(vocabulary(docs, training, text), "vocabulary")
-    model, filled = train(vocab, train_docs)
-    scores = materialise(word_scores(vocab, model, filled), "scores")
-    stats = scores.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.when(F.col("c") > 0, F.lit(1))).alias("v")).first()
-    total, kinds = stats["n"] + train_docs, stats["v"] + (1 if train_docs else 0)
-    # The least count of a hot word, from a histogram of count levels.
-    at, hot_from = 0, None
-    for row in scores.groupBy(F.floor(F.log("n") / math.log(1.1)).alias("q")).agg(F.count("*").alias("k"), F.min("n").alias("n")).orderBy(F.desc("q")).collect():
-        at += row["k"]
-        if at > HOT_WORDS:
-            break
-        hot_from = row["n"]
-    hot = [] if hot_from is None else scores.filter(F.col("n") >= hot_from).select("token", "c", "lm").collect()
-    frequent = {bytes(r["token"]): i for i, r in enumerate(hot)}
-    sent = spark.sparkContext.broadcast((frequent, np.log10(np.array([r["c"] for r in hot] + [0], dtype=float) + 1), np.array([r["c"] > 0 for r in hot] + [False]), np.array([r["lm"] for r in hot] + [0.0])))
-    source = docs.select(*[F.col(f"`{c}`") for c in own], F.col(f"`{text}`").alias("text"))
-    made = {"row_id": pa.int64(), "n_words": pa.int64(), "hot_known": pa.int64(), "hot_base": pa.float64(), "hot_lm": pa.float64(), "cold": pa.list_(pa.int64())}
-
-    def look_up(batches):
-        row_id = TaskContext.get().partitionId() << 36
-        index, base, known, lm = sent.value
-        get, none = index.get, len(index)
-        for batch in chunks(batches):
-            columns = [[] for _ in made]
-            for t in _binary(batch):
-                found = words_of(t)
-                at = np.array([get(w, none) for w in found], dtype=np.int64)
-                cold = _hashes([found[i] for i in np.flatnonzero(at == none)])
-                for column, x in zip(columns, (row_id, len(found), int(known[at].sum()), float(base[at].sum()), float(lm[at].sum()), cold), strict=True):
-                    column.append(x)
-                row_id += 1
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *[pa.array(x, type=k) for x, k in zip(columns, made.values(), strict=True)]], names=[*own, *made])
-
-    from pyspark.sql import types as T
-
-    schema = T.StructType([*source.schema.fields[:-1], *T._parse_datatype_string("row_id long, n_words long, hot_known long, hot_base double, hot_lm double, cold array<long>").fields])
-    rows = materialise(source.mapInArrow(look_up, schema), "rows")
-    rare = rows.select("row_id", F.explode("cold").alias("h")).join(scores.select("h", "c", "lm"), "h")
-    rare = rare.groupBy("row_id").agg(F.count(F.when(F.col("c") > 0, F.lit(1))).alias("known"), F.sum(F.log10(F.col("c") + 1.0)).alias("base"), F.sum("lm").alias("lm"))
-    both = rows.drop("cold").join(rare, "row_id", "left")
-    end = train_docs
+    counts = count(docs.filter(training), text)
+    n_docs = counts.filter((F.col("h") == int(_ALONE)) & (F.col("w") == _END_HASH)).select("c").first()
+    model, filled, words = train(counts, n_docs["c"] if n_docs else 0)
+    discard(counts)
+    hot = frequent(words)
+    source = docs.select(F.monotonically_increasing_id().alias("row_id"), *[F.col(f"`{c}`") for c in own], F.col(f"`{text}`").alias("text"))
+    if model.parts > 1:
+        source = materialise(source, "numbered")  # each pass meets the same numbers
+    rare_type = pa.struct([(c, pa.int64()) for c in _RARE])
+    made = T._parse_datatype_string("n_tokens long, known long, base double, lm double, rare array<struct<w: long, k: long, b: long, a: long, s: long>>")
+
+    def passed(sent):
+        def run(batches):
+            m, part, frequent_words = sent.value
+            for batch in chunks(batches):
+                sums, rare = _look_up(_binary(batch), m, part, frequent_words)
+                order = np.argsort(rare[0], kind="stable")
+                ends = np.concatenate([[0], np.cumsum(np.bincount(rare[0], minlength=batch.num_rows))]).astype(np.int32)
+                listed = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(x[order]) for x in rare[1:]], fields=list(rare_type)))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sums[0].astype(np.int64)), pa.array(sums[1].astype(np.int64)), pa.array(sums[2]), pa.array(sums[3]), listed], names=["row_id", *own, *made.names])
+
+        return run
+
+    rows = []
+    for part in range(model.parts):
+        sent = spark.sparkContext.broadcast((model, load(model, filled, part), hot))
+        rows.append(materialise(source.mapInArrow(passed(sent), T.StructType([*source.schema.fields[:-1], *made.fields])), "rows"))
+        sent.unpersist()
+    both = rows[0]
+    for more in rows[1:]:
+        both = both.unionByName(more)
+    rare = both.select("row_id", F.explode("rare").alias("x")).select("row_id", "x.*").join(words, "w", "left")
+    log_c = F.log10(F.coalesce(F.col("c"), F.lit(0)) + 1.0)
+    seen_after = F.coalesce(F.col("d"), F.lit(math.log10(KAPPA)))
+    rare = rare.groupBy("row_id").agg(
+        F.sum(F.when(F.col("c") > 0, F.col("k")).otherwise(0)).alias("rare_known"),
+        F.sum(F.col("k") * log_c).alias("rare_base"),
+        F.sum(F.col("b") * log_c + F.col("a") * F.coalesce("alpha", F.lit(0.0)) - F.col("s") * seen_after).alias("rare_lm"),
+    )
+    both = both.drop("rare")
+    if model.parts > 1:
+        both = rows[0].select("row_id", *own).join(both.groupBy("row_id").agg(*[F.sum(c).alias(c) for c in made.names[:4]]), "row_id")
     sure = lambda c: F.coalesce(F.col(c), F.lit(0))
-    n_tokens = F.col("n_words") + 1
-    return both.select(
+    result = both.join(rare, "row_id", "left").select(
         *[F.col(f"`{c}`") for c in own],
-        n_tokens.alias("n_tokens"),
-        (F.col("hot_known") + sure("known") + F.lit(1 if end else 0)).alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("hot_base") + sure("base") + F.lit(math.log10(end + 1)) - n_tokens * F.lit(math.log10(total + kinds + 1))).alias("base_score"),
-        (F.col("hot_lm") + sure("lm") + F.lit(math.log10(model.end_prob()))).alias("score"),
+        "n_tokens",
+        (F.col("known") + sure("rare_known")).alias("n_known"),
+        F.lit(model.tokens).cast("long").alias("train_tokens"),
+        (F.col("base") + sure("rare_base")).alias("base_score"),
+        (F.col("lm") + sure("rare_lm")).alias("score"),
     )
+    result = materialise(result, "scores")
+    discard(filled, words, *rows, *([source] if model.parts > 1 else []))
+    return result
 
 
 def op2_lm_scoring(spark, sf_dir):

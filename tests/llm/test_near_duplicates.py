@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from kinmesh.llm import jaccard_join, quality_rules
+from kinmesh.llm import common, jaccard_join, quality_rules
 from kinmesh.llm.components import components
 from tests.llm.helpers import SCHEMA, edge_docs, no_docs, rows
 from tests.llm.test_rules_and_languages import brute_rules
@@ -113,6 +113,7 @@ def test_slices_of_a_long_text_are_the_whole(monkeypatch):
     whole = jaccard_join._sign([text, None, b"", b"a b"])
     first = set(jaccard_join.shingles([text.split()])[0].tolist())
     monkeypatch.setattr(jaccard_join, "CHUNK_BYTES", 700)
+    monkeypatch.setattr(common, "CHUNK_BYTES", 700)
     parts = jaccard_join._sign([text, None, b"", b"a b"])
     assert whole[0] == parts[0] and (whole[1] == parts[1]).all() and (whole[2] == parts[2]).all()
     assert first == {x for words, _ in jaccard_join.word_lists(text) for x in jaccard_join.shingles([words])[0].tolist()}
