@@ -25,17 +25,19 @@ text is taken in slices. Columns that are carried and have the name of a result
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kinmesh.llm.common import chunks, discard, fold, materialise, short_batches, table, word_slices
+from kinmesh.llm.common import CHUNK_BYTES, chunks, discard, fold, materialise, short_batches, table
 
 DISCOUNT, KAPPA = 0.75, 2
 #: Least count of what is in the filter.
@@ -49,14 +51,15 @@ FALSE_POSITIVES = 0.005
 #: Segments of a part of the filter (a power of two), each built by one group.
 SEGMENTS = 512
 #: Most frequent words that are broadcast, at most.
-HOT_WORDS = 1 << 17
-#: Tokens that are looked at together, and different pairs that a task counts before it passes them on.
-TOGETHER, FLUSH = 1 << 19, 1 << 21
+HOT_WORDS = 1 << 19
+#: Bytes of text that are looked at together, and different pairs that a task counts before it passes them on.
+TOGETHER, FLUSH = 3 << 20, 1 << 21
 
 #: No word holds a space, so these stand for the start and the end of a text.
 START, END = b"  ", b" "
 #: The history under which single words are counted.
 _ALONE = np.int64(0)
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 #: A factor for each hash function of the filter.
 _FACTORS = np.random.default_rng(11).integers(1, 1 << 63, size=16, dtype=np.uint64) | np.uint64(1)
@@ -109,12 +112,14 @@ class LogFrequencyFilter:
     parts: int = 1
 
     def _has(self, keys: np.ndarray, level: int) -> np.ndarray:
+        """The numbers of the keys that are in the filter with this level; one that misses a bit is not asked for the next."""
         alive = np.arange(len(keys))
-        segment, places = _places(keys, np.uint64(level), self.segment_bits, self.hashes)
+        segment, h, shift = _placed(keys, level, self.segment_bits)
         base = segment * (self.segment_bits >> 3)
-        for p in places:
-            p = p[alive]
-            alive = alive[(self.bits[base[alive] + (p >> 3)] >> (p & 7).astype(np.uint8)) & 1 > 0]
+        for f in _FACTORS[: self.hashes]:
+            p = (h * f >> shift).astype(np.int64)
+            found = (self.bits[base + (p >> 3)] >> (p & 7).astype(np.uint8)) & 1 > 0
+            alive, h, base = alive[found], h[found], base[found]
         return alive
 
     def levels(self, keys: np.ndarray, most: np.ndarray | None = None) -> np.ndarray:
@@ -131,54 +136,68 @@ class LogFrequencyFilter:
         return level
 
 
-def _places(keys: np.ndarray, level: np.uint64, segment_bits: int, hashes: int):
-    segment = (keys % np.uint64(SEGMENTS)).astype(np.int64)
+def _placed(keys: np.ndarray, level: int, segment_bits: int) -> tuple[np.ndarray, np.ndarray, np.uint64]:
+    """The segment of each key, and what gives its places there: a hash times a factor, shifted."""
     h = _mix(keys + np.array([level], dtype=np.uint64) * _MULT)
-    shift = np.uint64(65 - segment_bits.bit_length())
-    return segment, [(h * f >> shift).astype(np.int64) for f in _FACTORS[:hashes]]
+    return (keys % np.uint64(SEGMENTS)).astype(np.int64), h, np.uint64(65 - segment_bits.bit_length())
 
 
 def _fill(keys: np.ndarray, levels: np.ndarray, segment_bits: int, hashes: int) -> bytes:
     """The bytes of one segment that holds each key up to its level."""
     bits = np.zeros(segment_bits, dtype=bool)
     for q in range(1, int(levels.max(initial=0)) + 1):
-        _, places = _places(keys[levels >= q], np.uint64(q), segment_bits, hashes)
-        for p in places:
-            bits[p] = True
+        _, h, shift = _placed(keys[levels >= q], q, segment_bits)
+        for f in _FACTORS[:hashes]:
+            bits[(h * f >> shift).astype(np.int64)] = True
     return np.packbits(bits, bitorder="little").tobytes()
 
 
+def _slices(text: bytes) -> Iterator[tuple[bytes, bool]]:
+    """A text in parts of about :data:`CHUNK_BYTES` that end between words; the last one is marked."""
+    at = 0
+    while len(text) - at > CHUNK_BYTES and (end := _SPACE.search(text, at + CHUNK_BYTES)):
+        yield text[at : end.start()], False
+        at = end.start()
+    yield text[at:], True
+
+
 def runs(texts: list[bytes | None]) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]]:
-    """The tokens of texts, about :data:`TOGETHER` at a time: different words, and for each token its history, itself and its text by number."""
-    ids: dict[bytes, int] = {}
-    history, token, text = [], [], []
+    """The tokens of texts, about :data:`TOGETHER` bytes at a time: different words, and for each token its history, itself and its text by number.
+
+    Arrow lower-cases and splits by ASCII rules only, as the word definition has it.
+    """
+    last_word, held, size = START, [], 0
 
     def out():
-        made = list(ids), np.array(history, dtype=np.int64), np.array(token, dtype=np.int64), np.repeat(np.array([i for i, _ in text], dtype=np.int64), np.array([n for _, n in text], dtype=np.int64))
-        ids.clear()
-        history.clear()
-        token.clear()
-        text.clear()
-        return made
+        nonlocal last_word, size
+        split = pc.ascii_split_whitespace(pc.ascii_lower(pa.array([s for _, s, _ in held], pa.binary()).cast(pa.string())))
+        flat = split.flatten()
+        worded = pc.greater(pc.binary_length(flat), 0)
+        n = np.diff(np.concatenate([[0], np.cumsum(worded.to_numpy(zero_copy_only=False))])[split.offsets.to_numpy()])
+        coded = flat.filter(worded).dictionary_encode()
+        words = [*coded.dictionary.cast(pa.binary()).to_pylist(), START, END, last_word]
+        start, end, carried = range(len(words) - 3, len(words))
+        ends = np.array([last for _, _, last in held])
+        sizes = n + ends
+        token = np.full(int(sizes.sum()), end, dtype=np.int64)
+        own = np.ones(len(token), dtype=bool)
+        own[(np.cumsum(sizes) - 1)[ends]] = False
+        token[own] = coded.indices.to_numpy()
+        text = np.repeat(np.array([i for i, _, _ in held], dtype=np.int64), sizes)
+        history = np.concatenate([[carried], token[:-1]])
+        history[1:][text[1:] != text[:-1]] = start
+        last_word = START if ends[-1] else words[token[-1]] if len(token) and text[-1] == held[-1][0] else last_word
+        held.clear()
+        size = 0
+        return words, history[: len(token)], token, text
 
     for i, t in enumerate(texts):
-        last = START
-        for words in word_slices(t):
-            number = ids.setdefault
-            history.append(number(last, len(ids)))
-            found = [number(w, len(ids)) for w in words]
-            token += found
-            history += found[:-1]
-            text.append((i, len(found)))
-            last = words[-1]
-            if len(token) >= TOGETHER:
+        for part, last in _slices(t or b""):
+            held.append((i, part, last))
+            size += len(part)
+            if size >= TOGETHER:
                 yield out()
-        history.append(ids.setdefault(last, len(ids)))
-        token.append(ids.setdefault(END, len(ids)))
-        text.append((i, 1))
-        if len(token) >= TOGETHER:
-            yield out()
-    if token:
+    if held:
         yield out()
 
 
@@ -187,8 +206,8 @@ def _binary(batch: pa.RecordBatch) -> list[bytes]:
 
 
 def _added(h: np.ndarray, w: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sums c by pairs (h, w)."""
-    order = np.lexsort((w, h))
+    """Sums c by pairs (h, w); a few may stay apart. Rows of a history come together, which packs well."""
+    order = np.argsort((h & ~np.int64(0xFFFFFF)) | (w >> 40 & 0xFFFFFF))
     h, w, c = h[order], w[order], c[order]
     first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (w[1:] != w[:-1])]))
     return h[first], w[first], np.add.reduceat(c, first)
@@ -208,7 +227,7 @@ def count(docs: DataFrame, text: str = "text") -> DataFrame:
                 s = slice(low, low + (1 << 16))
                 yield pa.RecordBatch.from_arrays([pa.array(h[s]), pa.array(w[s]), pa.array(c[s])], schema=schema)
 
-        for batch in chunks(batches):
+        for batch in chunks(batches, limit=TOGETHER):
             for words, history, token, _ in runs(_binary(batch)):
                 hashes, n = _hashes(words), len(words)
                 pair, c = np.unique(history * n + token, return_counts=True)
@@ -336,10 +355,11 @@ def frequent(words: DataFrame) -> FrequentWords:
         if at > HOT_WORDS:
             break
         least = row["c"]
-    held = words.filter(special if least is None else special | (F.col("c") >= least)).orderBy("w").collect()
-    if not held:
+    held = words.filter(special if least is None else special | (F.col("c") >= least)).toArrow()
+    if not held.num_rows:
         return FrequentWords(*(np.zeros(1, t) for t in (np.int64, np.int64, float, float)))
-    return FrequentWords(*(np.array([r[k] for r in held], dtype=t) for k, t in (("w", np.int64), ("c", np.int64), ("alpha", float), ("d", float))))
+    order = np.argsort(held.column("w").to_numpy())
+    return FrequentWords(*(held.column(c).to_numpy()[order] for c in ("w", "c", "alpha", "d")))
 
 
 #: What a token whose pair has a level adds besides its history's denominator.
@@ -365,22 +385,26 @@ def _look_up(texts: list[bytes | None], model: Model, held: LogFrequencyFilter,
         # of a word that lies in another part the level is not known here: it bounds nothing
         level[cold] = 255
         level[cold[mine]] = held.levels(keys[mine])
-        keys = keys_of(hashes[history], hashes[token])
+        pairs, back = np.unique(history * len(words) + token, return_inverse=True)
+        first, second = pairs // len(words), pairs % len(words)
+        keys = keys_of(hashes[first], hashes[second])
         if model.parts > 1:
-            own = np.flatnonzero(part_of(keys, model.parts) == held.part)
-            history, token, text, keys = history[own], token[own], text[own], keys[own]
-        q = held.levels(keys, np.minimum(level[history], level[token]))
+            here = part_of(keys, model.parts) == held.part
+            own = np.flatnonzero(here[back])
+            history, token, text, back = history[own], token[own], text[own], (np.cumsum(here) - 1)[back[own]]
+            first, second, keys = first[here], second[here], keys[here]
+        q = held.levels(keys, np.minimum(level[first], level[second]))[back]
         seen = q > 0
         n, log_c = len(texts), np.log10(c + 1.0)
         sums[0] += np.bincount(text, minlength=n)
         sums[1] += np.bincount(text, weights=(is_hot & (c > 0))[token], minlength=n)
         sums[2] += np.bincount(text, weights=log_c[token] + model.unit, minlength=n)
         sums[3] += np.bincount(text, weights=np.where(seen, _SEEN[q] - d[history], log_c[token] + model.unit + alpha[history]), minlength=n)
-        for word, kinds in ((token, (np.ones(len(q), bool), ~seen, None, None)), (history, (None, None, ~seen, seen))):
-            at = np.flatnonzero(~is_hot[word])
-            if len(at):
-                place, back = np.unique(text[at] * len(words) + word[at], return_inverse=True)
-                rare.append((place // len(words), hashes[place % len(words)], *(np.zeros(len(place), np.int64) if k is None else np.bincount(back, weights=k[at], minlength=len(place)).astype(np.int64) for k in kinds)))
+        t, h = np.flatnonzero(~is_hot[token]), np.flatnonzero(~is_hot[history])
+        place, back = np.unique(np.concatenate([text[t] * len(words) + token[t], text[h] * len(words) + history[h]]), return_inverse=True)
+        add = lambda x, at: np.bincount(at, weights=x, minlength=len(place)).astype(np.int64)
+        as_token, as_history = back[: len(t)], back[len(t) :]
+        rare.append((place // len(words), hashes[place % len(words)], add(None, as_token), add(~seen[t], as_token), add(~seen[h], as_history), add(seen[h], as_history)))
     return sums, [np.concatenate(x) for x in zip(*rare, strict=True)] if rare else [np.zeros(0, np.int64)] * 6
 
 
@@ -410,7 +434,7 @@ def score(docs: DataFrame, training: Column, text: str = "text", carry: tuple[st
     def passed(sent):
         def run(batches):
             m, part, frequent_words = sent.value
-            for batch in chunks(batches):
+            for batch in chunks(batches, limit=TOGETHER):
                 sums, rare = _look_up(_binary(batch), m, part, frequent_words)
                 order = np.argsort(rare[0], kind="stable")
                 ends = np.concatenate([[0], np.cumsum(np.bincount(rare[0], minlength=batch.num_rows))]).astype(np.int32)

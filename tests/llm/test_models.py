@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kinmesh.llm import common, lm_scoring, quality_classifier, topk_search, toxicity
+from kinmesh.llm import lm_scoring, quality_classifier, topk_search, toxicity
 from tests.llm.helpers import EN, edge_docs, no_docs
 
 
@@ -170,12 +170,15 @@ def test_filter_past_one_broadcast_gives_the_same_scores(spark, sf, monkeypatch)
 
 
 def test_slices_of_a_long_text_give_the_same_tokens(monkeypatch):
-    text = " ".join(f"W{i % 97}" for i in range(5000)).encode()
+    text = " ".join(f"W{i % 97}" + " \n" * (i % 7 == 0) + " " * 200 * (i % 900 == 0) for i in range(5000)).encode()
     seen = lambda: Counter((w[h], w[t]) for w, hs, ts, _ in lm_scoring.runs([text, None, b""]) for h, t in zip(hs, ts, strict=True))
     whole = seen()
-    monkeypatch.setattr(common, "CHUNK_BYTES", 300)
-    monkeypatch.setattr(lm_scoring, "TOGETHER", 100)
-    assert seen() == whole and whole[lm_scoring.START, lm_scoring.END] == 2
+    for most, together in ((300, 1000), (50, 50), (1000, 300)):
+        monkeypatch.setattr(lm_scoring, "CHUNK_BYTES", most)
+        monkeypatch.setattr(lm_scoring, "TOGETHER", together)
+        assert seen() == whole
+    assert Counter(x for _, _, _, xs in lm_scoring.runs([text, None, b""]) for x in xs.tolist()) == {0: 5001, 1: 1, 2: 1}
+    assert sum(whole.values()) == 5003 and whole[lm_scoring.START, lm_scoring.END] == 2
 
 
 def brute_top(vectors, queries, k=5):
