@@ -21,6 +21,8 @@ SPACE_REGEX = r"[\x20\x09-\x0D]+"
 ARROW_ROWS = 512
 #: Bytes of text that the numpy kernels take at once.
 CHUNK_BYTES = 2 << 20
+#: Longest text that a classifier's bounded sample takes.
+SAMPLE_BYTES = 1 << 17
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 
@@ -30,9 +32,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def short_batches(spark: SparkSession) -> None:
-    """Limits the rows of an Arrow batch, so that a run of very long texts fits a worker; called before any Python function, it also sends workers the package."""
+    """Limits the rows of an Arrow batch, so that a run of very long texts fits a worker; called before any Python function, it also sends workers the package.
+
+    A smaller limit of the session stays. Spark reads the limit when a plan runs, so it cannot be that of one plan alone.
+    """
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= ARROW_ROWS:
+        spark.conf.set(key, str(ARROW_ROWS))
 
 
 def fold(doc_id: Column, n: int) -> Column:
@@ -133,7 +140,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     """Texts and labels to learn from: about ``per_class`` documents of each label value (0 and 1), by a hash of the id.
 
     Rows of the fold ``left_out`` (crc32 of the id modulo ``folds``) are never taken. Also returns how many labelled
-    ids of each value there are. The sample of ids is bounded, so it alone is broadcast to the scan of the texts. Null
+    ids of each value there are. The sample of ids is bounded, so it alone is broadcast to the scan of the texts; a text that
+    an id has several times is taken once, one of more than :data:`SAMPLE_BYTES` is not learned from, and of several texts of an id one is. Null
     labels teach nothing; of contradicting labels of one id the larger counts.
     """
     known = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), folds) != left_out))
@@ -143,4 +151,5 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     for value, n in totals.items():
         share = F.when(F.col("label") == value, F.lit(min(1.0, per_class / n))).otherwise(share)
     ids = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * float(1 << 20))
-    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "label"), totals
+    texts = docs.select("doc_id", "text").filter(F.coalesce(F.octet_length("text"), F.lit(0)) <= SAMPLE_BYTES)
+    return texts.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("label").alias("label")).select("text", "label"), totals

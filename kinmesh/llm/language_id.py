@@ -2,17 +2,20 @@
 
 Texts are lower-cased and every character that is no letter becomes a space; n-grams of one to three
 characters fall into a fixed number of buckets. A matrix of log probabilities (bucket x language) is
-broadcast and a batch of texts is scored in numpy: the rows of the n-grams that occur are gathered and
-summed by document. The matrix has ``languages * BUCKETS`` numbers whatever the size of the corpus;
-:data:`MOST_LANGUAGES` bounds it.
+broadcast and texts are scored in numpy: a text is a sparse row, the buckets that occur with their counts, which is
+multiplied with the rows of the matrix. The matrix has ``languages * BUCKETS`` numbers whatever the size of the corpus;
+:data:`MOST_LANGUAGES` bounds it, and more languages are refused with an error. Long texts are taken in slices of :data:`SLICE`
+characters, so memory beyond a text and its lower-cased copy does not grow with its length.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0; so is every text if no
-document could be learned from. Rows with a null language teach nothing. Repeated rows are judged alike.
+document could be learned from. Rows with a null language teach nothing. Repeated rows are judged alike; of languages with the
+same probability the first by name is taken. Columns named like a result are replaced by it.
 """
 
 from __future__ import annotations
 
 import functools
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,6 +30,8 @@ ORDERS = (1, 2, 3)
 MOST_LANGUAGES = 256
 #: About so many documents of each language are learned from: a bounded, hashed sample.
 TRAIN_DOCS_PER_LANGUAGE = 4000
+#: Characters that are looked at together.
+SLICE = 1 << 18
 UNKNOWN = "und"
 _MIX = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D))
 
@@ -37,34 +42,46 @@ def _letters() -> np.ndarray:
     return np.fromiter((i if chr(i).isalpha() else 32 for i in range(0x110000)), dtype=np.uint32, count=0x110000)
 
 
-def _characters(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """The code points of all texts, each ended by two spaces, and where each text starts."""
-    lowered = [(t or "").lower() + "  " for t in texts]
-    starts = np.zeros(len(lowered), dtype=np.int64)
-    np.cumsum([len(t) for t in lowered[:-1]], out=starts[1:])
-    return _letters()[np.frombuffer("".join(lowered).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)], starts
+def _slices(text: str | None) -> Iterator[tuple[str, str]]:
+    """A lower-cased text, ended by two spaces, in slices, each with the two characters before it (spaces at the start)."""
+    lowered = (text or "").lower() + "  "
+    for low in range(0, len(lowered), SLICE):
+        yield lowered[low - 2 : low] if low else "  ", lowered[low : low + SLICE]
 
 
-def _grams(points: np.ndarray):
-    """For each order the bucket of the n-gram that ends at each position, and whether it counts.
-
-    N-grams reach back over a text's start only into the spaces that end the text before.
-    """
+def _grams(before: str, characters: str) -> tuple[np.ndarray, bool]:
+    """The buckets of all n-grams that end in ``characters`` and are not only spaces, and whether there is a letter."""
+    points = _letters()[np.frombuffer((before + characters).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
     space = points == 32
     shift = BUCKETS.bit_length() - 1
-    total = np.zeros(len(points), dtype=np.uint32)
+    total = np.zeros(len(points) - 2, dtype=np.uint32)
+    found = []
     for n in ORDERS:
-        back = points if n == 1 else np.concatenate([np.full(n - 1, 32, np.uint32), points[: 1 - n]])
+        back = points[3 - n : len(points) + 1 - n]
         total = total * _MIX[0] + (back + np.uint32(n)) * _MIX[1]
         bucket = ((total ^ (total >> np.uint32(15))) * _MIX[2]) >> np.uint32(32 - shift)
-        blank = space if n == 1 else space & np.concatenate([[True], space[:-1]])
-        yield bucket, blank
+        found.append(bucket[~(space[2:] if n == 1 else space[2:] & space[1:-1])])
+    return np.concatenate(found), not space[2:].all()
+
+
+def sparse_row(text: str | None) -> tuple[np.ndarray, np.ndarray, bool]:
+    """The buckets that occur in a text, by number, their counts, and whether it has a letter."""
+    counts, lettered, buckets = None, False, None
+    for before, characters in _slices(text):
+        buckets, own = _grams(before, characters)
+        lettered |= own
+        if len(characters) < SLICE and counts is None and len(buckets) < BUCKETS // 16:
+            return *np.unique(buckets, return_counts=True), lettered
+        held = np.bincount(buckets, minlength=BUCKETS)
+        counts = held if counts is None else counts + held
+    at = np.flatnonzero(counts)
+    return at, counts[at], lettered
 
 
 @dataclass
 class LanguageModel:
     languages: list[str]
-    log_probs: np.ndarray  # (BUCKETS + 1, languages); the last row is zero, for n-grams that don't count
+    log_probs: np.ndarray  # (BUCKETS, languages)
     log_priors: np.ndarray
 
 
@@ -78,7 +95,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", per_language:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
     languages = sorted(totals)
     if not languages:
-        return LanguageModel([], np.zeros((BUCKETS + 1, 0)), np.zeros(0))
+        return LanguageModel([], np.zeros((BUCKETS, 0)), np.zeros(0))
     share = F.create_map(*[F.lit(x) for k, n in totals.items() for x in (k, min(1.0, per_language / n))])
     sample = known.filter((F.pmod(F.xxhash64("text"), F.lit(1 << 20)) / float(1 << 20)) < share[F.col("lang")])
     index = {k: i for i, k in enumerate(languages)}
@@ -87,10 +104,9 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", per_language:
         counts = np.zeros((len(languages), BUCKETS), dtype=np.int64)
         for batch in chunks(batches):
             texts, langs = batch.column("text").to_pylist(), batch.column("lang").to_pylist()
-            for k in set(langs):
-                points, _ = _characters([t for t, x in zip(texts, langs, strict=True) if x == k])
-                for bucket, blank in _grams(points):
-                    counts[index[k]] += np.bincount(bucket[~blank], minlength=BUCKETS)
+            for t, k in zip(texts, langs, strict=True):
+                at, n, _ = sparse_row(t)
+                counts[index[k], at] += n
         for k in languages:
             if counts[index[k]].any():
                 yield pa.RecordBatch.from_pydict({"lang": [k], "counts": [counts[index[k]].tobytes()]})
@@ -101,22 +117,21 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", per_language:
         counts[index[row["lang"]]] += np.frombuffer(row["counts"], dtype=np.int64)
     smoothed = np.log(counts + 0.5) - np.log(counts.sum(axis=1, keepdims=True) + 0.5 * BUCKETS)
     priors = np.array([totals[k] for k in languages], dtype=float)
-    return LanguageModel(languages, np.vstack([smoothed.T, np.zeros((1, len(languages)))]), np.log(priors / priors.sum()))
+    return LanguageModel(languages, np.ascontiguousarray(smoothed.T), np.log(priors / priors.sum()))
 
 
 def score_texts(model: LanguageModel, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
     """The most probable language and its posterior probability for each text."""
     if not model.languages or not texts:
         return [UNKNOWN] * len(texts), np.zeros(len(texts))
-    points, starts = _characters(texts)
     total = np.tile(model.log_priors, (len(texts), 1))
-    for bucket, blank in _grams(points):
-        bucket = np.where(blank, BUCKETS, bucket)
-        total += np.add.reduceat(model.log_probs[bucket], starts, axis=0)
+    lettered = np.zeros(len(texts), dtype=bool)
+    for i, t in enumerate(texts):
+        at, n, lettered[i] = sparse_row(t)
+        total[i] += n @ model.log_probs[at]
     total -= total.max(axis=1, keepdims=True)
     best = total.argmax(axis=1)
     score = 1.0 / np.exp(total).sum(axis=1)
-    lettered = np.add.reduceat((points != 32).astype(np.int64), starts) > 0
     return [model.languages[b] if ok else UNKNOWN for b, ok in zip(best, lettered, strict=True)], np.where(lettered, score, 0.0)
 
 

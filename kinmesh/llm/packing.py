@@ -1,17 +1,19 @@
 """Packing of token sequences by Karmarkar-Karp multiway differencing.
 
-Documents are encoded where they lie and cut into pieces; a task packs them block by block. Within a block
-every piece begins as a partition of its own (one full window, the rest empty). Again and again the two
-partitions with the largest imbalance are merged, the fullest windows of one with the emptiest of the
-other, until one partition of near-equal windows is left. Where its fullest window exceeds the capacity, the
-number of windows rises by one and the block is packed again.
+Documents are encoded where they lie; a task packs them block by block. A document longer than a window gives whole
+windows and a rest; rests and shorter documents stay whole. Within a block every piece begins as a partition of its own
+(one window, the rest empty). Again and again the two partitions with the largest imbalance are merged, the
+fullest windows of one with the emptiest of the other, until one partition of near-equal windows is left.
 
-Since documents may be cut freely, a block is closed with a piece cut so that its windows can be nearly full,
-and what is left at the end of a task becomes sequences whose lengths are powers of two, which need no
-padding. Nothing is shuffled; a task that is run again makes the same sequences.
+Documents may be cut freely, so a block is closed with as many tokens as its windows hold, and what the fullest windows
+of the partition have too much is cut off and given to the emptiest: all become full, with about one cut for a window. With
+``cut=False`` pieces stay whole: where the fullest window exceeds the capacity, the number of windows rises by one and the block is
+packed again. What is left at the end of a task, less than a window, becomes sequences whose lengths are powers of two, which
+need no padding. Nothing is shuffled; a task that is run again makes the same sequences.
 
 Defined cases: a null text is an empty text; a document always has its end token, so an empty one is a piece of
-length 1. Repeated rows are packed each by itself. An empty table packs into nothing.
+length 1. Repeated rows are packed each by itself; ids may be null. An empty table packs into nothing. A very long text gives windows as soon
+as it is encoded; its ids are held by one task. Other columns are neither read nor returned.
 """
 
 from __future__ import annotations
@@ -30,13 +32,8 @@ from kinmesh.llm.encoding import default_vocabulary, encoder
 
 CAPACITY = 2048
 END_ID = 1
-#: Longest piece. Documents are cut into pieces of many lengths up to this: differencing balances such windows to
-#: within a few tokens, but not windows of pieces that are mostly of one length.
-PIECE = 512
 #: Pieces of a block.
-BLOCK = 2048
-#: Tokens that a window of a closed block leaves free on average, so that near-equal windows fit.
-SLACK = 5
+BLOCK = 512
 
 
 def differencing(sizes: np.ndarray, k: int) -> np.ndarray:
@@ -85,33 +82,64 @@ def windows(sizes: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
         k += 1
 
 
+def level(sizes: np.ndarray, window: np.ndarray, capacity: int) -> list[tuple[int, int, int, int]]:
+    """Cuts pieces so that no window exceeds the capacity: (window, piece, from, to), by window.
+
+    The capacity of all windows together has to suffice.
+    """
+    sums = np.bincount(window, weights=sizes, minlength=int(window.max()) + 1).astype(np.int64)
+    parts, spare = [], []
+    order = np.lexsort((sizes, window))  # by window, small pieces first
+    for i in order.tolist():
+        keep, w = int(sizes[i]), int(window[i])
+        if sums[w] > capacity and (over := min(keep, int(sums[w]) - capacity)):
+            keep -= over
+            sums[w] -= over
+            spare.append((i, keep, keep + over))
+        if keep:
+            parts.append((w, i, 0, keep))
+    rooms = iter(np.argsort(sums, kind="stable").tolist())
+    w = next(rooms)
+    for i, low, high in spare:
+        while low < high:
+            if not (room := capacity - int(sums[w])):
+                w = next(rooms)
+                continue
+            end = min(high, low + room)
+            parts.append((w, i, low, end))
+            sums[w] += end - low
+            low = end
+    return sorted(parts)
+
+
 class _Packer:
-    """Collects pieces (doc index, start, length, crc) of one task and packs them block by block."""
+    """Collects pieces (doc index, start, ids, tokens of the document) of one task and packs them block by block."""
 
-    def __init__(self, partition: int, capacity: int, piece: int, block: int):
+    def __init__(self, partition: int, capacity: int, piece: int, block: int, cut: bool):
         self.next_id = partition << 32
-        self.capacity, self.piece, self.block = capacity, piece, block
+        self.capacity, self.piece, self.block, self.cut = capacity, min(piece, capacity), block, cut
         self.pieces: list[tuple] = []
         self.total = 0
         self.rows: list[tuple] = []
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
-        start = 0
-        while start < len(ids):
-            part = ids[start : start + 1 + (((len(ids) + start) * 2654435761) >> 9) % self.piece]
+        for start in range(0, len(ids), self.piece):
+            part = ids[start : start + self.piece]
+            if len(part) == self.capacity:
+                self._emit([(doc_id, start, part, len(ids))], np.zeros(1, dtype=np.int64))
+                continue
             self.pieces.append((doc_id, start, part, len(ids)))
-            start += len(part)
             self.total += len(part)
             if len(self.pieces) >= self.block:
                 self.close()
 
-    def _cut(self, want: int) -> list[tuple]:
+    def _take(self, want: int) -> list[tuple]:
         """Takes pieces of ``want`` tokens together out of those collected, cutting one if need be."""
         taken, held = [], 0
         while held < want:
-            doc_id, start, part, n = self.pieces.pop(0)
+            doc_id, start, part, n = self.pieces.pop()
             if held + len(part) > want:
-                self.pieces.insert(0, (doc_id, start + want - held, part[want - held :], n))
+                self.pieces.append((doc_id, start + want - held, part[want - held :], n))
                 part = part[: want - held]
             taken.append((doc_id, start, part, n))
             held += len(part)
@@ -130,18 +158,23 @@ class _Packer:
             offset += len(part)
 
     def close(self) -> None:
-        """Packs as many pieces as fill whole windows but for the slack."""
-        k = self.total // (self.capacity - SLACK)
-        if k:
-            taken = self._cut(k * (self.capacity - SLACK))
-            self._emit(taken, windows(np.array([len(p[2]) for p in taken]), self.capacity))
+        """Packs as many pieces as fill whole windows; if pieces stay whole, all of them."""
+        if not self.cut:
+            taken, self.pieces, self.total = self.pieces, [], 0
+            if taken:
+                self._emit(taken, windows(np.array([len(p[2]) for p in taken]), self.capacity))
+        elif k := self.total // self.capacity:
+            taken = self._take(k * self.capacity)
+            sizes = np.array([len(p[2]) for p in taken])
+            parts = level(sizes, differencing(sizes, k), self.capacity)
+            held = [(taken[i][0], taken[i][1] + low, taken[i][2][low:high], taken[i][3]) for _, i, low, high in parts]
+            self._emit(held, np.array([w for w, _, _, _ in parts]))
 
     def finish(self) -> None:
         """Packs the rest: whole windows first, then sequences of falling powers of two."""
         self.close()
         while self.total:
-            size = min(self.capacity, 1 << (self.total.bit_length() - 1))
-            taken = self._cut(size)
+            taken = self._take(1 << (self.total.bit_length() - 1))
             self._emit(taken, np.zeros(len(taken), dtype=np.int64))
 
     def drain(self, schema: pa.Schema):
@@ -152,14 +185,17 @@ class _Packer:
 _COLUMNS = ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
-def pack(docs: DataFrame, vocabulary: str | None = None, text: str = "text", doc_id: str = "doc_id", capacity: int = CAPACITY, piece: int = PIECE, block: int = BLOCK) -> DataFrame:
-    """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id and offset."""
+def pack(docs: DataFrame, vocabulary: str | None = None, text: str = "text", doc_id: str = "doc_id", capacity: int = CAPACITY, piece: int = CAPACITY, block: int = BLOCK, cut: bool = True) -> DataFrame:
+    """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id and offset.
+
+    Parts longer than ``piece`` are cut beforehand.
+    """
     short_batches(docs.sparkSession)
     path = vocabulary or default_vocabulary()
     schema = pa.schema([("doc_id", pa.int64()), *[(c, pa.int64()) for c in _COLUMNS]])
 
     def run(batches):
-        packer = _Packer(TaskContext.get().partitionId(), capacity, piece, block)
+        packer = _Packer(TaskContext.get().partitionId(), capacity, piece, block, cut)
         encode = encoder(path).ids
         for batch in chunks(batches):
             for key, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):

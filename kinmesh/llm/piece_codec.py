@@ -33,6 +33,8 @@ SPACE_MARK = "▁"
 REMEMBERED, CACHE = 48, 1_000_000
 _STRETCH = re.compile(f"\n|{SPACE_MARK}*[^{SPACE_MARK}\n]+|{SPACE_MARK}+")
 _NONE = -1
+#: Remembered pairs of neighbours, at most; then they are forgotten.
+MOST_FITS = 1 << 20
 
 
 def default_model() -> str:
@@ -107,6 +109,8 @@ class Vocabulary:
                 limit, b = rank[b] + 1, self.split(b)[0]
             else:
                 break
+        if len(self._fits) >= MOST_FITS:
+            self._fits.clear()
         self._fits[key] = good
         return good
 

@@ -10,11 +10,13 @@ The network is learned from a bounded, hashed sample of labelled documents and h
 corpus. Scoring is one pass over whole texts; nothing is shuffled.
 
 Defined cases: a null or empty text is a bag with one passage without words. Without labels of both values every score
-is the share of label 1 (0 if there are no labels). Repeated rows are scored alike.
+is the share of label 1 (0 if there are no labels). Repeated rows are scored alike. A very long text is encoded and scored in slices.
+Columns named like a result are replaced by it.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinmesh.llm.common import annotate, chunks, fold, labelled_sample, short_batches, table
+from kinmesh.llm.common import CHUNK_BYTES, annotate, chunks, fold, labelled_sample, short_batches, table
 
 PASSAGE_WORDS = 64
 #: Labelled documents of each value that are learned from, about.
@@ -54,7 +56,33 @@ _HASH = np.random.default_rng(20).integers(0, 1 << 63, size=(256, 32), dtype=np.
 
 def encode(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Passage vectors of all texts, and the index of each text's first passage."""
-    raw = [(t or "").encode("utf-8", "replace") + b"\n" for t in texts]
+    return _encode([(t or "").encode("utf-8", "replace") + b"\n" for t in texts])
+
+
+def slices(text: str) -> Iterator[np.ndarray]:
+    """The passage vectors of a long text, slice by slice; together they are those of the whole text."""
+    raw = text.encode("utf-8", "replace") + b"\n"
+    total = sum(np.count_nonzero(~(b := _SPACE[np.frombuffer(raw[low : low + CHUNK_BYTES], dtype=np.uint8)])[1:] & b[:-1]) + (not b[0] and (low == 0 or _SPACE[raw[low - 1]])) for low in range(0, len(raw), CHUNK_BYTES))
+    low = 0
+    while low < len(raw):
+        size = CHUNK_BYTES
+        while True:  # up to the last word that begins a passage; a passage of very long words needs a longer slice
+            part = np.frombuffer(raw[low : low + size], dtype=np.uint8)
+            if low + size >= len(raw):
+                end = len(part)
+                break
+            blank = _SPACE[part]
+            begins = np.flatnonzero(~blank & np.concatenate([[True], blank[:-1]]))
+            if (n := (len(begins) - 1) // PASSAGE_WORDS * PASSAGE_WORDS) > 0:
+                end = int(begins[n])
+                break
+            size *= 2
+        yield _encode([raw[low : low + end]], raw[low + end : low + end + 1] or b"\n", int(total))[0]
+        low += end
+
+
+def _encode(raw: list[bytes], next_byte: bytes = b"\n", total_words: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Of texts that end in a line break; or of one part of a text, with the byte after it and the words of the whole."""
     data = np.frombuffer(b"".join(raw), dtype=np.uint8)
     doc_start = np.zeros(len(raw) + 1, dtype=np.int64)
     np.cumsum([len(r) for r in raw], out=doc_start[1:])
@@ -80,7 +108,7 @@ def encode(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     vectors = np.zeros((total, WIDTH), dtype=np.float32)
     classes = _CLASS[data]
     after = np.append(classes[1:], 1)
-    after[doc_start[1:] - 1] = 1  # a text ends in a line break, whatever text comes next
+    after[doc_start[1:] - 1] = _CLASS[next_byte[0]]  # a text ends in a line break, whatever text comes next
     n_pairs = _CLASSES * _CLASSES
     vectors[:, :n_pairs] = np.bincount(passage * n_pairs + classes * _CLASSES + after, minlength=total * n_pairs).reshape(total, n_pairs)
     vectors[:, :n_pairs] /= np.maximum(np.bincount(passage, minlength=total), 1)[:, None]
@@ -105,7 +133,7 @@ def encode(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
             np.bincount(word_passage[1:][same], minlength=total) / held,
             distinct / held,
             np.bincount(word_passage, minlength=total) / PASSAGE_WORDS,
-            np.log1p(np.repeat(words, passages)) / 10,
+            np.log1p(np.repeat(words, passages) if total_words is None else np.full(total, total_words)) / 10,
         )
         for i, s in enumerate(stats):
             vectors[:, n_pairs + _WORD_BUCKETS + i] = s
@@ -131,6 +159,31 @@ def _forward(p: dict[str, np.ndarray], x: np.ndarray, first: np.ndarray):
     return h, t, s, a, z, z @ p["c"] + p["d"][0], sizes
 
 
+def _forward_slices(p: dict[str, np.ndarray], slices_of: Iterable[np.ndarray]) -> float:
+    """The logit of one document, slice by slice: sums of the attention are carried along and scaled by their largest exponent."""
+    most, total, z = -np.inf, 0.0, np.zeros(HIDDEN)
+    for x in slices_of:
+        h = np.tanh(x @ p["W"] + p["b"])
+        e = (np.tanh(h @ p["V"]) / (1 + np.exp(-(h @ p["U"])))) @ p["w"]
+        now = max(most, float(e.max()))
+        w = np.exp(e - now)
+        total, z = total * np.exp(most - now) + w.sum(), z * np.exp(most - now) + w @ h
+        most = now
+    return float(z / total @ p["c"] + p["d"][0])
+
+
+def _gradients(p: dict[str, np.ndarray], x: np.ndarray, first: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+    """Of the mean logistic loss of the documents, by backward propagation."""
+    h, t, s, a, z, logit, sizes = _forward(p, x, first)
+    g = (1 / (1 + np.exp(-logit)) - y) / len(y)
+    gz = np.repeat(g[:, None] * p["c"], sizes, axis=0)
+    ga = (gz * h).sum(axis=1)
+    ge = a * (ga - np.repeat(np.add.reduceat(a * ga, first), sizes))
+    gt, gs = ge[:, None] * p["w"] * s * (1 - t * t), ge[:, None] * p["w"] * t * s * (1 - s)
+    gh = (a[:, None] * gz + gt @ p["V"].T + gs @ p["U"].T) * (1 - h * h)
+    return {"W": x.T @ gh, "b": gh.sum(axis=0), "V": h.T @ gt, "U": h.T @ gs, "w": (t * s).T @ ge, "c": z.T @ g, "d": np.array([g.sum()])}
+
+
 def fit(bags: list[np.ndarray], labels: list[int], totals: dict[int, int], seed: int = 7) -> AttentionModel:
     """Learns the network by Adam from bags of passage vectors with one label each."""
     n_all, n_1 = sum(totals.values()), totals.get(1, 0)
@@ -152,14 +205,8 @@ def fit(bags: list[np.ndarray], labels: list[int], totals: dict[int, int], seed:
             chosen = order[low : low + BATCH]
             x = np.concatenate([bags[i] for i in chosen])
             first = np.concatenate([[0], np.cumsum([len(bags[i]) for i in chosen])[:-1]])
-            h, t, s, a, z, logit, sizes = _forward(p, x, first)
-            g = (1 / (1 + np.exp(-logit)) - y[chosen]) / len(chosen)
-            gz = np.repeat(g[:, None] * p["c"], sizes, axis=0)
-            ga = (gz * h).sum(axis=1)
-            ge = a * (ga - np.repeat(np.add.reduceat(a * ga, first), sizes))
-            gt, gs = ge[:, None] * p["w"] * s * (1 - t * t), ge[:, None] * p["w"] * t * s * (1 - s)
-            gh = (a[:, None] * gz + gt @ p["V"].T + gs @ p["U"].T) * (1 - h * h)
-            grads = {"W": x.T @ gh + 1e-4 * p["W"], "b": gh.sum(axis=0), "V": h.T @ gt, "U": h.T @ gs, "w": (t * s).T @ ge, "c": z.T @ g, "d": np.array([g.sum()])}
+            grads = _gradients(p, x, first, y[chosen])
+            grads["W"] += 1e-4 * p["W"]
             step += 1
             for k, v in grads.items():
                 m1[k], m2[k] = 0.9 * m1[k] + 0.1 * v, 0.999 * m2[k] + 0.001 * v * v
@@ -188,9 +235,12 @@ def score_texts(model: AttentionModel, texts: list[str | None]) -> tuple[np.ndar
         return np.zeros(0), np.zeros(0, np.int32)
     logit = np.zeros(len(texts))
     if model.params:
-        vectors, first = encode(texts)
-        x = np.clip((vectors - model.mean) / model.scale, -6, 6)
-        logit = _forward(model.params, x, first)[5].astype(np.float64)
+        scaled = lambda vectors: np.clip((vectors - model.mean) / model.scale, -6, 6)
+        long = [i for i, t in enumerate(texts) if t and len(t) > CHUNK_BYTES]
+        vectors, first = encode([None if i in long else t for i, t in enumerate(texts)])
+        logit = _forward(model.params, scaled(vectors), first)[5].astype(np.float64)
+        for i in long:
+            logit[i] = _forward_slices(model.params, map(scaled, slices(texts[i])))
     score = 1 / (1 + np.exp(-np.clip(logit + model.shift, -700, 700)))
     return score, (score >= THRESHOLD).astype(np.int32)
 

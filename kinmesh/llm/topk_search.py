@@ -3,16 +3,17 @@
 Components are integers ``floor(256 * x)``. A batch of candidate rows is turned into posting lists, one for each
 dimension (term): the rows with a weight there and their weights. A block of query rows, sparse in the
 same way, is walked term by term, and each posting list is scattered, weighted, into a dense array of scores
-(query x candidate). A partition selection keeps the k best of a batch for each query; what the batches
-kept is merged by query.
+(query x candidate), a tile of queries at a time. A partition selection keeps the k best of a batch for each query and merges
+them with those that the task holds already; only when a task ends do its k best of each query leave it, and are merged by query.
 
 Queries are taken in blocks of bounded size, each broadcast to one scan of the candidates, so no task holds more
-than a block of queries and a batch of candidates. The work is queries times candidates, as exhaustive
+than a block of queries, its best candidates and a batch. The work is queries times candidates, as exhaustive
 search has to be.
 
 Defined cases: vectors that are null, hold a null or a non-finite component, or have no id take no part. The
 products of dimensions that only one side has are left out (vectors of unequal length). A vec_id that occurs
-repeatedly counts once, with its best score; as a query with its least vector. Ties go to the smaller vec_id.
+repeatedly counts once, with its best score; as a query with its least vector. Ties go to the smaller vec_id. Integer components are held to
+the range of 26 bits, so that scores of up to 4,096 dimensions fit 64 bits. Other columns are neither read nor returned.
 """
 
 from __future__ import annotations
@@ -30,15 +31,18 @@ SCALE = 256
 K = 5
 EVERY = 50
 #: Queries of a block, and so the rows of a broadcast, at most in expectation.
-QUERY_BLOCK = 2048
-_TILE = 64
+QUERY_BLOCK = 1 << 14
+#: Largest size of an integer component.
+MOST = 1 << 25
+#: Queries whose scores are held at once, and of these those whose arrays stay in the cache.
+_SELECTED, _TILE = 2048, 64
 
 
 def usable(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """Rows that take part: vec_id and their integer components."""
     v, key = F.col(f"`{embedding}`").cast("array<double>"), F.col(f"`{vec_id}`").cast("long")
     whole = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    return vectors.filter(key.isNotNull() & v.isNotNull() & whole).select(key.alias("vec_id"), F.transform(v, lambda x: F.floor(x * SCALE)).alias("weights"))
+    return vectors.filter(key.isNotNull() & v.isNotNull() & whole).select(key.alias("vec_id"), F.transform(v, lambda x: F.greatest(F.least(F.floor(F.greatest(F.least(x, F.lit(float(MOST))), F.lit(float(-MOST))) * SCALE), F.lit(MOST)), F.lit(-MOST))).alias("weights"))
 
 
 @dataclass
@@ -63,49 +67,78 @@ def _block(rows) -> QueryBlock:
     return QueryBlock(np.array([r["vec_id"] for r in rows], dtype=np.int64), terms)
 
 
-def accumulate(block: QueryBlock, candidates: np.ndarray) -> np.ndarray:
-    """Scores (query x candidate), term at a time."""
-    n, width = candidates.shape
-    postings = [(at, candidates[at, d]) for d in range(min(width, len(block.terms))) for at in [np.flatnonzero(candidates[:, d])]]
-    scores = np.zeros((len(block.ids), n), dtype=np.int64)
-    for low in range(0, len(block.ids), _TILE):  # a tile of score arrays stays in the cache
+def postings_of(candidates: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each term the candidates that have it and their weights."""
+    return [(at, candidates[at, d]) for d in range(candidates.shape[1]) for at in [np.flatnonzero(candidates[:, d])]]
+
+
+def accumulate(block: QueryBlock, postings: list[tuple[np.ndarray, np.ndarray]], n: int, first: int, last: int) -> np.ndarray:
+    """Scores of the queries from ``first`` to ``last`` (query x candidate), term at a time."""
+    scores = np.zeros((last - first, n), dtype=np.int64)
+    for low in range(first, last, _TILE):  # a tile of score arrays stays in the cache
+        high = min(low + _TILE, last)
         for (queries, weights), (at, held) in zip(block.terms, postings, strict=False):
-            a, b = np.searchsorted(queries, (low, low + _TILE))
+            a, b = np.searchsorted(queries, (low, high))
             if a == b or not len(at):
                 continue
-            if len(at) == n and b - a == min(_TILE, len(block.ids) - low):
-                scores[low : low + _TILE] += weights[a:b, None] * held
+            if len(at) == n and b - a == high - low:
+                scores[low - first : high - first] += weights[a:b, None] * held
             else:
-                scores[np.ix_(queries[a:b], at)] += weights[a:b, None] * held
+                scores[np.ix_(queries[a:b] - first, at)] += weights[a:b, None] * held
     return scores
 
 
-def best_of(block: QueryBlock, ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query_id, vec_id, score) of at least the k best candidates of each query, by partition selection.
-
-    Every candidate that ties with the k-th is kept by threshold if its id is among the smallest.
-    """
-    order = np.argsort(ids, kind="stable")
-    ids, scores = ids[order], scores[:, order]
-    starts = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
-    if len(starts) < len(ids):
-        ids, scores = ids[starts], np.maximum.reduceat(scores, starts, axis=1)
-    n = len(ids)
-    least = np.iinfo(np.int64).min
-    scores = np.where(ids[None, :] == block.ids[:, None], least, scores)
-    if n > k:
-        kth = np.partition(scores, n - k, axis=1)[:, n - k]
-        q, c = np.nonzero(scores >= kth[:, None])
-        # candidates lie by rising id: of equal scores the first k of each query suffice
-        by = np.lexsort((c, -scores[q, c], q))
-        q, c = q[by], c[by]
+class Best:
+    """The k best candidates of each query of a block so far: ids and scores, by falling score and rising id."""
+
+    def __init__(self, block: QueryBlock, k: int):
+        self.block, self.k = block, k
+        self.ids = np.zeros((len(block.ids), k), dtype=np.int64)
+        self.scores = np.full((len(block.ids), k), _LEAST)
+
+    def add(self, ids: np.ndarray, candidates: np.ndarray) -> None:
+        """Takes in a batch. Of equal scores the smaller ids stay; an id that comes again counts once, with its best score."""
+        order = np.argsort(ids, kind="stable")
+        ids, candidates = ids[order], candidates[order]
+        starts = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+        postings, n = postings_of(candidates), len(starts)
+        for first in range(0, len(self.block.ids), _SELECTED):
+            last = min(first + _SELECTED, len(self.block.ids))
+            scores = accumulate(self.block, postings, len(ids), first, last)
+            if n < len(ids):
+                scores = np.maximum.reduceat(scores, starts, axis=1)
+            scores[ids[starts][None, :] == self.block.ids[first:last, None]] = _LEAST
+            # Only candidates that reach the query's k-th best so far, and the k-th best of the batch, can matter.
+            least = self.scores[first:last, -1]
+            if n > self.k:
+                least = np.maximum(least, np.partition(scores, n - self.k, axis=1)[:, n - self.k])
+            q, c = np.nonzero((scores >= least[:, None]) & (scores > _LEAST))
+            if len(q):
+                self._merge(q + first, ids[starts][c], scores[q, c])
+
+    def _merge(self, q: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
+        touched = np.unique(q)
+        held = self.scores[touched] > _LEAST
+        q = np.concatenate([q, np.repeat(touched, held.sum(axis=1))])
+        ids, scores = np.concatenate([ids, self.ids[touched][held]]), np.concatenate([scores, self.scores[touched][held]])
+        order = np.lexsort((-scores, ids, q))  # the best of each id comes first
+        q, ids, scores = q[order], ids[order], scores[order]
+        first = np.concatenate([[True], (q[1:] != q[:-1]) | (ids[1:] != ids[:-1])])
+        q, ids, scores = q[first], ids[first], scores[first]
+        order = np.lexsort((ids, -scores, q))
+        q, ids, scores = q[order], ids[order], scores[order]
         rank = np.arange(len(q)) - np.searchsorted(q, q)
-        q, c = q[rank < k], c[rank < k]
-    else:
-        q, c = np.divmod(np.arange(n * len(block.ids)), max(n, 1))
-    held = scores[q, c] != least
-    q, c = q[held], c[held]
-    return block.ids[q], ids[c], scores[q, c]
+        q, ids, scores, rank = (x[rank < self.k] for x in (q, ids, scores, rank))
+        self.scores[touched] = _LEAST
+        self.ids[q, rank], self.scores[q, rank] = ids, scores
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query_id, vec_id, score)."""
+        q, at = np.nonzero(self.scores > _LEAST)
+        return self.block.ids[q], self.ids[q, at], self.scores[q, at]
+
+
+_LEAST = np.iinfo(np.int64).min
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = K, vec_id: str = "vec_id", embedding: str = "embedding", query_block: int = QUERY_BLOCK) -> DataFrame:
@@ -126,6 +159,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, vec_id: str = "vec_i
         sent = spark.sparkContext.broadcast(_block(queries.filter(F.col("part") == part).orderBy("vec_id").collect()))
 
         def run(batches):
+            best = Best(sent.value, k)
             for batch in batches:
                 if batch.num_rows and len(sent.value.ids):
                     held = batch.column("weights")
@@ -134,9 +168,10 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, vec_id: str = "vec_i
                         candidates = held.flatten().to_numpy(zero_copy_only=False).reshape(len(sizes), sizes[0])
                     else:
                         candidates = _matrix(held.to_pylist())
-                    ids = batch.column("vec_id").to_numpy()
-                    found = best_of(sent.value, ids, accumulate(sent.value, candidates), k)
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], schema=schema)
+                    best.add(batch.column("vec_id").to_numpy(), candidates)
+            found = best.rows()
+            for low in range(0, len(found[0]), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(x[low : low + (1 << 16)]) for x in found], schema=schema)
 
         return rows.mapInArrow(run, "query_id long, vec_id long, score long")
 

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kinmesh.llm import lm_scoring, quality_classifier, topk_search, toxicity
+from kinmesh.llm import common, lm_scoring, quality_classifier, topk_search, toxicity
 from tests.llm.helpers import EN, edge_docs, no_docs
 
 
@@ -206,6 +206,9 @@ def test_top_k_equals_brute_force(spark):
         out = topk_search.top_k(df, F.col("vec_id") % 10 == 0, query_block=block)
         assert sorted(tuple(r) for r in out.select("query_id", "rank", "vec_id", "score").collect()) == want
     assert topk_search.top_k(df.limit(0), F.col("vec_id") % 10 == 0).count() == 0
+    large = spark.createDataFrame([(0, [1e300, -1.0]), (1, [1e300, 1.0]), (2, [-1e300, 2.0])], "vec_id long, embedding array<double>")
+    most = topk_search.MOST
+    assert [tuple(r) for r in topk_search.top_k(large, F.col("vec_id") == 0).orderBy("rank").select("vec_id", "score").collect()] == [(1, most * most - 65536), (2, -most * most - 131072)]
     alone = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in topk_search.top_k(alone, F.col("vec_id") == 0).select("query_id", "rank", "vec_id", "score").collect()] == [(0, 1, 1, 256 * 512)]
 
@@ -274,6 +277,37 @@ def test_models_do_not_share_what_they_remember():
         del m
 
 
+def every_reading(model, token):
+    """The best reading of a stretch by trying every path through its lattice."""
+    best = {}
+    paths = [("", 0.0)]
+    for i, sign in enumerate(token):
+        if sign in toxicity.FILLERS:
+            options = [("", toxicity.FILLER), *([(" ", toxicity.FILLER)] if sign == " " else [])]
+        else:
+            options = [(sign, toxicity.SAME if sign.isalpha() else toxicity.MARKED), *((x, toxicity.LEETED) for x in toxicity.LEET.get(sign, ""))]
+            if i and token[i - 1] == sign:
+                options.append(("", toxicity.REPEATED))
+        paths = [(read + x, score + cost + (model.log_prob(("   " + read)[-3:], x) if x else 0.0)) for read, score in paths for x, cost in options]
+    for read, score in paths:
+        score += model.log_prob(("   " + read)[-3:], " ")
+        best[read] = max(best.get(read, -math.inf), score)
+    return best
+
+
+def test_decoding_equals_trying_every_path():
+    texts, labels = toxic_texts()
+    m = toxicity.fit(texts, labels, {0: 160, 1: 80}).letters
+    rng = np.random.default_rng(8)
+    asked = ["1d10t", "$tuup1d", "m.o.r.o.n", "i d i o t", "1 d i 0 t m", "((!!", "ss$", "w0r7hl3$s"]
+    asked += ["".join(rng.choice(list("aid1o0t!s$ .m"), rng.integers(1, 9))) for _ in range(150)]
+    for token in asked:
+        best = every_reading(m, token)
+        got = toxicity.decode(m, token)
+        top = max(best.values())
+        assert got in {r.strip() for r, s in best.items() if s == pytest.approx(top, abs=1e-9)}, token
+
+
 def test_toxicity_of_held_out_documents(spark):
     texts, labels = toxic_texts()
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
@@ -309,6 +343,59 @@ def test_passages_are_those_of_the_words():
     assert np.allclose(vectors[:, :256].sum(axis=1), 1)
 
 
+def naive_logit(p, bag):
+    """Gated attention of one document, passage by passage."""
+    hidden = [[math.tanh(sum(x[i] * p["W"][i][j] for i in range(len(x))) + p["b"][j]) for j in range(len(p["b"]))] for x in bag]
+    gate = lambda h, m, k: sum(h[j] * m[j][k] for j in range(len(h)))
+    e = [sum(math.tanh(gate(h, p["V"], k)) / (1 + math.exp(-gate(h, p["U"], k))) * p["w"][k] for k in range(len(p["w"]))) for h in hidden]
+    a = [math.exp(x) / sum(map(math.exp, e)) for x in e]
+    return sum(sum(w * h[j] for w, h in zip(a, hidden, strict=True)) * p["c"][j] for j in range(len(p["c"]))) + p["d"][0]
+
+
+def small_network(rng):
+    shapes = {"W": (5, 4), "b": (4,), "V": (4, 3), "U": (4, 3), "w": (3,), "c": (4,), "d": (1,)}
+    return {k: rng.normal(0, 0.7, shape) for k, shape in shapes.items()}
+
+
+def test_attention_equals_a_naive_pass_and_numeric_gradients(monkeypatch):
+    rng = np.random.default_rng(12)
+    p, bags, y = small_network(rng), [rng.normal(size=(n, 5)) for n in (1, 3, 2, 6)], np.array([1.0, 0.0, 1.0, 0.0])
+    x, first = np.concatenate(bags), np.array([0, 1, 4, 6])
+    logits = quality_classifier._forward(p, x, first)[5]
+    assert list(logits) == pytest.approx([naive_logit(p, b) for b in bags])
+    monkeypatch.setattr(quality_classifier, "HIDDEN", 4)
+    assert quality_classifier._forward_slices(p, iter(np.array_split(bags[3], 3))) == pytest.approx(logits[3])
+    loss = lambda: np.mean([math.log1p(math.exp(-z if k else z)) for z, k in zip(quality_classifier._forward(p, x, first)[5], y, strict=True)])
+    found = quality_classifier._gradients(p, x, first, y)
+    for k, v in p.items():
+        for at in np.ndindex(v.shape):
+            old = v[at]
+            v[at] = old + 1e-6
+            up = loss()
+            v[at] = old - 1e-6
+            assert found[k][at] == pytest.approx((up - loss()) / 2e-6, abs=1e-6), k
+            v[at] = old
+
+
+def test_passages_of_a_long_text_by_slices(monkeypatch):
+    rng = np.random.default_rng(5)
+    texts = [EN * 60 + "é\n\nend", "  lead " + EN * 30, " ".join("x" * int(n) for n in rng.integers(1, 90, 700)), "y" * 5000 + " z" * 3000]
+    whole = [quality_classifier.encode([t])[0] for t in texts]
+    for size in (300, 1000):
+        monkeypatch.setattr(quality_classifier, "CHUNK_BYTES", size)
+        for t, want in zip(texts, whole, strict=True):
+            parts = list(quality_classifier.slices(t))
+            assert len(parts) > 1 and np.allclose(np.concatenate(parts), want, atol=1e-6)
+
+
+def test_sample_of_labelled_documents_is_bounded(spark):
+    long = "a " * common.SAMPLE_BYTES
+    docs = spark.createDataFrame([(1, EN), (1, EN), (2, long), (3, "x y"), (4, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0), (4, 1)], "doc_id long, quality int")
+    sample, totals = common.labelled_sample(docs, labels, "quality", 1000, 4, 9)
+    assert totals == {0: 2, 1: 2} and Counter((r["text"], r["label"]) for r in sample.collect()) == {(EN, 1): 1, ("x y", 0): 1, (None, 1): 1}
+
+
 def test_attention_learns_from_document_labels(spark, sf):
     out = quality_classifier.op10_quality_classifier(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id")
     right = out.filter("held_out").agg(F.avg((F.col("predicted") == F.col("quality")).cast("double"))).first()[0]

@@ -1,3 +1,4 @@
+import math
 import re
 from collections import Counter
 
@@ -83,3 +84,55 @@ def test_language_score_does_not_depend_on_neighbours():
     together = language_id.score_texts(fit, [EN, "zz top", "Été"])
     assert [a[0][0] for a in alone] == together[0]
     assert [a[1][0] for a in alone] == pytest.approx(list(together[1]))
+
+
+def plain_grams(text):
+    """n-grams of one to three characters of letters and single spaces, by the definition."""
+    seen = Counter()
+    padded = "  " + "".join(c if c.isalpha() else " " for c in (text or "").lower()) + "  "
+    for i in range(2, len(padded)):
+        for n in (1, 2, 3):
+            gram = padded[i - n + 1 : i + 1]
+            if gram[-1] != " " or (n > 1 and gram[-2] != " "):
+                seen[gram] += 1
+    return seen
+
+
+def plain_bucket(gram):
+    total = 0
+    for n, c in enumerate(reversed(gram), 1):
+        total = (total * 0x9E3779B1 + (ord(c) + n) * 0x85EBCA77) % 2**32
+    return ((total ^ (total >> 15)) * 0xC2B2AE3D % 2**32) >> 16
+
+
+def test_language_scores_equal_plain_dictionaries(spark):
+    texts = [("en", EN * 2), ("en", "the dog and the cat"), ("de", "der Hund und die Katze in dem Haus"), ("de", "Über die Straße, 12 Häuser!"), ("fr", "le chien et la maison"), (None, "sin idioma"), ("fr", None)]
+    docs = spark.createDataFrame([(i, t, k) for i, (k, t) in enumerate(texts)], "doc_id long, text string, lang string")
+    model = language_id.train(docs)
+    learned = [(k, t) for k, t in texts if k and t is not None]
+    langs = sorted({k for k, _ in learned})
+    counts = {k: Counter() for k in langs}
+    for k, t in learned:
+        for gram, n in plain_grams(t).items():
+            counts[k][plain_bucket(gram)] += n
+    asked = [t for _, t in texts] + ["", " 12 ", "ein Haus", "a", "İstanbul ΟΔΟΣ", "the 😀 cat\n\tof"]
+    got = language_id.score_texts(model, asked)
+    for t, lang, score in zip(asked, *got, strict=True):
+        logs = {}
+        for k in langs:
+            whole = sum(counts[k].values()) + 0.5 * language_id.BUCKETS
+            logs[k] = math.log(sum(x == k for x, _ in learned) / len(learned)) + sum(n * math.log((counts[k][plain_bucket(g)] + 0.5) / whole) for g, n in plain_grams(t).items())
+        best = max(langs, key=lambda k: (logs[k], [-ord(c) for c in k]))
+        want = 1 / sum(math.exp(v - logs[best]) for v in logs.values())
+        if not any(c.isalpha() for c in t or ""):
+            best, want = "und", 0.0
+        assert lang == best and score == pytest.approx(want)
+
+
+def test_language_of_a_long_text_by_slices(monkeypatch):
+    text = "".join(chr(97 + i * i % 23) + " " * (i % 5 == 0) for i in range(3000)) + "Ünd ΟΔΟΣ"
+    whole = language_id.sparse_row(text)
+    for size in (2, 64, 999):
+        monkeypatch.setattr(language_id, "SLICE", size)
+        at, n, lettered = language_id.sparse_row(text)
+        assert (at == whole[0]).all() and (n == whole[1]).all() and lettered

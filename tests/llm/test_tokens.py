@@ -85,6 +85,30 @@ def test_packing_keeps_every_id_once(spark):
     assert packing.pack(no_docs(spark)).count() == 0
 
 
+def test_documents_are_cut_only_where_a_window_needs_it(spark):
+    rng = np.random.default_rng(7)
+    sizes = rng.integers(1, 1500, 500)
+    k = -(-int(sizes.sum()) // 2048)
+    parts = packing.level(sizes, packing.differencing(sizes, k), 2048)
+    held = defaultdict(int)
+    for w, i, low, high in parts:
+        held[w] += high - low
+        assert 0 <= low < high <= sizes[i]
+    assert max(held.values()) <= 2048 and sum(held.values()) == sizes.sum()
+    assert len(parts) <= len(sizes) + 2 * k
+    for i, n in enumerate(sizes):
+        own = sorted((low, high) for _, j, low, high in parts if j == i)
+        assert own[0][0] == 0 and own[-1][1] == n and all(a[1] == b[0] for a, b in zip(own[:-1], own[1:], strict=True))
+    docs = edge_docs(spark)
+    ids_of = defaultdict(list)
+    for r in docs.collect():
+        ids_of[r["doc_id"]].append([*(reference(r["text"]) if r["text"] else ()), 1])
+    pieces = packing.pack(docs, cut=False).collect()
+    check_packed(pieces, ids_of)
+    whole = sum(-(-len(x) // 2048) for copies in ids_of.values() for x in copies)
+    assert len(pieces) == whole  # longer documents give whole windows and a rest, others stay whole
+
+
 def test_packing_of_a_table_has_little_padding(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     ids_of = {r["doc_id"]: [[*reference(r["text"]), 1]] for r in docs.collect()}
