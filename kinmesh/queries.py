@@ -123,7 +123,7 @@ def _(spark, d):
     return D.entities(spark, d).filter(F.col("country") == "fr")
 
 
-@query("tsv_scan")
+@query("tsv_scan", _sql(D.ENTITIES, "select entity_id, coalesce(name, '') as name, coalesce(address, '') as address, country from ent where coalesce(country, '') <> ''"))
 def _(spark, d):
     """The records written as tab-separated text to the shared folder and read again."""
     from kinmesh.sources.files import read_records, write_tsv
@@ -291,15 +291,60 @@ def _(spark, d):
 # Similarities
 
 
-def _ratio_sql(pairs: str) -> str:
-    """CTE ``rt`` (a, b, r) for a relation of strings a and b, the first of at most 61 characters."""
-    return f"""st as (select a, b, 0 as i, cast((1::bigint << length(a)) - 1 as bigint) as s from (select distinct a, b from {pairs})
-    union all select a, b, i + 1, ((s + u) | (s - u)) & cast((1::bigint << length(a)) - 1 as bigint) from
-      (select a, b, i, s, s & cast(coalesce(list_sum(list_transform(range(1, length(a) + 1), lambda k: case when substr(a, k, 1) = substr(b, i + 1, 1) then 1::bigint << (k - 1) else 0::bigint end)), 0) as bigint) as u from st where i < length(b))),
-    rt as (select a, b, case when length(a) + length(b) = 0 then 1.0 else 2.0 * (length(a) - bit_count(s)) / (length(a) + length(b)) end as r from st where i = length(b))"""
+_LIMB = 100
+_FULL = lambda n: f"((1::hugeint << least({_LIMB}, greatest(0, cast({n} as integer)))) - 1)"
 
 
-_SORTED = lambda x: f"array_to_string(list_sort(string_split({x}, ' ')), ' ')"
+def _ratio_sql(pairs: str, name: str = "rt") -> str:
+    """CTE ``name`` (a, b, r) for a relation of strings a and b, the shorter of at most 200 characters.
+
+    The common subsequence as bit vectors in two integers of a hundred bits, one step for each character of the longer string.
+    """
+    lo, hi = f"s_lo & coalesce(m.lo, 0)", f"s_hi & coalesce(m.hi, 0)"
+    return f"""{name}_p as materialized (select a, b, case when length(a) <= length(b) then a else b end as s, case when length(a) <= length(b) then b else a end as l from (select distinct a, b from {pairs})),
+    {name}_k as (select s, unnest(range(1, length(s) + 1)) as k from (select distinct s from {name}_p)),
+    {name}_m as materialized (select s, substr(s, cast(k as integer), 1) as c, cast(sum(case when k <= {_LIMB} then 1::hugeint << cast(k - 1 as integer) else 0::hugeint end) as hugeint) as lo,
+               cast(sum(case when k > {_LIMB} then 1::hugeint << cast(k - {_LIMB + 1} as integer) else 0::hugeint end) as hugeint) as hi from {name}_k group by all),
+    {name}_s as (select s, l, 0 as i, {_FULL('length(s)')} as s_lo, {_FULL(f'length(s) - {_LIMB}')} as s_hi from (select distinct s, l from {name}_p)
+    union all select s, l, i + 1, ((s_lo + u_lo) & {_FULL('length(s)')}) | (s_lo - u_lo), ((s_hi + u_hi + ((s_lo + u_lo) >> {_LIMB})) & {_FULL(f'length(s) - {_LIMB}')}) | (s_hi - u_hi) from
+      (select x.s, l, i, s_lo, s_hi, {lo} as u_lo, {hi} as u_hi from {name}_s x left join {name}_m m on m.s = x.s and m.c = substr(l, i + 1, 1) where i < length(l))),
+    {name} as (select a, b, case when length(a) + length(b) = 0 then 1.0 else 2.0 * (length(s) - bit_count(s_lo) - bit_count(s_hi)) / (length(a) + length(b)) end as r
+               from {name}_p join (select s, l, s_lo, s_hi from {name}_s where i = length(l)) using (s, l))"""
+
+
+def _partial_sql(pairs: str, name: str) -> str:
+    """CTE ``name`` (a, b, r): the best ratio of the shorter string with the windows of the longer one."""
+    return f"""{name}_d as (select distinct a, b from {pairs}),
+    {name}_o as (select a, b, a as x, b as y from {name}_d where length(a) <= length(b) union all select a, b, b, a from {name}_d where length(a) >= length(b)),
+    {name}_t as (select a, b, x, y, unnest(range(1 - length(x), length(y))) as pos from {name}_o where x <> ''),
+    {name}_w as materialized (select a as oa, b as ob, x as a, substr(y, cast(greatest(0, pos) + 1 as integer), cast(least(length(y), pos + length(x)) - greatest(0, pos) as integer)) as b from {name}_t),
+    {_ratio_sql(f'{name}_w', f'{name}_r')},
+    {name} as (select d.a, d.b, case when d.a = '' or d.b = '' then case when d.a = d.b then 1.0 else 0.0 end else max(r) end as r
+               from {name}_d d left join {name}_w w on w.oa = d.a and w.ob = d.b left join {name}_r q on q.a = w.a and q.b = w.b group by d.a, d.b)"""
+
+
+def _words_sorted(x: str) -> str:
+    return f"array_to_string(list_sort(list_filter(string_split({x}, ' '), lambda t: t <> '')), ' ')"
+
+
+def _token_set_sql(pairs: str, name: str) -> str:
+    """CTE ``name`` (a, b, r): token-set similarity of strings a and b."""
+    tokens = lambda x: f"list_distinct(list_filter(string_split({x}, ' '), lambda t: t <> ''))"
+    less = lambda x, y: f"array_to_string(list_sort(list_filter({x}, lambda t: not list_contains({y}, t))), ' ')"
+    both = lambda x, y: f"case when c = '' then {y} else c || ' ' || {y} end"
+    return f"""{name}_t as (select a, b, {tokens('a')} as x, {tokens('b')} as y from (select distinct a, b from {pairs})),
+    {name}_c as materialized (select a as oa, b as ob, len(x) = 0 or len(y) = 0 as none, array_to_string(list_sort(list_intersect(x, y)), ' ') as c, {less('x', 'y')} as l, {less('y', 'x')} as r from {name}_t),
+    {name}_p as materialized (select oa, ob, {both('c', 'l')} as a, {both('c', 'r')} as b from {name}_c where not none and (c = '' or (l <> '' and r <> ''))
+           union all select oa, ob, c, c || ' ' || l from {name}_c where c <> '' and l <> '' and r <> '' union all select oa, ob, c, c || ' ' || r from {name}_c where c <> '' and l <> '' and r <> ''),
+    {_ratio_sql(f'{name}_p', f'{name}_r')},
+    {name} as (select oa as a, ob as b, max(r) as r from (select oa, ob, r from {name}_p join {name}_r using (a, b) union all select oa, ob, 0.0 from {name}_c where none
+               union all select oa, ob, 1.0 from {name}_c where not none and c <> '' and (l = '' or r = '')) group by all)"""
+
+
+def _token_sort_sql(pairs: str, name: str) -> str:
+    """CTE ``name`` (a, b, r): token-sort similarity of strings a and b."""
+    return f"""{name}_p as materialized (select a as oa, b as ob, {_words_sorted('a')} as a, {_words_sorted('b')} as b from (select distinct a, b from {pairs})),
+    {_ratio_sql(f'{name}_p', f'{name}_r')}, {name} as (select distinct oa as a, ob as b, r from {name}_p join {name}_r using (a, b))"""
 
 
 def _similarity(name: str, kernel: str, sql: str | None = None):
@@ -309,28 +354,25 @@ def _similarity(name: str, kernel: str, sql: str | None = None):
         return p.select("a", "b", F.round(K.kernel_scores(F.col("a"), F.col("b"), (kernel,))[kernel], 6).alias("similarity"))
 
 
-_similarity("sim_ratio", "ratio", f"with recursive {D.NAME_PAIRS}, {_ratio_sql('pairs')} select a, b, round(r, 6) as similarity from rt")
-_similarity(
-    "sim_token_sort",
-    "token_sort",
-    f"with recursive {D.NAME_PAIRS}, sp as (select a as x, b as y, {_SORTED('a')} as a, {_SORTED('b')} as b from pairs), {_ratio_sql('sp')} select x as a, y as b, round(r, 6) as similarity from sp join rt using (a, b)",
-)
+_CHOSEN = "select a, b, round(r, 6) as similarity from"
+_similarity("sim_ratio", "ratio", f"with recursive {D.NAME_PAIRS}, {_ratio_sql('pairs')} {_CHOSEN} rt")
+_similarity("sim_token_sort", "token_sort", f"with recursive {D.NAME_PAIRS}, {_token_sort_sql('pairs', 'tz')} {_CHOSEN} tz")
+_similarity("sim_token_set", "token_set", f"with recursive {D.NAME_PAIRS}, {_token_set_sql('pairs', 'te')} {_CHOSEN} te")
+_similarity("sim_partial", "partial", f"with recursive {D.NAME_PAIRS}, {_partial_sql('pairs', 'pt')} {_CHOSEN} pt")
 _similarity(
-    "sim_token_set",
-    "token_set",
-    f"""with recursive {D.NAME_PAIRS},
-    ts as (select a, b, list_distinct(string_split(a, ' ')) as x, list_distinct(string_split(b, ' ')) as y from pairs),
-    tc as (select a as oa, b as ob, array_to_string(list_sort(list_intersect(x, y)), ' ') as c, array_to_string(list_sort(list_filter(x, lambda t: not list_contains(y, t))), ' ') as l,
-                  array_to_string(list_sort(list_filter(y, lambda t: not list_contains(x, t))), ' ') as r from ts),
-    sp as (select oa, ob, case when c = '' then l else c || ' ' || l end as a, case when c = '' then r else c || ' ' || r end as b from tc where c = '' or (l <> '' and r <> '')
-           union all select oa, ob, c, c || ' ' || l from tc where c <> '' and l <> '' and r <> '' union all select oa, ob, c, c || ' ' || r from tc where c <> '' and l <> '' and r <> ''),
-    {_ratio_sql('sp')}
-    select oa as a, ob as b, round(max(r), 6) as similarity from (select oa, ob, r from sp join rt using (a, b) union all select oa, ob, 1.0 from tc where c <> '' and (l = '' or r = '')) group by all""",
+    "sim_partial_sort",
+    "partial_sort",
+    f"""with recursive {D.NAME_PAIRS}, sp as (select a as x, b as y, {_words_sorted('a')} as a, {_words_sorted('b')} as b from pairs), {_partial_sql('sp', 'pt')}
+    select x as a, y as b, round(r, 6) as similarity from sp join pt using (a, b)""",
 )
-_similarity("sim_partial", "partial")
-_similarity("sim_partial_sort", "partial_sort")
 _similarity("sim_jaro_winkler", "jaro_winkler", f"with {D.NAME_PAIRS} select a, b, round(case when a = '' and b = '' then 1.0 else jaro_winkler_similarity(a, b) end, 6) as similarity from pairs")
-_similarity("sim_levenshtein", "levenshtein", f"with {D.NAME_PAIRS} select a, b, round(1.0 - levenshtein(a, b) / greatest(length(a), length(b), 1), 6) as similarity from pairs")
+
+
+@query("sim_levenshtein", f"with {D.NAME_PAIRS} select a, b, round(1.0 - levenshtein(a, b) / greatest(length(a), length(b), 1), 6) as similarity from pairs")
+def _(spark, d):
+    return D.name_pairs(spark, d).select("a", "b", F.round(K.levenshtein_similarity(F.col("a"), F.col("b")), 6).alias("similarity"))
+
+
 _similarity("sim_damerau", "damerau", f"with {D.NAME_PAIRS} select a, b, round(1.0 - damerau_levenshtein(a, b) / greatest(length(a), length(b), 1), 6) as similarity from pairs")
 
 _WORDS_CTE = f"{D.NAME_PAIRS}, wp as (select a, b, list_distinct(string_split(a, ' ')) as x, list_distinct(string_split(b, ' ')) as y from pairs)"
@@ -386,15 +428,66 @@ _set_query("len_features", ["len_diff", "len_ratio", "w_diff"])
 _set_query("pair_features_sets", list(_SET_SQL))
 
 
-@query("pair_features_full")
+_KERNEL_SQL = {"ratio": _ratio_sql, "token_sort": _token_sort_sql, "token_set": _token_set_sql, "partial": _partial_sql}
+#: Of each pair of forms: a letter, its columns and the kernels that SQL has no function for.
+_FORMS = (("n", "name_clean", ("ratio", "token_sort", "token_set", "partial")), ("m", "name_root", ("ratio", "token_sort", "token_set")), ("a", "addr_norm", ("ratio", "token_sort", "token_set", "partial")))
+
+
+def _full_sql() -> str:
+    """All 42 features."""
+    ctes, joins = [], []
+    for f, column, kernels in _FORMS:
+        q, t = (f"{side}_{column}" for side in "qt")
+        ctes.append(f"{f}_in as materialized (select distinct {q} as a, {t} as b from fs)")
+        for k in kernels:
+            ctes.append(_KERNEL_SQL[k](f"{f}_in", f"{f}_{k}"))
+            joins.append(f"join {f}_{k} on {f}_{k}.a = {q} and {f}_{k}.b = {t}")
+    ctes.append(f"n_sorted as materialized (select a as x, b as y, {_words_sorted('a')} as a, {_words_sorted('b')} as b from n_in), {_partial_sql('n_sorted', 'n_ps')}")
+    joins.append("join (select x, y, max(r) as r from n_sorted join n_ps using (a, b) group by all) n_psx on n_psx.x = q_name_clean and n_psx.y = t_name_clean")
+    own = lambda e: f"case when has_a2 > 0 then {e} else 0.0 end"
+    jw = lambda x: f"case when q_{x} = '' and t_{x} = '' then 1.0 else jaro_winkler_similarity(q_{x}, t_{x}) end"
+    edit = lambda f, x: f"1.0 - {f}(q_{x}, t_{x}) / greatest(length(q_{x}), length(t_{x}), 1)"
+    made = dict(_SET_SQL) | {
+        "n_fuzz": "n_ratio.r", "n_token_sort": "n_token_sort.r", "n_token_set": "n_token_set.r", "n_partial": "n_partial.r", "n_partial_sort": "n_psx.r",
+        "n_jw": jw("name_clean"), "n_lev": edit("levenshtein", "name_clean"), "n_damerau": edit("damerau_levenshtein", "name_clean"),
+        "root_fuzz": "m_ratio.r", "root_sort": "m_token_sort.r", "root_set": "m_token_set.r", "root_jw": jw("name_root"),
+        "first_jw": "case when q_name_first <> '' and t_name_first <> '' then jaro_winkler_similarity(q_name_first, t_name_first) else 0.0 end",
+        "a_fuzz": own("a_ratio.r"), "a_token_sort": own("a_token_sort.r"), "a_token_set": own("a_token_set.r"), "a_partial": own("a_partial.r"),
+        "a_jw": own(jw("addr_norm")), "a_lev": own(edit("levenshtein", "addr_norm")),
+        "name_addr_prod": "case when has_a2 > 0 then n_token_sort.r * a_token_sort.r else 0.9 * n_token_sort.r end",
+    }
+    columns = ", ".join(f"round({made[c]}, 6)::double as {c}" for c in X.FEATURES)
+    return f"with recursive {_PAIR.strip()}, {', '.join(ctes)} select s1_id, cand_id, {columns} from fs {' '.join(joins)}"
+
+
+@query("pair_features_full", _full_sql())
 def _(spark, d):
-    return X.pair_features(_pairs(spark, d))
+    return _rounded(X.pair_features(_pairs(spark, d)), *X.FEATURES)
 
 
 # Decisions
 
 
-@query("rule_score")
+def _rule_sql(name: str, addr: str, out: str = "p") -> str:
+    """CTE ``ruled``: pairs with the rule score of a query's name and address in the given forms."""
+    parts = []
+    for f, left, right in (("n", name, "t_name_clean"), ("a", addr, "t_addr_norm")):
+        parts.append(f"{f}_in as materialized (select distinct {left} as a, {right} as b from pr), {_token_sort_sql(f'{f}_in', f'{f}_sort')}, {_token_set_sql(f'{f}_in', f'{f}_set')}")
+        parts.append(f"{f}_best as (select a, b, greatest({f}_sort.r, 0.95 * {f}_set.r) as r from {f}_sort join {f}_set using (a, b))")
+    none = f"{addr} in ('', 'null') or t_addr_norm in ('', 'null')"
+    score = f"case when {none} then 0.9 * n.r when round(a.r, 9) >= 0.9 and round(n.r, 9) >= 0.5 then (n.r + a.r) / 2 else 0.6 * n.r + 0.4 * a.r end"
+    return f"{', '.join(parts)}, ruled as (select pr.*, {score} as {out} from pr join n_best n on n.a = {name} and n.b = t_name_clean join a_best a on a.a = {addr} and a.b = t_addr_norm)"
+
+
+_PR = _PAIR[: _PAIR.index(",\nps as")].strip()
+_RULED = f"with recursive {_PR}, {_rule_sql('q_name_clean', 'q_addr_clean')}"
+
+
+def _gate_sql(source: str, threshold: float, least_best: float) -> str:
+    return f"select s1_id, cand_id, round(p, 6) as p from (select *, max(p) over (partition by s1_id) as best from {source}) where round(best, 9) >= {least_best} and round(p, 9) >= {threshold}"
+
+
+@query("rule_score", f"{_RULED} select s1_id, cand_id, round(p, 6) as p from ruled")
 def _(spark, d):
     return M.rule_score(_pairs(spark, d)).select("s1_id", "cand_id", F.round("p", 6).alias("p"))
 
@@ -405,12 +498,15 @@ def _(spark, d):
     return f.select("s1_id", "cand_id", F.round(M.combine(F.col("n_jaccard"), F.col("a_jaccard"), F.col("has_a2") > 0), 6).alias("p"))
 
 
-@query("rule_match")
+@query("rule_match", f"{_RULED} {_gate_sql('ruled', 0.74, 0.78)}")
 def _(spark, d):
     return M.rule_match(M.rule_score(_pairs(spark, d))).select("s1_id", "cand_id", F.round("p", 6).alias("p"))
 
 
-@query("hybrid_rule")
+_HYBRID = f"with recursive {_PR}, {_rule_sql("lower(coalesce(q_name, ''))", "lower(coalesce(q_address, ''))", 'p_rule')}, mixed as (select s1_id, cand_id, 0.5 * p_rule + 0.5 * (25 - rank) / 25.0 as p from ruled)"
+
+
+@query("hybrid_rule", f"{_HYBRID} {_gate_sql('mixed', 0.85, 0.87)}")
 def _(spark, d):
     """The hybrid matcher's rule half, and its stand-in model score 25 - rank as a share of 25."""
     p = M.rule_score(_pairs(spark, d), raw_query=True, column="p_rule").withColumn("p_model", (25 - F.col("rank")) / 25)
