@@ -1,9 +1,10 @@
-"""Python workers need this package: it is sent to them unless their search path has it."""
+"""What a cluster needs: the package for Python workers (sent unless their search path has it), and a folder that all machines share."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -24,3 +25,16 @@ def ship(spark: SparkSession) -> None:
             z.write(p, p.relative_to(_PACKAGE.parent))
     context.addPyFile(str(path))
     _sent.add(context.applicationId)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A fresh folder that driver and executors share, below ``spark.checkpoint.dir`` as the session has it.
+
+    Where it is unset, a folder of the warehouse is taken on one machine (tests); on a cluster that is an error.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints"
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"

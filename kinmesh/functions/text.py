@@ -1,7 +1,8 @@
 """Text, name and address normalisation as column expressions; the SQL twins serve as oracles.
 
-Letters with marks are reduced to ASCII by a table built from Unicode decompositions. Other scripts can be romanised
-beforehand by :func:`romanise`, an Arrow function; what is still not ASCII becomes a space.
+Letters of other scripts are romanised by tables (Indic scripts and kana by rule from Unicode names, Cyrillic and Greek by letter), and letters
+with marks are reduced to ASCII by a table built from Unicode decompositions; what is still not ASCII becomes a space. Texts without such letters skip
+these steps.
 """
 
 from __future__ import annotations
@@ -27,14 +28,83 @@ def _latin_table() -> tuple[str, str]:
 _MARKED, _PLAIN = _latin_table()
 
 
-def to_ascii(c: Column) -> Column:
-    """Latin letters without their marks."""
+def _let(c: Column, f) -> Column:
+    """f of a column that is computed once."""
+    return F.transform(F.array(c), f)[0]
+
+
+def _if_any(c: Column, pattern: str, f) -> Column:
+    """f of the texts in which the pattern is found; others stay."""
+    return _let(c, lambda x: F.when(x.rlike(pattern), f(x)).otherwise(x))
+
+
+def _without_marks(c: Column) -> Column:
     for letter, written in LATIN_SPECIAL.items():
         if len(written) > 1:
             c = F.replace(c, F.lit(letter), F.lit(written))
     return F.regexp_replace(F.translate(c, _MARKED, _PLAIN), r"\p{M}+", "")
 
 
+def to_ascii(c: Column) -> Column:
+    """Latin letters without their marks."""
+    return _if_any(c, r"[^\x00-\x7F]", _without_marks)
+
+
+# How letters of two alphabets are written, in alphabetical order.
+CYRILLIC = dict(zip("абвгдеёжзийклмнопрстуфхцчшщъыьэюя", "a b v g d e e zh z i i k l m n o p r s t u f kh ts ch sh shch - y - e iu ia".replace("-", "").split(" "), strict=True))
+GREEK = dict(zip("αβγδεζηθικλμνξοπρσςτυφχψω", "a b g d e z e th i k l m n x o p r s s t u ph kh ps o".split(" "), strict=True))
+
+#: Marks in romanised Indic text: a consonant's own vowel, and what takes its place.
+_OWN, _INSTEAD = "\x01", "\x02"
+
+
+def _indic(c: str) -> str:
+    """How an Indic letter or sign is written, by its Unicode name."""
+    _, _, rest = unicodedata.name(c, "").partition(" ")
+    if rest.startswith("LETTER "):
+        sound = rest[7:].split()[-1].lower()
+        return sound[:-1] + _OWN if len(sound) > 1 and sound.endswith("a") and sound[0] not in "aeiou" else sound
+    if rest.startswith("VOWEL SIGN"):
+        return _INSTEAD + rest[11:].split()[-1].lower()
+    if rest.startswith("DIGIT"):
+        return str(unicodedata.digit(c))
+    return _INSTEAD if rest.startswith("SIGN VIRAMA") else "n" if rest.startswith(("SIGN ANUSVARA", "SIGN CANDRABINDU")) else ""
+
+
+def _script_table() -> dict[str, str]:
+    table = {c: _indic(c) for i in range(0x0900, 0x0E00) if unicodedata.name(c := chr(i), "")}
+    for i in (*range(0x3041, 0x3097), *range(0x30A1, 0x30FB)):
+        table[chr(i)] = unicodedata.name(chr(i)).split()[-1].lower()
+    for letters in (CYRILLIC, GREEK):
+        for c, written in letters.items():
+            table[c] = table[c.upper()] = written
+            for i in (*range(0x0370, 0x0400), *range(0x0400, 0x0460), *range(0x1F00, 0x2000)):
+                if chr(i) not in table and unicodedata.normalize("NFKD", chr(i))[0] in (c, c.upper()):  # with marks
+                    table[chr(i)] = written
+    return table
+
+
+_SCRIPTS = _script_table()
+_IN_SCRIPTS = r"[\u0370-\u045F\u0900-\u0DFF\u1F00-\u1FFF\u3041-\u30FA]"
+
+
+def _in_latin(c: Column) -> Column:
+    table = F.str_to_map(F.lit("\x03".join(f"{k}\x04{v}" for k, v in _SCRIPTS.items())), F.lit("\x03"), F.lit("\x04"))
+    written = F.array_join(F.transform(F.split(c, ""), lambda x: F.coalesce(F.try_element_at(table, x), x)), "")
+    return F.translate(F.replace(F.replace(written, F.lit(_OWN + _INSTEAD), F.lit("")), F.lit(_OWN), F.lit("a")), _INSTEAD, "")
+
+
+def romanise(c: Column) -> Column:
+    """Indic scripts, kana, Cyrillic and Greek in Latin letters; other text is left as it is."""
+    return _if_any(c, _IN_SCRIPTS, _in_latin)
+
+
+def romanise_text(text: str) -> str:
+    """The same for one string."""
+    written = "".join(_SCRIPTS.get(c, c) for c in text)
+    return written.replace(_OWN + _INSTEAD, "").replace(_OWN, "a").replace(_INSTEAD, "")
+
+
 def leet_fix(c: Column) -> Column:
     """A zero between letters is an o, a one an l."""
     return F.regexp_replace(F.regexp_replace(c, "(?<=[a-z])0(?=[a-z])", "o"), "(?<=[a-z])1(?=[a-z])", "l")
@@ -47,7 +117,7 @@ def squeeze(c: Column) -> Column:
 def clean_text(c: Column) -> Column:
     """Lower-case ASCII words parted by single spaces; null, '' and the literal null become ''."""
     c = F.when(c.isNull() | (F.lower(c) == "null"), "").otherwise(c)
-    c = F.lower(to_ascii(c))
+    c = F.lower(to_ascii(romanise(c)))
     c = F.replace(F.replace(c, F.lit("&"), F.lit(" and ")), F.lit("@"), F.lit(" at "))
     c = leet_fix(F.translate(c, "-/.,'", "     "))
     return squeeze(F.regexp_replace(c, r"[^\w\s]", " "))
@@ -87,48 +157,6 @@ def address_words(runs: Column) -> Column:
     return F.filter(runs, lambda t: ~t.rlike("^[0-9]") & (F.length(t) >= 4) & ~t.isin(*GENERIC_ADDRESS))
 
 
-def romanise(c: Column) -> Column:
-    """Letters of Indic scripts by their Unicode names; other text is left as it is."""
-    import pandas as pd
-
-    @F.pandas_udf("string")
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(romanise_text, na_action="ignore")
-
-    return run(c)
-
-
-_VIRAMA = "SIGN VIRAMA"
-
-
-def romanise_text(text: str) -> str:
-    out: list[str] = []
-    inherent = False  # the last consonant still has its vowel a
-    for c in text:
-        name = unicodedata.name(c, "")
-        _, _, rest = name.partition(" ")
-        if not 0x0900 <= ord(c) < 0x0E00:
-            inherent = False
-            out.append(c)
-        elif rest.startswith("LETTER "):
-            sound = rest[7:].split()[-1].lower()
-            inherent = len(sound) > 1 and sound.endswith("a") and sound[0] not in "aeiou"
-            out.append(sound)
-        elif rest.startswith(("VOWEL SIGN", _VIRAMA)):
-            if inherent:
-                out[-1] = out[-1][:-1]
-            inherent = False
-            if rest != _VIRAMA:
-                out.append(rest[11:].split()[-1].lower())
-        elif rest.startswith("DIGIT"):
-            inherent = False
-            out.append(str(unicodedata.digit(c)))
-        elif rest.startswith(("SIGN ANUSVARA", "SIGN CANDRABINDU")):
-            inherent = False
-            out.append("n")
-    return "".join(out)
-
-
 # The same in DuckDB SQL. Its pattern engine has no look-around, so overlapping captures are replaced twice.
 
 

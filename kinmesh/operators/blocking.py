@@ -53,12 +53,12 @@ def prune(index: DataFrame, max_postings: int) -> DataFrame:
 def votes(queries: DataFrame, index: DataFrame) -> DataFrame:
     """(s1_id, cand_id, score): summed weights of shared keys. Nulls and unknown countries find nothing.
 
-    Votes are dealt by s1_id, which serves their sum here and the windows of the best k: one exchange for both. Summing
-    before it would gain little, since a pair's keys lie in different partitions.
+    Votes for one pair are added up where the keys meet before they are dealt by pair, so a pair leaves a task once, whatever number of keys
+    it shares there. :func:`fan_out` tells beforehand how many rows meet.
     """
     q = block_keys(queries).select(F.col("entity_id").alias("s1_id"), "country", "key", "weight", F.col("mult").alias("mq"))
     cast = q.join(index, ["country", "key"]).select("s1_id", "cand_id", (F.col("mq") * F.col("mult") * F.col("weight")).alias("vote"))
-    return cast.repartition("s1_id").groupBy("s1_id", "cand_id").agg(F.sum("vote").alias("score"))
+    return cast.groupBy("s1_id", "cand_id").agg(F.sum("vote").alias("score"))
 
 
 def top_k(scored: DataFrame, k: int) -> DataFrame:

@@ -28,8 +28,15 @@ def pairs(cands: DataFrame, queries: DataFrame, targets: DataFrame) -> DataFrame
     return cands.join(q, "s1_id").join(t, "cand_id")
 
 
+def _cleaned_twice(pair: DataFrame) -> DataFrame:
+    """Target names as features see them, cleaned once more: a cleaned 'null' is no name. The rule score takes names cleaned once."""
+    none = F.col("t_name_clean") == "null"
+    return pair.withColumns({f"t_{c}": F.when(none, "").otherwise(F.col(f"t_{c}")) for c in ("name_root", "name_first", "name_compact", "name_clean")})
+
+
 def set_features(pair: DataFrame) -> DataFrame:
     """Features that need no kernel, as built-in expressions."""
+    pair = _cleaned_twice(pair)
     a, b = F.array_distinct(tokens(F.col("q_name_clean"))), F.array_distinct(tokens(F.col("t_name_clean")))
     qc, tc = F.col("q_name_compact"), F.col("t_name_compact")
     # An address that is 'null' once cleaned counts as none.
@@ -73,7 +80,7 @@ def pair_features(pair: DataFrame) -> DataFrame:
     Kernels cost far more than moving a pair, so pairs are dealt evenly first, by a number of partitions that is not
     lowered for being small in bytes.
     """
-    pair = pair.repartition(int(pair.sparkSession.conf.get("spark.sql.shuffle.partitions")), "s1_id", "cand_id")
+    pair = _cleaned_twice(pair.repartition(int(pair.sparkSession.conf.get("spark.sql.shuffle.partitions")), "s1_id", "cand_id"))
     strings = {
         "kn": ("name_clean", ("ratio", "token_sort", "token_set", "partial", "partial_sort", "jaro_winkler", "damerau")),
         "kr": ("name_root", ("ratio", "token_sort", "token_set", "jaro_winkler")),

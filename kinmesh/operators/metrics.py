@@ -103,3 +103,17 @@ def best_thresholds(gridded: DataFrame, default: float = 0.85) -> DataFrame:
 def guard(best: DataFrame, seen: tuple[str, ...], margin: float = 0.02) -> DataFrame:
     """The threshold of an unseen country: the largest of the seen ones and a margin."""
     return best.filter(F.col("country").isin(*seen)).agg(F.round(F.max("threshold") + margin, 2).alias("threshold"))
+
+
+def overall(truth: DataFrame, scored: DataFrame, best: DataFrame, margin: float = 0.02, default: float = 0.88) -> DataFrame:
+    """Macro scores over all entities at calibrated thresholds (country, threshold); other countries take the default.
+
+    truth: (s1_id, country, matches); scored: (s1_id, cand_id, p).
+    """
+    limits = truth.select("s1_id", "country").join(best.select("country", "threshold"), "country", "left")
+    limits = limits.select("s1_id", F.coalesce("threshold", F.lit(default)).alias("t"))
+    p = F.round("p", 9)
+    pairs = scored.select("s1_id", "cand_id", "p").join(limits, "s1_id")
+    pairs = pairs.withColumn("best", F.max(p).over(Window.partitionBy("s1_id")))
+    kept = pairs.filter((F.col("best") >= F.round(F.col("t") + margin, 9)) & (p >= F.round("t", 9)))
+    return macro(entity_f05(truth, kept.select("s1_id", "cand_id")))

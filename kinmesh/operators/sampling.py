@@ -33,27 +33,28 @@ def match_buckets(entities: DataFrame) -> DataFrame:
     return entities.select("s1_id", F.coalesce("country", F.lit("Unknown")).alias("country"), F.least(F.size("matches"), F.lit(5)).alias("bucket"))
 
 
-def stratified(buckets: DataFrame, target: int, total: int, seed: int = 42) -> DataFrame:
-    """Of each stratum (country, bucket) int(size / total * target) ids, by hash order."""
-    sizes = buckets.groupBy("country", "bucket").agg(F.floor(F.count("*") / F.lit(total) * F.lit(target)).alias("quota"))
+def stratified(buckets: DataFrame, target: int, seed: int = 42) -> DataFrame:
+    """Of each stratum (country, bucket) int(size / all * target) ids, by hash order."""
+    total = buckets.agg(F.count("*").alias("total"))
+    sizes = buckets.groupBy("country", "bucket").agg(F.count("*").alias("n")).crossJoin(F.broadcast(total))  # total: one row
+    sizes = sizes.select("country", "bucket", F.floor(F.col("n") / F.col("total") * F.lit(target)).alias("quota"))
     r = F.row_number().over(Window.partitionBy("country", "bucket").orderBy(order_key(F.col("s1_id"), seed), "s1_id"))
     return buckets.withColumn("__r", r).join(sizes, ["country", "bucket"]).filter(F.col("__r") <= F.col("quota")).select("s1_id", "country", "bucket")
 
 
 def top_off(sample: DataFrame, ids: DataFrame, target: int, seed: int = 42) -> DataFrame:
-    """The sample with more ids by hash order, up to the target."""
-    missing = max(0, target - sample.count())
-    rest = ids.join(sample.select("s1_id"), "s1_id", "left_anti").select("s1_id")
-    more = rest.orderBy(order_key(F.col("s1_id"), seed), "s1_id").limit(missing)
-    return sample.select("s1_id").unionByName(more)
+    """The sample with more ids by hash order, up to the target: sampled ids come first in one bounded top-n."""
+    both = sample.select("s1_id", F.lit(0).alias("__later")).unionByName(ids.join(sample.select("s1_id"), "s1_id", "left_anti").select("s1_id", F.lit(1).alias("__later")))
+    return both.orderBy("__later", order_key(F.col("s1_id"), seed), "s1_id").limit(target).select("s1_id")
 
 
-def distractors(targets: DataFrame, needed: DataFrame, percent: int = 5, most: int = 100_000, countries: list[str] | None = None, seed: int = 42) -> DataFrame:
-    """Needed targets, and of the others about ``percent`` in a hundred, ``most`` at most (a feature of the sample)."""
-    kept = targets.join(needed.select(F.col("cand_id").alias("entity_id")).distinct(), "entity_id", "left_semi")
-    rest = targets.join(needed.select(F.col("cand_id").alias("entity_id")).distinct(), "entity_id", "left_anti")
+def distractors(targets: DataFrame, needed: DataFrame, percent: int = 5, most: int = 100_000, countries: list[str] | None = None, seed: int = 42, sources: tuple[str, ...] = ("S2-", "S3-")) -> DataFrame:
+    """Needed targets, and of each source's others about ``percent`` in a hundred, ``most`` of each source at most (a feature of the sample)."""
+    ids = needed.select(F.col("cand_id").alias("entity_id")).distinct()
+    kept, rest = targets.join(ids, "entity_id", "left_semi"), targets.join(ids, "entity_id", "left_anti")
     if countries:
         rest = rest.filter(F.col("country").isin(countries))
     bucket = F.pmod(F.conv(F.substring(order_key(F.col("entity_id"), seed), 1, 8), 16, 10).cast("long"), F.lit(100))
-    rest = rest.filter(bucket < percent).orderBy("entity_id").limit(most)
-    return kept.unionByName(rest)
+    for source in sources:
+        kept = kept.unionByName(rest.filter(F.col("entity_id").startswith(source) & (bucket < percent)).orderBy("entity_id").limit(most))
+    return kept

@@ -33,11 +33,12 @@ def union_targets(second: DataFrame, third: DataFrame) -> DataFrame:
 
 
 def read_truth(spark: SparkSession, path: str) -> DataFrame:
-    """(s1_id, matched_entity_ids): each line cut at its first tab."""
+    """(s1_id, matched_entity_ids): each line cut at its first tab. Of several lines of one id the last counts."""
     line = F.regexp_replace("value", r"^\s+|\s+$", "")
-    rows = spark.read.text(path).select(F.split(line, "\t", 2).alias("f"))
-    rows = rows.select(F.trim(F.col("f")[0]).alias("s1_id"), F.coalesce(F.get("f", F.lit(1)), F.lit("")).alias("matched_entity_ids"))
-    return rows.filter(~F.col("s1_id").isin("", "source1_entity_id", "s1_id"))
+    rows = spark.read.text(path).select(F.split(line, "\t", 2).alias("f"), F.monotonically_increasing_id().alias("at"))
+    rows = rows.select(F.trim(F.col("f")[0]).alias("s1_id"), F.coalesce(F.get("f", F.lit(1)), F.lit("")).alias("matched_entity_ids"), "at")
+    rows = rows.filter(~F.col("s1_id").isin("", "source1_entity_id", "s1_id"))
+    return rows.groupBy("s1_id").agg(F.max_by("matched_entity_ids", "at").alias("matched_entity_ids"))
 
 
 def write_tsv(df: DataFrame, path: str) -> None:

@@ -52,6 +52,15 @@ def test_records(spark):
     assert stripped.filter("entity_id = 'c'").first()["name_root"] == "painterslocal46"
 
 
+def test_scripts_are_romanised_in_plans(spark):
+    values = ["मुंबई ट्रेडर्स", "Москва Авто", "Щёлково Ltd", "Αθήνα Ωμέγα", "カナ にほん", "plain é", "दिल्ली १२", "नमस्ते", None, ""]
+    got = apply(spark, T.clean_text, values)
+    assert got[1:5] == ["moskva avto", "shchelkovo ltd", "athena omega", "kana nihon"] and got[5] == "plain e" and got[7] == "namaste" and got[8:] == ["", ""]
+    assert all(got[:1]) and got[0].split()[0].startswith("mu") and len(got[0].split()) == 2
+    raw = apply(spark, T.romanise, values[:8])
+    assert raw == [T.romanise_text(v) for v in values[:8]]
+
+
 def test_romanised_scripts():
     assert T.romanise_text("नमस्ते India") == "namaste India"
     assert T.romanise_text("दिल्ली १२").startswith("dill") and T.romanise_text("दिल्ली १२").endswith("12")

@@ -1,8 +1,12 @@
+import json
+import math
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from kinmesh import queries as linkage
-from kinmesh.operators import blocking, features, matching, metrics, models, records, sampling
+from kinmesh.operators import blocking, boosting, features, matching, metrics, models, records, sampling
 from kinmesh.plans import pipeline
 from kinmesh.settings import Settings
 from kinmesh.sources import files
@@ -59,15 +63,15 @@ def test_registered_queries_keep_frequent_keys_and_train_whole_models(spark, mon
     assert kept.count() == index.count()  # no key of this table is above 25,000
     asked = []
 
-    def trained(data, trees=400, step=0.08, depth=6, seed=42):
-        asked.append((trees, depth))
+    def trained(data, trees=models.TREES):
+        asked.append([(g.trees, g.depth, g.rate) for g in models.growths(trees)])
         raise InterruptedError
 
     monkeypatch.setattr(models, "train_ensemble", trained)
     for name in ("train_gbt", "ensemble_score", "feature_importance"):
         with pytest.raises(InterruptedError):
             linkage.queries()[name](spark, sf)
-    assert asked == [(400, 6)] * 3
+    assert asked == [[(400, 6, 0.08)] * 2] * 3
 
 
 def test_repeats_multiply(spark):
@@ -168,14 +172,120 @@ def test_files(spark, tmp_path):
     assert matching.merge_thresholds({"US": 0.9}) == {"US": 0.9, "India": 0.94, "France": 0.96}
 
 
+def test_files_keep_the_last_truth_and_count_repeated_ids_once(spark, tmp_path):
+    gt = tmp_path / "gt.tsv"
+    gt.write_text("source1_entity_id\tmatched_entity_ids\na\tx\nb\ty\na\tz, w\n", encoding="utf-8")
+    assert {r["s1_id"]: sorted(r["matches"]) for r in metrics.parse_truth(files.read_truth(spark, str(gt))).collect()} == {"a": ["w", "z"], "b": ["y"]}
+    s1, s2 = frames(spark)
+    doubled = s1.unionByName(s1.withColumn("name", F.lit("Zzz")))
+    linked = pipeline.link(doubled, s2.unionByName(s2))
+    assert {r["source1_entity_id"] for r in linked.match_rows().collect()} == {r[0] for r in S1} and linked.match_rows().count() == len(S1)
+    assert set(matching.validate(linked.match_rows(), linked.candidate_rows(), linked.queries, s2).first()) == {0}
+    assert linked.match_rows().orderBy("source1_entity_id").collect() == pipeline.link(s1, s2).match_rows().orderBy("source1_entity_id").collect()
+
+
+def test_target_names_are_cleaned_twice_for_features_only(spark):
+    q = records.normalise(spark.createDataFrame([("S1-1", "Null Null", "1 Mill Mill", "US")], SCHEMA))
+    t = records.normalise(spark.createDataFrame([("S2-1", "NULL.", "1 Mill Mill", "US")], SCHEMA))
+    pair = features.pairs(blocking.candidates(q, t), q, t)
+    row = features.pair_features(pair).first()
+    assert pair.first()["t_name_clean"] == "null" and row["n_fuzz"] == row["root_fuzz"] == row["n_jaccard"] == row["compact_sub"] == 0
+    assert row["len_diff"] == len("null null") and matching.rule_score(pair).first()["p"] > 0.9
+
+
+def test_distractors_are_capped_by_source(spark):
+    targets = spark.createDataFrame([(f"S{2 + i % 2}-{i:03}", "n", "a", "US") for i in range(60)], SCHEMA)
+    needed = spark.createDataFrame([("S2-004",), ("S3-005",)], "cand_id string")
+    got = [r["entity_id"] for r in sampling.distractors(targets, needed, percent=100, most=7).collect()]
+    assert len(got) == len(set(got)) == 16 and {"S2-004", "S3-005"} <= set(got) and sum(x.startswith("S2-") for x in got) == 8
+
+
+def naive_stump(x, y, l2):
+    """The best first split by trying every cut of every feature, and its leaf values."""
+    p = y.mean()
+    g, h = p - y, np.full(len(y), p * (1 - p))
+    score = lambda m: g[m].sum() ** 2 / (h[m].sum() + l2)
+    best = max(((score(x[:, f] <= c) + score(x[:, f] > c) - score(x[:, f] < np.inf), -f, -c) for f in range(x.shape[1]) for c in boosting.edges_of(x)[f]), key=lambda s: s)
+    f, c = -best[1], -best[2]
+    left = x[:, f] <= c
+    return f, c, *(-0.08 * g[m].sum() / (h[m].sum() + l2) for m in (left, ~left))
+
+
+@pytest.mark.parametrize("symmetric", [True, False])
+def test_boosting_equals_a_naive_first_split_and_learns(symmetric):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 4)).round(2)
+    y = ((x[:, 1] > 0.2) ^ (x[:, 2] > 0.5)).astype(float)
+    growth = boosting.Growth(symmetric, 1, depth=1, leaves=2, l2=5.0)
+    tree = boosting.fit(x, y, growth).trees[0]
+    f, c, left, right = naive_stump(x, y, 5.0)
+    assert (tree.feature[0], tree.threshold[0]) == (f, pytest.approx(c))
+    assert (tree.value[tree.left[0]], tree.value[tree.right[0]]) == (pytest.approx(left), pytest.approx(right))
+    model = boosting.fit(x, y, boosting.Growth(symmetric, 60, least_rows=1 if symmetric else 5))
+    assert ((model.probability(x) > 0.5) == (y > 0.5)).mean() > 0.97 and np.argsort(model.gains)[-2:].tolist() in ([1, 2], [2, 1])
+    again = boosting.Boosted.of_dict(json.loads(json.dumps(model.as_dict())))
+    assert (again.probability(x) == model.probability(x)).all()
+    assert boosting.fit(x, np.ones(300), growth).probability(x).min() > 0.99 and boosting.fit(x[:0], y[:0], growth).probability(x).tolist() == [0.5] * 300
+
+
+def test_probabilities_of_the_models_are_golden(spark):
+    """What both models of three trees say of four pairs that differ in one feature each."""
+    rows = [(f"S1-{i}", f"S2-{i}", int(i % 3 == 0), *[float((i * (j + 3)) % 7) / 7 if j else float(i % 3 == 0) for j in range(len(features.FEATURES))]) for i in range(90)]
+    data = spark.createDataFrame(rows, ["s1_id", "cand_id", "label", *features.FEATURES])
+    first, second = models.train_ensemble(data, trees=3)
+    same = models.train_ensemble(data.orderBy(F.desc("cand_id")).repartition(5), trees=3)
+    assert [m.as_dict() for m in same] == [first.as_dict(), second.as_dict()]
+    assert first.trees[0].feature[0] == 0
+    p = {r["label"]: r["p"] for r in models.ensemble_score(data, [first]).collect()}
+    z = math.log(1 / 2)
+    want = {}
+    for label in (0, 1):
+        raw = {k: z for k in (0, 1)}
+        for _ in range(3):  # all rows of a label are alike in the only feature that matters
+            for k, n in ((0, 60), (1, 30)):
+                q = 1 / (1 + math.exp(-raw[k]))
+                raw[k] -= 0.08 * n * (q - k) / (n * q * (1 - q) + 5)
+        want[label] = 1 / (1 + math.exp(-raw[label]))
+    if all(t.feature.count(-1) == 2 for t in first.trees):
+        assert p == pytest.approx(want)
+    else:
+        assert p[0] < 1 / 3 < p[1]
+
+
+def test_commands(spark, tmp_path, capsys):
+    from kinmesh.__main__ import main
+
+    s1 = [(f"S1-{i}", f"Alpha{i} Works {i}", f"{i + 10} Mill St", "US" if i % 2 else "India") for i in range(30)]
+    s2 = [(f"S{2 + i % 2}-{i}", f"Alpha{i} Works {i}" if i % 3 else f"Other{i} Works", f"{i + 10} Mill St", "US" if i % 2 else "India") for i in range(30)]
+    paths = []
+    for n, rows in ((1, s1), (2, [r for r in s2 if r[0][1] == "2"]), (3, [r for r in s2 if r[0][1] == "3"])):
+        paths.append(str(tmp_path / f"s{n}.tsv"))
+        (tmp_path / f"s{n}.tsv").write_text("entity_id\tname\taddress\tcountry\n" + "".join("\t".join(r) + "\n" for r in rows))
+    gt = tmp_path / "gt.tsv"
+    gt.write_text("source1_entity_id\tmatched_entity_ids\n" + "".join(f"S1-{i}\t{s2[i][0] if i % 3 else ''}\n" for i in range(30)))
+    out = str(tmp_path / "out")
+    assert main([*paths, out, "--model", str(tmp_path / "missing")]) == 0  # no model: the rule decides
+    assert "entities" in capsys.readouterr().out
+    assert main(["validate", *paths, f"{out}/matching_results.tsv", f"{out}/candidate_pairs.tsv"]) == 0
+    assert main(["validate", *paths, f"{out}/candidate_pairs.tsv", f"{out}/matching_results.tsv"]) == 1
+    assert main(["evaluate", *paths, str(gt)]) == 0
+    assert "macro f05" in capsys.readouterr().out
+    assert main(["train", *paths, str(gt), out, "--entities", "15", "--trees", "5"]) == 0
+    assert "France" in capsys.readouterr().out
+    assert main(["link", *paths, out + "2", "--model", f"{out}/model", "--thresholds", f"{out}/thresholds"]) == 0
+    assert main(["split", *paths, str(gt), out + "3", "--size", "10"]) == 0
+    assert files.read_records(spark, out + "3/source1.tsv").count() == 10
+    assert metrics.parse_truth(files.read_truth(spark, out + "3/ground_truth.tsv")).count() == 10
+
+
 def test_train_save_load_and_stream(spark, tmp_path):
     s1 = spark.createDataFrame([(f"S1-{i}", f"Alpha{i} Works {i}", f"{i + 10} Mill St", "US") for i in range(30)], SCHEMA)
     s2 = spark.createDataFrame([(f"S2-{i}", f"Alpha{i} Works {i}" if i % 3 else f"Other{i} Works", f"{i + 10} Mill St", "US") for i in range(30)], SCHEMA)
     truth = s1.select(F.col("entity_id").alias("s1_id"), "country", F.expr("if(cast(substr(entity_id, 4) as int) % 3 <> 0, array(concat('S2-', substr(entity_id, 4))), cast(array() as array<string>))").alias("matches"))
-    ensemble, best = pipeline.train_and_calibrate(s1, s2, truth, 15, trees=3)
+    ensemble, best = pipeline.train_and_calibrate(s1, s2, truth, 15, trees=100)
     assert [r["country"] for r in best.collect()] == ["US"]
-    models.save(ensemble, str(tmp_path / "m"))
-    again = models.load(str(tmp_path / "m"))
+    models.save(spark, ensemble, str(tmp_path / "m"))
+    again = models.load(spark, str(tmp_path / "m"))
     linked = pipeline.link(s1, s2, again, Settings(thresholds={"US": 0.5}))
     assert pipeline.evaluate(truth, linked).first()["macro_f05"] > 0.8
     assert models.feature_importance(again[0], spark).count() == 10

@@ -9,7 +9,6 @@ import __spark_entry__
 from kinmesh import queries as linkage
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SLOW = {"train_gbt", "ensemble_score", "feature_importance"}  # covered by the training test
 
 
 @pytest.fixture(scope="module")
@@ -32,7 +31,7 @@ def test_query_equals_oracle(spark, duck, sf, name):
     assert values(got) == values(want)
 
 
-@pytest.mark.parametrize("name", sorted(set(linkage.queries()) - set(linkage.oracle_sql()) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(linkage.queries()) - set(linkage.oracle_sql()))))
 def test_other_queries_run(spark, sf, name):
     assert linkage.queries()[name](spark, sf).count() > 0
 
