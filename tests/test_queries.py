@@ -31,7 +31,7 @@ def test_query_equals_oracle(spark, duck, sf, name):
     assert values(got) == values(want)
 
 
-@pytest.mark.parametrize("name", sorted(set(linkage.queries()) - set(linkage.oracle_sql()))))
+@pytest.mark.parametrize("name", sorted(set(linkage.queries()) - set(linkage.oracle_sql())))
 def test_other_queries_run(spark, sf, name):
     assert linkage.queries()[name](spark, sf).count() > 0
 
