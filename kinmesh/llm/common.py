@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,7 +10,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinmesh.cluster import ship
+from kinmesh.cluster import shared_folder, ship
 
 #: White space of the word definition ``[^\x20\x09-\x0D]+``.
 SPACES = " \t\n\x0b\x0c\r"
@@ -47,20 +46,9 @@ def fold(doc_id: Column, n: int) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string")), F.lit(n)), F.lit(0))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder that driver and executors share: below ``spark.checkpoint.dir``.
-
-    The setting is read from the session; where it is unset (tests on one machine), a folder of the warehouse is taken.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints"
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-
-
 def materialise(df: DataFrame, name: str = "step") -> DataFrame:
     """Writes ``df`` as Parquet in the shared folder and reads it again: lineage ends at a table that every executor sees."""
-    path = f"{shared_dir(df.sparkSession)}/{name}"
+    path = f"{shared_folder(df.sparkSession)}/{name}"
     df.write.parquet(path)
     written = df.sparkSession.read.schema(df.schema).parquet(path)
     written.written_to = path

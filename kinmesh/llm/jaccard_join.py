@@ -461,3 +461,18 @@ def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
 def op7_jaccard_join(spark, sf_dir):
     """Class and number of links of every document."""
     return classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+
+
+#: The same by exact counting of shared shingles. The forest may miss a pair at the threshold with a probability below 1 - RECALL.
+ORACLE = rf"""
+with recursive t as (select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as (select distinct r, unnest(case when len(w) = 0 then [] when len(w) < {SHINGLE} then [array_to_string(w, ' ')]
+      else list_transform(range(1, len(w) - {SHINGLE - 2}), lambda i: array_to_string(w[i:i + {SHINGLE - 1}], ' ')) end) as g from t),
+n as (select r, count(*) as n from s group by r),
+c as (select a.r as x, b.r as y, count(*) as c from s a join s b on a.g = b.g and a.r <> b.r group by all),
+l as materialized (select x, y from c join n p on p.r = x join n q on q.r = y where c >= {THRESHOLD} * (p.n + q.n - c) - 1e-9),
+reach as (select r as x, r as y from t union select reach.x, l.y from reach join l on reach.y = l.x),
+classes as (select x, min(doc_id) as class_id from reach join t on t.r = reach.y group by x),
+links as (select x, count(*) as n_links from l group by x)
+select doc_id, class_id, coalesce(n_links, 0) as n_links from t join classes on classes.x = t.r left join links on links.x = t.r
+"""

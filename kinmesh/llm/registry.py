@@ -30,4 +30,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op3_quality_rules": quality_rules.oracle_sql(),
         "op4_topk_search": topk_search.ORACLE,
+        "op7_jaccard_join": jaccard_join.ORACLE,
     }

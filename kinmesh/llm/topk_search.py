@@ -25,7 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinmesh.llm.common import materialise, shared_dir, short_batches, table
+from kinmesh.cluster import shared_folder
+from kinmesh.llm.common import materialise, short_batches, table
 
 SCALE = 256
 K = 5
@@ -182,7 +183,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, vec_id: str = "vec_i
 
     if parts == 1:
         return merge(scan(0))
-    folder = shared_dir(spark)
+    folder = shared_folder(spark)
     for p in range(parts):
         merge(scan(p)).write.parquet(f"{folder}/block={p}")
     return spark.read.schema("query_id long, rank int, vec_id long, score long").option("recursiveFileLookup", "true").parquet(folder)

@@ -277,6 +277,19 @@ def test_models_do_not_share_what_they_remember():
         del m
 
 
+def test_toxicity_is_learned_alike_in_tasks_and_at_once(spark):
+    texts, labels = toxic_texts()
+    texts[5], texts[6] = None, "1d10t you"
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    marks = spark.createDataFrame(list(enumerate(labels)), "doc_id long, toxic int")
+    rows = sorted(((t or "", k) for t, k in zip(texts, labels, strict=True)), key=lambda x: x)
+    whole = toxicity.fit([t for t, _ in rows], [k for _, k in rows], {0: labels.count(0), 1: labels.count(1)})
+    tasks = toxicity.train(docs, marks, folds=7, left_out=9, per_class=10**6)
+    assert tasks.letters.counts == whole.letters.counts and tasks.letters.words == whole.letters.words
+    assert tasks.features == whole.features and np.allclose(tasks.weights, whole.weights) and np.allclose(tasks.alone, whole.alone)
+    assert tasks.intercept == pytest.approx(whole.intercept)
+
+
 def every_reading(model, token):
     """The best reading of a stretch by trying every path through its lattice."""
     best = {}
