@@ -9,7 +9,8 @@ Pairs and words that training has seen twice or more are in the filter, at every
 logarithmic scale (two levels for each power of two), and a key of level q is in the filter as (key, 1) to (key, q).
 Probing (key, 1), (key, 2), ... until one is missing gives the level back, never too low (Talbot and Osborne, 2007);
 a pair's level is held to those of its words, which undoes most false positives. The filter is built in segments by many tasks and grows with its
-items; building raises an error if the share of false positives exceeds :data:`FALSE_POSITIVES`. At most :data:`MOST_BITS` bits
+items; building raises an error if the share of false positives exceeds :data:`FALSE_POSITIVES`. It is broadcast as a file that
+Spark fetches once to each executor and that its workers map, so it takes page cache and no memory of their own. At most :data:`MOST_BITS` bits
 are broadcast at once: a larger filter is dealt by key into parts, and the texts are scored in one pass for each part, which
 counts the tokens whose pairs lie there.
 
@@ -33,17 +34,19 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kinmesh.cluster import shared_folder
 from kinmesh.llm.common import CHUNK_BYTES, chunks, discard, fold, materialise, short_batches, table
 
 DISCOUNT, KAPPA = 0.75, 2
 #: Least count of what is in the filter.
 LEAST = 2
-#: Bits of the filter that are broadcast at once, at most (a power of two).
-MOST_BITS = 1 << 29
+#: Bits of the filter that are broadcast at once, at most (a power of two): a file of 1 GB.
+MOST_BITS = 1 << 33
 LEAST_BITS = 1 << 20
 BITS_PER_ITEM = 14
 #: Share of absent keys that may seem present, at most.
@@ -323,13 +326,29 @@ def train(counts: DataFrame, n_docs: int, bits_per_item: float = BITS_PER_ITEM)
     return Model(stats["n"], stats["v"], n_docs, segment_bits, hashes, parts), filled, words
 
 
-def load(model: Model, filled: DataFrame, part: int) -> LogFrequencyFilter:
-    """One part of the filter."""
-    size = model.segment_bits >> 3
-    data = np.zeros(SEGMENTS * size, dtype=np.uint8)
-    for row in filled.filter(F.col("part") == part).toLocalIterator():
-        data[row["segment"] * size : (row["segment"] + 1) * size] = np.frombuffer(row["bytes"], dtype=np.uint8)
-    return LogFrequencyFilter(data, model.segment_bits, model.hashes, part, model.parts)
+def publish(model: Model, filled: DataFrame, part: int) -> str:
+    """Broadcasts one part of the filter as a file: its segments in order. Returns the file's name."""
+    context = filled.sparkSession.sparkContext
+    folder, size, at = shared_folder(filled.sparkSession), model.segment_bits >> 3, 0
+    name = f"{folder.rsplit('/', 1)[-1]}.filter"
+    path = context._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+    system = path.getFileSystem(context._jsc.hadoopConfiguration())
+    out = system.create(path)
+    for row in filled.filter(F.col("part") == part).orderBy("segment").toLocalIterator():  # one segment at a time
+        for _ in range(at, row["segment"]):
+            out.write(bytes(size))
+        out.write(bytes(row["bytes"]))
+        at = row["segment"] + 1
+    for _ in range(at, SEGMENTS):
+        out.write(bytes(size))
+    out.close()
+    context.addFile(path.makeQualified(system.getUri(), system.getWorkingDirectory()).toString())
+    return name
+
+
+def opened(model: Model, name: str, part: int = 0) -> LogFrequencyFilter:
+    """A part of the filter, mapped from the file that was broadcast."""
+    return LogFrequencyFilter(np.asarray(np.memmap(SparkFiles.get(name), dtype=np.uint8, mode="r")), model.segment_bits, model.hashes, part, model.parts)
 
 
 @dataclass
@@ -431,9 +450,10 @@ def score(docs: DataFrame, training: Column, text: str = "text", carry: tuple[st
     rare_type = pa.struct([(c, pa.int64()) for c in _RARE])
     made = T._parse_datatype_string("n_tokens long, known long, base double, lm double, rare array<struct<w: long, k: long, b: long, a: long, s: long>>")
 
-    def passed(sent):
+    def passed(sent, name, number):
         def run(batches):
-            m, part, frequent_words = sent.value
+            m, frequent_words = sent.value
+            part = opened(m, name, number)
             for batch in chunks(batches, limit=TOGETHER):
                 sums, rare = _look_up(_binary(batch), m, part, frequent_words)
                 order = np.argsort(rare[0], kind="stable")
@@ -444,10 +464,11 @@ def score(docs: DataFrame, training: Column, text: str = "text", carry: tuple[st
         return run
 
     rows = []
-    for part in range(model.parts):
-        sent = spark.sparkContext.broadcast((model, load(model, filled, part), hot))
-        rows.append(materialise(source.mapInArrow(passed(sent), T.StructType([*source.schema.fields[:-1], *made.fields])), "rows"))
-        sent.unpersist()
+    sent = spark.sparkContext.broadcast((model, hot))
+    for number in range(model.parts):
+        name = publish(model, filled, number)
+        rows.append(materialise(source.mapInArrow(passed(sent, name, number), T.StructType([*source.schema.fields[:-1], *made.fields])), "rows"))
+    sent.unpersist()
     both = rows[0]
     for more in rows[1:]:
         both = both.unionByName(more)

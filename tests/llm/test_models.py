@@ -95,7 +95,7 @@ def test_lm_probabilities_sum_to_one(spark, sf):
     lm_scoring.short_batches(spark)
     model, filled, words = lm_trained(spark, texts, bits_per_item=64)  # practically no false positives, each of which adds mass
     _, p, known = brute_scores(list(enumerate(texts)), lambda i: False)
-    held = lm_scoring.load(model, filled, 0)
+    held = lm_scoring.opened(model, lm_scoring.publish(model, filled, 0))
     of = {r["w"]: r for r in words.collect()}
     kinds = np.array([w for w in of if w != lm_scoring._START_HASH])
     assert len(kinds) == model.kinds == len(known) - 1
