@@ -7,7 +7,7 @@ multiplied with the rows of the matrix. The matrix has ``languages * BUCKETS`` n
 :data:`MOST_LANGUAGES` bounds it, and more languages are refused with an error. Long texts are taken in slices of :data:`SLICE`
 characters, so memory beyond a text and its lower-cased copy does not grow with its length.
 
-Defined cases: a null text or one without a letter is ``und`` with score 0; so is every text if no
+Defined cases: a null text or one without a letter is ``und`` with score and likeness 0; so is every text if no
 document could be learned from. Rows with a null language teach nothing. Repeated rows are judged alike; of languages with the
 same probability the first by name is taken. Columns named like a result are replaced by it.
 """
@@ -83,6 +83,8 @@ class LanguageModel:
     languages: list[str]
     log_probs: np.ndarray  # (BUCKETS, languages)
     log_priors: np.ndarray
+    #: Mean log probability of an n-gram of each language in training, under its own language.
+    typical: np.ndarray | None = None
 
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", per_language: int = TRAIN_DOCS_PER_LANGUAGE) -> LanguageModel:
@@ -117,28 +119,35 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", per_language:
         counts[index[row["lang"]]] += np.frombuffer(row["counts"], dtype=np.int64)
     smoothed = np.log(counts + 0.5) - np.log(counts.sum(axis=1, keepdims=True) + 0.5 * BUCKETS)
     priors = np.array([totals[k] for k in languages], dtype=float)
-    return LanguageModel(languages, np.ascontiguousarray(smoothed.T), np.log(priors / priors.sum()))
+    typical = (counts * smoothed).sum(axis=1) / np.maximum(counts.sum(axis=1), 1)
+    return LanguageModel(languages, np.ascontiguousarray(smoothed.T), np.log(priors / priors.sum()), typical)
 
 
-def score_texts(model: LanguageModel, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-    """The most probable language and its posterior probability for each text."""
+def score_texts(model: LanguageModel, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The most probable language of each text, its posterior probability, and its likeness.
+
+    Likeness is the mean log probability of the text's n-grams under that language, less that of its training texts. A posterior only
+    compares the languages that were learned; a text in another language is told by its likeness, whatever its length.
+    """
     if not model.languages or not texts:
-        return [UNKNOWN] * len(texts), np.zeros(len(texts))
+        return [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
     total = np.tile(model.log_priors, (len(texts), 1))
-    lettered = np.zeros(len(texts), dtype=bool)
+    lettered, size = np.zeros(len(texts), dtype=bool), np.ones(len(texts))
     for i, t in enumerate(texts):
         at, n, lettered[i] = sparse_row(t)
         total[i] += n @ model.log_probs[at]
-    total -= total.max(axis=1, keepdims=True)
+        size[i] = max(n.sum(), 1)
     best = total.argmax(axis=1)
-    score = 1.0 / np.exp(total).sum(axis=1)
-    return [model.languages[b] if ok else UNKNOWN for b, ok in zip(best, lettered, strict=True)], np.where(lettered, score, 0.0)
+    own = total[np.arange(len(texts)), best]
+    likeness = (own - model.log_priors[best]) / size - (0 if model.typical is None else model.typical[best])
+    score = 1.0 / np.exp(total - own[:, None]).sum(axis=1)
+    return [model.languages[b] if ok else UNKNOWN for b, ok in zip(best, lettered, strict=True)], np.where(lettered, score, 0.0), np.where(lettered, likeness, 0.0)
 
 
 def identify(docs: DataFrame, model: LanguageModel, text: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """The rows of ``docs`` (or their columns ``carry``) with lang_pred and score."""
+    """The rows of ``docs`` (or their columns ``carry``) with lang_pred, score and likeness."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    return annotate(docs, {"lang_pred": "string", "score": "double"}, lambda texts: score_texts(sent.value, texts), text, carry)
+    return annotate(docs, {"lang_pred": "string", "score": "double", "likeness": "double"}, lambda texts: score_texts(sent.value, texts), text, carry)
 
 
 def op1_language_id(spark, sf_dir):

@@ -3,6 +3,8 @@ import re
 from collections import Counter
 
 import pytest
+
+import corpus_pipeline
 from pyspark.sql import functions as F
 
 from kinmesh.llm import language_id, quality_rules
@@ -117,7 +119,7 @@ def test_language_scores_equal_plain_dictionaries(spark):
             counts[k][plain_bucket(gram)] += n
     asked = [t for _, t in texts] + ["", " 12 ", "ein Haus", "a", "İstanbul ΟΔΟΣ", "the 😀 cat\n\tof"]
     got = language_id.score_texts(model, asked)
-    for t, lang, score in zip(asked, *got, strict=True):
+    for t, lang, score, likeness in zip(asked, *got, strict=True):
         logs = {}
         for k in langs:
             whole = sum(counts[k].values()) + 0.5 * language_id.BUCKETS
@@ -126,9 +128,27 @@ def test_language_scores_equal_plain_dictionaries(spark):
         want = 1 / sum(math.exp(v - logs[best]) for v in logs.values())
         if not any(c.isalpha() for c in t or ""):
             best, want = "und", 0.0
+            assert likeness == 0
+        else:
+            mean = lambda grams, k, whole: sum(n * math.log((counts[k][plain_bucket(g)] + 0.5) / whole) for g, n in grams.items()) / sum(grams.values())
+            whole = sum(counts[best].values()) + 0.5 * language_id.BUCKETS
+            typical = sum(n * math.log((n + 0.5) / whole) for n in counts[best].values()) / sum(counts[best].values())
+            assert likeness == pytest.approx(mean(plain_grams(t), best, whole) - typical)
         assert lang == best and score == pytest.approx(want)
 
 
+def test_other_languages_are_unlike_all_that_were_learned(spark, sf):
+    """The posterior of a text in a language that was not learned may be 1; its likeness is low at any length."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = language_id.train(docs)
+    own = [r["text"] for r in docs.filter("lang is not null and size(split(text, ' ')) >= 50").collect()]
+    least = min(language_id.score_texts(model, own)[2])
+    polish = "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem. "
+    russian = "Все люди рождаются свободными и равными в своем достоинстве и правах. "
+    for text in (polish, polish * 40, russian, russian * 40):
+        _, score, likeness = language_id.score_texts(model, [text])
+        assert likeness[0] < corpus_pipeline.LEAST_LIKENESS < least
+
 def test_language_of_a_long_text_by_slices(monkeypatch):
     text = "".join(chr(97 + i * i % 23) + " " * (i % 5 == 0) for i in range(3000)) + "Ünd ΟΔΟΣ"
     whole = language_id.sparse_row(text)
