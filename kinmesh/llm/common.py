@@ -10,7 +10,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinmesh.cluster import shared_folder, ship
+from kinmesh.cluster import discard, materialise, shared_folder, ship  # noqa: F401
 
 #: White space of the word definition ``[^\x20\x09-\x0D]+``.
 SPACES = " \t\n\x0b\x0c\r"
@@ -46,23 +46,6 @@ def fold(doc_id: Column, n: int) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string")), F.lit(n)), F.lit(0))
 
 
-def materialise(df: DataFrame, name: str = "step") -> DataFrame:
-    """Writes ``df`` as Parquet in the shared folder and reads it again: lineage ends at a table that every executor sees."""
-    path = f"{shared_folder(df.sparkSession)}/{name}"
-    df.write.parquet(path)
-    written = df.sparkSession.read.schema(df.schema).parquet(path)
-    written.written_to = path
-    return written
-
-
-def discard(*written: DataFrame) -> None:
-    """Deletes tables that :func:`materialise` wrote, once nothing reads them any more."""
-    for df in written:
-        context = df.sparkSession.sparkContext
-        at = context._jvm.org.apache.hadoop.fs.Path(df.written_to).getParent()
-        at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts Arrow batches so that each holds about ``limit`` bytes of ``column`` (one row at least)."""
     for batch in batches:

@@ -33,15 +33,11 @@ def once(rows: DataFrame) -> DataFrame:
     return found.select("entity_id", "r.*")
 
 
-def _pairs(q: DataFrame, t: DataFrame, index: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame]:
-    found = blocking.top_k(blocking.votes(q, index), settings.k)
-    return found, features.pairs(found, q, t)
-
-
 def candidate_pairs(queries: DataFrame, targets: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame]:
     """Candidates, and pairs with both sides' forms, of records whose ids do not repeat."""
     q, t = (records.normalise(x, settings.strip_domain_words) for x in (queries, targets))
-    return _pairs(q, t, blocking.prune(blocking.inverted_index(t), settings.max_postings), settings)
+    found = blocking.candidates(q, t, settings.k, settings.max_postings)
+    return found, features.pairs(found, q, t)
 
 
 def _decide(queries: DataFrame, found: DataFrame, pairs: DataFrame, ensemble: list | None, settings: Settings) -> Linked:
@@ -66,7 +62,9 @@ def link(queries: DataFrame, targets: DataFrame, ensemble: list | None = None, s
 def link_prepared(queries: DataFrame, targets: DataFrame, index: DataFrame, ensemble: list | None = None, settings: Settings = Settings()) -> Linked:
     """The same against targets that are normalised and indexed already."""
     queries = once(queries)
-    return _decide(queries, *_pairs(records.normalise(queries, settings.strip_domain_words), targets, index, settings), ensemble, settings)
+    q = records.normalise(queries, settings.strip_domain_words)
+    found = blocking.top_k(blocking.votes(q, index), settings.k)
+    return _decide(queries, found, features.pairs(found, q, targets), ensemble, settings)
 
 
 def evaluate(truth: DataFrame, linked: Linked) -> DataFrame:
