@@ -297,3 +297,20 @@ def test_train_save_load_and_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sum(seen) == 30
+
+
+@pytest.mark.parametrize("symmetric", [True, False])
+def test_boosting_sums_equal_rows_once(symmetric, monkeypatch):
+    rng = np.random.default_rng(3)
+    few = rng.normal(size=(30, 4)).round(2)
+    x, y = np.repeat(few, 50, axis=0), np.tile(np.repeat([0.0, 1.0], [20, 30]), 30)
+    y[x[:, 0] > 0.5] = 1.0
+    sizes, own = [], boosting._histogram
+    monkeypatch.setattr(boosting, "_histogram", lambda binned, *rest: sizes.append(max(binned.shape)) or own(binned, *rest))
+    model = boosting.fit(x, y, boosting.Growth(symmetric, 5, depth=2, leaves=4, rows=1.0 if symmetric else 0.8))
+    assert max(sizes) <= 2 * len(few)
+    f, c, *_ = naive_stump(x, y, 5.0)
+    if symmetric:
+        first = boosting.fit(x, y, boosting.Growth(True, 1, depth=1)).trees[0]
+        assert (first.feature[0], first.threshold[0]) == (f, pytest.approx(c))
+    assert len(model.trees) == 5
