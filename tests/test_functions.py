@@ -119,3 +119,18 @@ def test_set_similarities(spark):
 def test_latin_letters_lose_their_marks(spark):
     letters = "éÀñüçäöêíåøłž"
     assert apply(spark, T.to_ascii, [letters, unicodedata.normalize("NFD", "é")]) == ["eAnucaoeiaolz", "e"]
+
+
+def test_long_strings_are_left_to_no_scalar_kernel(monkeypatch):
+    a = ["x yz " * 20 + "tail", "ab" * 35, "é" * 64, "q" * 300, ""]
+    b = ["tail " + "yz x " * 18, "ba" * 40, "é" * 70 + "b", "r" * 5 + "q" * 290, "abc" * 30]
+    names = ("ratio", "token_sort", "token_set", "partial", "partial_sort", "jaro_winkler", "damerau")
+    want = {n: [K.KERNELS[n](x, y) for x, y in zip(a, b, strict=True)] for n in names}
+
+    def scalar(*_):
+        raise AssertionError("a scalar kernel was asked")
+
+    for n in ("ratio", "partial", "damerau"):
+        monkeypatch.setattr(K, n, scalar)
+    for n in names:
+        assert batch.KERNELS[n](a, b).tolist() == want[n], n
