@@ -76,3 +76,21 @@ def test_features_are_computed_of_training_pairs_alone(spark, sf, monkeypatch):
     norm, found = linkage._tables(spark, sf)
     data = linkage._training(norm, found)
     assert seen == [data.count()] and seen[0] < found.count()
+
+
+def test_records_are_written_with_their_keys(spark, sf):
+    n = linkage._written(spark, sf)
+    plan = blocking.keyed(n)._jdf.queryExecution().optimizedPlan().toString()
+    assert "keys" in n.columns and "array_distinct" not in plan
+    fresh = blocking.keyed(n.drop("keys"))
+    assert n.count() > 0 and fresh.exceptAll(blocking.keyed(n)).count() == 0
+
+
+def test_words_of_a_text_whose_head_is_too_short_are_found(spark, tmp_path):
+    words = [f"w{i}" for i in range(30)]
+    texts = [" \t" + "\n".join(words), " ".join(words[:14]), " ".join(words[:14]) + " ", " ".join(["x" * 300, *words]), " ".join([*words[:13], "y" * 300, "z"]), " ".join(w * 9 for w in words), "", None]
+    spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["entity_id"]: (r["name"], r["address"]) for r in linkage.D.entities(spark, str(tmp_path)).collect()}
+    for i, t in enumerate(texts):
+        w = None if t is None else t.split()
+        assert got[f"S{1 + i % 3}-{i:06d}"] == ((None, None) if w is None else (" ".join(w[:4]), " ".join(w[4:14]))), i
