@@ -107,6 +107,24 @@ def annotate(docs: DataFrame, fields: dict[str, str], func, text: str = "text",
     return source.mapInArrow(run, schema)
 
 
+def known_labels(labels: DataFrame, label: str, folds: int, left_out: int) -> DataFrame:
+    """(doc_id, label) of labelled ids, without those of the fold ``left_out``. Null labels teach nothing; of contradicting labels of one id the larger counts."""
+    known = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), folds) != left_out))
+    return known.groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
+
+
+def label_totals(known: DataFrame) -> dict[int, int]:
+    return {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
+
+
+def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, folds: int, left_out: int) -> tuple[DataFrame, dict[int, int]]:
+    """As :func:`labelled_sample`, but of every labelled document, however long; ids and texts are dealt by id and nothing is broadcast."""
+    known = known_labels(labels, label, folds, left_out)
+    texts = docs.select("doc_id", "text").filter(F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), folds) != left_out))
+    found = texts.join(known.hint("shuffle_hash"), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("label").alias("label"))
+    return found.select("text", "label"), label_totals(known)
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, folds: int, left_out: int) -> tuple[DataFrame, dict[int, int]]:
     """Texts and labels to learn from: about ``per_class`` documents of each label value (0 and 1), by a hash of the id.
 
@@ -115,9 +133,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     an id has several times is taken once, one of more than :data:`SAMPLE_BYTES` is not learned from, and of several texts of an id one is. Null
     labels teach nothing; of contradicting labels of one id the larger counts.
     """
-    known = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), folds) != left_out))
-    known = known.groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
-    totals = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    known = known_labels(labels, label, folds, left_out)
+    totals = label_totals(known)
     share = F.lit(0.0)
     for value, n in totals.items():
         share = F.when(F.col("label") == value, F.lit(min(1.0, per_class / n))).otherwise(share)

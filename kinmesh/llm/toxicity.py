@@ -9,8 +9,8 @@ themselves. A word cut by white space is found among the telling words by joinin
 unknown; its parts have to be plain.
 
 The restored text is scored by logistic regression over the words and word beginnings that the labels tell
-apart (by likelihood ratio). Both models are learned from a bounded, hashed sample of labelled
-documents, and what is broadcast is bounded by :data:`MOST_FEATURES`, :data:`MOST_CONTEXTS` and :data:`MOST_WORDS`.
+apart (by likelihood ratio). Both models are learned from all labelled documents outside the held-out fold: words, contexts and features are
+counted in tasks, and each step of the regression is a pass over their chosen features, of which a value and a gradient for each task come back. What is broadcast is bounded by :data:`MOST_FEATURES`, :data:`MOST_CONTEXTS`, :data:`MOST_WORDS` and :data:`BUCKETS`.
 
 Defined cases: null and empty texts get the score of a text without any such word. Without labels of both
 values every score is the share of label 1 (0 if there are no labels). Repeated rows are scored alike.
@@ -23,32 +23,32 @@ import re
 import unicodedata
 import zlib
 from collections import Counter, defaultdict
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from kinmesh.llm.common import annotate, discard, fold, labelled_sample, materialise, short_batches, table
+from kinmesh.llm.common import annotate, chunks, discard, fold, labelled_sample, labelled_texts, materialise, short_batches, table
 
-#: Labelled documents of each value that are learned from, about.
-TRAIN_PER_CLASS = 2500
 MOST_FEATURES = 20_000
 MOST_CONTEXTS = 200_000
-#: Known words, the most frequent of the sample.
+#: Known words, the most frequent of the labelled texts.
 MOST_WORDS = 200_000
 PREFIXES = range(4, 10)
 #: Standard errors of the bound on what a feature tells by itself.
 CONFIDENCE = 3.3
 #: A feature counts by itself only if the bound's logit is at least this.
 SURE = 1.5
-#: Hash buckets in which features are counted at first.
+#: Hash buckets of the features that label 1 has often enough to be told by; other documents count features of these buckets alone.
 BUCKETS = 1 << 22
 ORDER = 4
-#: Tasks in which the sample is looked at.
-SAMPLE_TASKS = 12
+#: Weight of half the squared weights, and steps of the regression at most.
+PENALTY, MOST_STEPS = 5e-6, 60
+#: Different keys that a task counts before it sends its counts on.
+COUNTED = 400_000
 #: Tokens whose features a worker remembers.
 CACHE = 400_000
 
@@ -67,10 +67,6 @@ _DOUBTFUL = re.compile(r"[^\W_][.\-_*~]+[^\W_]|([^\W\d_])\1")
 _SPACED = re.compile(r"(?<!\S)[^\W_](?:[\s.\-_*~]+[^\W_]){2,}(?!\w)")
 
 
-def _words(text: str) -> list[str]:
-    return [w for w in (t.strip(_TRIM) for t in text.lower().split()) if w]
-
-
 @dataclass
 class CharacterModel:
     """Interpolated character n-grams of words; a space is the border of a word."""
@@ -79,21 +75,21 @@ class CharacterModel:
     words: frozenset[str] = frozenset()
     #: Probabilities asked for before; each worker process has its own.
     asked: dict[tuple[str, str], float] = field(default_factory=dict, repr=False, compare=False)
+    #: Readings of recent tokens, likewise.
+    read: dict[str, tuple[str, ...]] = field(default_factory=dict, repr=False, compare=False)
 
     def __getstate__(self):
-        return self.__dict__ | {"asked": {}}
+        return self.__dict__ | {"asked": {}, "read": {}}
 
     @classmethod
     def learn(cls, words: Counter) -> CharacterModel:
-        counts: dict[str, Counter] = defaultdict(Counter)
-        for word, n in words.items():
-            padded = " " * (ORDER - 1) + word + " "
-            for i in range(ORDER - 1, len(padded)):
-                for m in range(ORDER):
-                    counts[padded[i - m : i]][padded[i]] += n
-        kept = sorted(counts.items(), key=lambda x: (-sum(x[1].values()), x[0]))[:MOST_CONTEXTS]
-        known = sorted((w for w in words if words[w] > 1), key=lambda w: (-words[w], w))[:MOST_WORDS]  # a spelling met once may hide a word
-        return cls({k: dict(v) for k, v in kept}, frozenset(known))
+        letters, totals = defaultdict(dict), Counter()
+        for (context, letter), n in letter_counts(words.items()).items():
+            letters[context][letter] = n
+            totals[context] += n
+        least = least_kept(Counter(totals.values()), MOST_CONTEXTS)
+        often = least_kept(Counter(n for n in words.values() if n > 1), MOST_WORDS)  # a spelling met once may hide a word
+        return cls({k: v for k, v in letters.items() if totals[k] >= least}, frozenset(w for w, n in words.items() if n > 1 and n >= often))
 
     def log_prob(self, context: str, letter: str) -> float:
         """By Witten-Bell interpolation of all orders."""
@@ -112,6 +108,28 @@ class CharacterModel:
         return self.asked[context, letter]
 
 
+def letter_counts(words: Iterable[tuple[str, int]]) -> Counter:
+    """How often each letter follows each context of up to three letters, from words and how often they occur."""
+    counts: Counter = Counter()
+    for word, n in words:
+        padded = " " * (ORDER - 1) + word + " "
+        for i in range(ORDER - 1, len(padded)):
+            for m in range(ORDER):
+                counts[padded[i - m : i], padded[i]] += n
+    return counts
+
+
+def least_kept(sizes: dict[int, int], most: int) -> int:
+    """The least count such that no more than ``most`` things have as much, from how many things have each count."""
+    held, least = 0, 0
+    for n in sorted(sizes, reverse=True):
+        held += sizes[n]
+        if held > most:
+            return least if least else n + 1
+        least = n
+    return 0
+
+
 def decode(model: CharacterModel, token: str) -> str:
     """The most probable reading of an obfuscated stretch, words of it parted by single spaces.
 
@@ -247,25 +265,48 @@ def _ratio(a: np.ndarray, b: np.ndarray, n_a: int, n_b: int) -> np.ndarray:
     return np.where(a / max(n_a, 1) > b / max(n_b, 1), total, -total)
 
 
-def plain_words(texts: Iterable[str | None]) -> Counter:
-    """In how many texts each word occurs that hides nothing."""
-    words = Counter()
+def plain_words(texts: Iterable[str | None]) -> Iterator[set[str]]:
+    """Of each text the different words that hide nothing."""
+    known: dict[str, str] = {}
     for t in texts:
-        words.update(w for w in set(_words(t or "")) if w.isalpha() and _plain(w))
-    return words
+        found = set()
+        for token in set((t or "").lower().split()):
+            word = known.get(token)
+            if word is None:
+                word = token.strip(_TRIM)
+                word = word if word.isalpha() and _plain(word) else ""
+                if len(known) >= CACHE:
+                    known.clear()
+                known[token] = word
+            found.add(word)
+        found.discard("")
+        yield found
 
 
 def restored_words(model: CharacterModel, text: str | None) -> list[str]:
     """The different words of the restored text."""
-    return sorted(set(restore(model, text).split()))
+    lowered = _SPACED.sub(lambda m: _spelled(model, m[0]), (text or "").lower())
+    words: set[str] = set()
+    for token in set(lowered.split()):
+        found = model.read.get(token)
+        if found is None:
+            found = tuple(restore_token(model, token))
+            if len(model.read) >= CACHE:
+                model.read.clear()
+            model.read[token] = found
+        words.update(found)
+    return sorted(words)
+
 
+def features_of(restored: Iterable[list[str]]) -> Iterator[set[str]]:
+    """The features of each document."""
+    return ({f for w in words for f in _features(w)} for words in restored)
 
-def bucket_counts(restored: Iterable[list[str]], labels: Iterable[int]) -> np.ndarray:
-    """How many documents of each label (row) have a feature of each bucket."""
-    seen = np.zeros((2, BUCKETS), dtype=np.int64)
-    for found, k in zip(restored, labels, strict=True):
-        seen[k, np.unique(np.fromiter((_bucket(f) for w in found for f in _features(w)), dtype=np.int64))] += 1
-    return seen
+
+def bags(restored: Iterable[list[str]], chosen: dict[str, int]) -> Iterator[bytes]:
+    """The chosen features of each document, as ascending 32-bit places."""
+    for found in features_of(restored):
+        yield np.array(sorted(chosen[f] for f in found if f in chosen), dtype="<i4").tobytes()
 
 
 def _least(n_often: int) -> float:
@@ -273,105 +314,278 @@ def _least(n_often: int) -> float:
     return 2 * math.log(max(n_often, 2))
 
 
-def bag(words: list[str], telling: np.ndarray | set[int]) -> list[str]:
-    """The features of a document that lie in telling buckets."""
-    held = (lambda f: telling[_bucket(f)]) if isinstance(telling, np.ndarray) else (lambda f: _bucket(f) in telling)
-    return sorted({f for w in words for f in _features(w) if held(f)})
+def fewest(least: float, n_one: int, n_zero: int) -> int:
+    """In how many documents of label 1 a feature has to be for a ratio of ``least``, even if no other document has it."""
+    seen = np.arange(1, n_one + 1, dtype=float)
+    reached = np.flatnonzero(_ratio(seen, np.zeros(n_one), n_one, n_zero) >= least)
+    return int(reached[0]) + 1 if len(reached) else n_one + 1
 
 
 def fit(texts: list[str], labels: list[int], totals: dict[int, int]) -> ToxicityModel:
-    """Learns both models from sampled texts; ``totals`` are the label counts that the sample stands for."""
-    letters = CharacterModel.learn(plain_words(texts))
-    # Documents with each feature are counted by hash bucket first; only the strings of telling buckets are counted as such.
+    """Learns both models from texts; ``totals`` are the label counts that they stand for."""
+    letters = CharacterModel.learn(Counter(w for words in plain_words(texts) for w in words))
     restored = [restored_words(letters, t) for t in texts]
-    zeros, ones = bucket_counts(restored, labels).astype(float)
-    n_one = sum(labels)
-    least = _least(int((ones >= 3).sum()))
-    telling = _ratio(ones, zeros, n_one, len(labels) - n_one) >= 0.5 * least if 0 < n_one < len(labels) else np.zeros(BUCKETS, dtype=bool)
-    return finish(letters, [bag(w, telling) for w in restored], labels, totals, least)
-
-
-def finish(letters: CharacterModel, bags: list[list[str]], labels: list[int], totals: dict[int, int], least: float) -> ToxicityModel:
-    """Chooses the features that the labels tell apart by a ratio of ``least`` and weighs them."""
+    n_one, n_zero = sum(labels), len(labels) - sum(labels)
+    ones, zeros = Counter(), Counter()
+    for k, found in zip(labels, features_of(restored), strict=True):
+        (ones if k else zeros).update(found)
+    least = _least(sum(n >= 3 for n in ones.values()))
+    told = []
+    if n_one and n_zero:
+        often = sorted(ones)
+        ratio = _ratio(np.array([ones[f] for f in often], dtype=float), np.array([zeros[f] for f in often], dtype=float), n_one, n_zero)
+        told = [(often[i], ones[often[i]], zeros[often[i]]) for i in np.argsort(-ratio, kind="stable")[:MOST_FEATURES] if ratio[i] >= least]
+    held = [np.frombuffer(x, dtype="<i4") for x in bags(restored, {f: i for i, (f, _, _) in enumerate(told)})]
+    part = (np.concatenate([*held, np.zeros(0, "<i4")]), np.array([len(x) for x in held]), np.array(labels))
+    return finish(letters, told, n_one, n_zero, totals, lambda x: losses([part], x))
+
+
+def losses(parts: Iterable[tuple[np.ndarray, np.ndarray, np.ndarray]], x: np.ndarray) -> tuple[float, np.ndarray]:
+    """The summed logistic loss of documents and its gradient at weights and intercept ``x``; a part has their features, how many each has and their labels."""
+    w, c = x[:-1], x[-1]
+    loss, slope = 0.0, np.zeros(len(x))
+    for cols, sizes, y in parts:
+        at = np.repeat(np.arange(len(sizes)), sizes)
+        z = c + np.bincount(at, weights=w[cols], minlength=len(sizes))
+        loss += float((np.logaddexp(0, z) - y * z).sum())
+        error = 1 / (1 + np.exp(-np.clip(z, -500, 500))) - y
+        slope[:-1] += np.bincount(cols, weights=error[at], minlength=len(w))
+        slope[-1] += error.sum()
+    return loss, slope
+
+
+def descend(at: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndarray) -> np.ndarray:
+    """Where a convex function of which ``at`` tells value and gradient is least, by L-BFGS; each look is a pass over the documents."""
+    value, slope = at(x)
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(MOST_STEPS):
+        if np.abs(slope).max() < 1e-7:
+            break
+        way, parts = -slope, []
+        for s, y in reversed(held):
+            parts.append((s @ way) / (s @ y))
+            way = way - parts[-1] * y
+        way = way * (held[-1][0] @ held[-1][1] / (held[-1][1] @ held[-1][1]) if held else 1 / np.linalg.norm(slope))
+        for (s, y), a in zip(held, reversed(parts), strict=True):
+            way = way + s * (a - (y @ way) / (s @ y))
+        step, falls = 1.0, slope @ way
+        found, then = at(x + way)
+        while found > value + 1e-4 * step * falls and step > 1e-6:
+            step /= 2
+            found, then = at(x + step * way)
+        if found >= value:
+            break
+        if (s := step * way) @ (y := then - slope) > 0:
+            held = [*held, (s, y)][-10:]
+        done = value - found < 1e-7 * value
+        x, value, slope = x + s, found, then
+        if done:
+            break
+    return x
+
+
+def finish(letters: CharacterModel, told: list[tuple[str, int, int]], n_one: int, n_zero: int, totals: dict[int, int], at: Callable[[np.ndarray], tuple[float, np.ndarray]]) -> ToxicityModel:
+    """Weighs the features ``told`` (with how many documents of label 1 and of label 0 have them); ``at`` gives what :func:`losses` does over the documents."""
     n_all, n_1 = sum(totals.values()), totals.get(1, 0)
-    y = np.array(labels, dtype=float)
-    if not 0 < y.sum() < len(y):
+    if not (n_one and n_zero):
         share = n_1 / n_all if n_all else 0.0
         return ToxicityModel(letters, {}, np.zeros(0), math.log(share / (1 - share)) if 0 < share < 1 else (700.0 if share else -700.0), np.zeros(0))
-    n_one, n_zero = int(y.sum()), int(len(y) - y.sum())
-    ones, zeros = Counter(f for b, k in zip(bags, labels, strict=True) if k for f in b), Counter(f for b, k in zip(bags, labels, strict=True) if not k for f in b)
-    common = sorted(ones)
-    ratio = _ratio(np.array([ones[f] for f in common], dtype=float), np.array([zeros[f] for f in common], dtype=float), n_one, n_zero)
-    chosen = [common[i] for i in np.argsort(-ratio, kind="stable")[:MOST_FEATURES] if ratio[i] >= least]
-    features = {f: i for i, f in enumerate(chosen)}
-    rows, cols = [], []
-    for r, held in enumerate(bags):
-        hit = sorted(features[f] for f in held if f in features)
-        rows += [r] * len(hit)
-        cols += hit
-    rows, cols = np.array(rows, dtype=np.int64), np.array(cols, dtype=np.int64)
-    # Full-batch Adam on the penalised likelihood.
-    w, c = np.zeros(len(chosen)), math.log(y.mean() / (1 - y.mean()))
-    m1, m2 = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
-    for step in range(1, 1501):
-        z = c + np.bincount(rows, weights=w[cols], minlength=len(y))
-        error = (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y) / len(y)
-        g = np.append(np.bincount(cols, weights=error[rows], minlength=len(w)) + 5e-6 * w, error.sum())
-        m1, m2 = 0.9 * m1 + 0.1 * g, 0.999 * m2 + 0.001 * g * g
-        move = 0.1 * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.999**step)) + 1e-9)
-        w, c = w - move[:-1], c - move[-1]
-    prior = math.log(n_1 / (n_all - n_1)) - math.log(y.mean() / (1 - y.mean()))
-    a, b = np.array([ones[f] for f in chosen], dtype=float), np.array([zeros[f] for f in chosen], dtype=float)
-    n = np.maximum(a + b, 1)
-    low = (a / n + CONFIDENCE**2 / (2 * n) - CONFIDENCE * np.sqrt(a * b / n**3 + CONFIDENCE**2 / (4 * n**2))) / (1 + CONFIDENCE**2 / n)
+    docs, start = n_one + n_zero, np.append(np.zeros(len(told)), math.log(n_one / n_zero))
+
+    def penalised(x: np.ndarray) -> tuple[float, np.ndarray]:
+        loss, slope = at(x)
+        return loss / docs + PENALTY / 2 * float(x[:-1] @ x[:-1]), slope / docs + PENALTY * np.append(x[:-1], 0.0)
+
+    x = descend(penalised, start) if told else start
+    prior = math.log(n_1 / (n_all - n_1)) - math.log(n_one / n_zero)
+    a, b = np.array([x for _, x, _ in told], dtype=float), np.array([x for _, _, x in told], dtype=float)
+    k = np.maximum(a + b, 1)
+    low = (a / k + CONFIDENCE**2 / (2 * k) - CONFIDENCE * np.sqrt(a * b / k**3 + CONFIDENCE**2 / (4 * k**2))) / (1 + CONFIDENCE**2 / k)
     low = np.clip(low, 1e-9, 1 - 1e-9)
     alone = np.log(low / (1 - low)) + prior
-    return ToxicityModel(letters, features, w, float(c + prior), np.where(alone >= SURE, alone, -700.0))
+    return ToxicityModel(letters, {f: i for i, (f, _, _) in enumerate(told)}, x[:-1], float(x[-1] + prior), np.where(alone >= SURE, alone, -700.0))
+
+
+class Incidence:
+    """Which features the documents of a batch of restored words have, by arrays. Features get numbers as they are met, or those given."""
+
+    def __init__(self, numbers: dict[str, int] | None = None, held: np.ndarray | None = None):
+        self.fixed, self.held = numbers is not None, held
+        self.numbers: dict[str, int] = {} if numbers is None else numbers
+        self.known: dict[str, tuple[int, ...]] = {}
+
+    def _of(self, word: str) -> tuple[int, ...]:
+        of = self.known.get(word)
+        if of is None:
+            if self.fixed:
+                of = tuple(self.numbers[f] for f in _features(word) if f in self.numbers)
+            else:
+                of = tuple(self.numbers.setdefault(f, len(self.numbers)) for f in _features(word) if self.held is None or self.held[_bucket(f)])
+            if len(self.known) >= CACHE:
+                self.known.clear()
+            self.known[word] = of
+        return of
+
+    def pairs(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(document, feature) of a list column, each once, in this order."""
+        coded = words.flatten().dictionary_encode()
+        of = [self._of(w) for w in coded.dictionary.to_pylist()]
+        sizes = np.fromiter(map(len, of), np.int64, len(of))
+        flat, first = np.fromiter((f for x in of for f in x), np.int64), np.cumsum(sizes) - sizes
+        at = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        doc = np.repeat(np.arange(len(words)), pa.compute.list_value_length(words).fill_null(0).to_numpy(zero_copy_only=False))
+        n = sizes[at]
+        place = np.arange(n.sum()) + np.repeat(first[at] - (np.cumsum(n) - n), n)
+        most = max(len(self.numbers), 1)
+        both = np.unique(np.repeat(doc, n) * most + flat[place])
+        return both // most, both % most
+
+
+def count_features(batches: Iterable[pa.RecordBatch], held: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """How many documents have each feature (of buckets ``held``), in parts whenever a task has met :data:`COUNTED` of them."""
+    incidence, counts = Incidence(held=held), np.zeros(0, np.int64)
+
+    def made() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(incidence.numbers), pa.string()), pa.array(counts)], names=["feature", "n"])
+
+    for batch in batches:
+        _, found = incidence.pairs(batch.column("words"))
+        now = np.bincount(found, minlength=len(incidence.numbers)).astype(np.int64)
+        now[: len(counts)] += counts
+        counts = now
+        if len(counts) >= COUNTED:
+            yield made()
+            incidence, counts = Incidence(held=held), np.zeros(0, np.int64)
+    if len(counts):
+        yield made()
+
+
+def _counted(sets: Iterable[Iterable[str]], name: str) -> Iterator[pa.RecordBatch]:
+    """In how many of the sets each string is, in parts whenever a task has met :data:`COUNTED` of them."""
+    counts: Counter = Counter()
+
+    def made() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=[name, "n"])
+
+    for found in sets:
+        counts.update(found)
+        if len(counts) >= COUNTED:
+            yield made()
+            counts.clear()
+    if counts:
+        yield made()
+
+
+def _column(batches: Iterable[pa.RecordBatch], name: str) -> Iterator:
+    return (x for batch in batches for x in batch.column(name).to_pylist())
+
+
+def learn_letters(texts: DataFrame) -> CharacterModel:
+    """:meth:`CharacterModel.learn` of the plain words of ``texts``, counted in tasks; only what the model keeps comes back."""
+    words = texts.mapInArrow(lambda batches: _counted(plain_words(_column(chunks(batches), "text")), "word"), "word string, n long")
+    words = materialise(words.groupBy("word").agg(F.sum("n").alias("n")), "words")
+
+    def letters(batches):
+        found: Counter = Counter()
+
+        def made() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([c for c, _ in found], pa.string()), pa.array([x for _, x in found], pa.string()), pa.array(list(found.values()), pa.int64())], names=["context", "letter", "n"])
+
+        for batch in batches:
+            found.update(letter_counts(zip(batch.column("word").to_pylist(), batch.column("n").to_pylist(), strict=True)))
+            if len(found) >= COUNTED:
+                yield made()
+                found.clear()
+        yield made()
+
+    spelled = words.mapInArrow(letters, "context string, letter string, n long").groupBy("context", "letter").agg(F.sum("n").alias("n"))
+    spelled = spelled.groupBy("context").agg(F.sum("n").alias("total"), F.collect_list(F.struct("letter", "n")).alias("letters"))
+    spelled = materialise(spelled, "contexts")
+    sizes = lambda df, n: {r["n"]: r["k"] for r in df.groupBy(F.col(n).alias("n")).agg(F.count("*").alias("k")).collect()}
+    least, often = least_kept(sizes(spelled, "total"), MOST_CONTEXTS), least_kept(sizes(words.filter("n > 1"), "n"), MOST_WORDS)
+    kept = spelled.filter(F.col("total") >= least).select("context", "letters").toArrow()
+    counts = {c: {x["letter"]: x["n"] for x in found} for c, found in zip(kept.column("context").to_pylist(), kept.column("letters").to_pylist(), strict=True)}
+    known = words.filter((F.col("n") > 1) & (F.col("n") >= often)).select("word").toArrow()
+    discard(words, spelled)
+    return CharacterModel(counts, frozenset(known.column("word").to_pylist()))
+
+
+def telling(restored: DataFrame, n_one: int, n_zero: int) -> list[Row]:
+    """The features (feature, ones, zeros) that the labels tell apart, best first.
+
+    Features are counted in documents of label 1 first; those too rare there to be told even if no other document had them need no more counting.
+    """
+    ones = restored.filter("label = 1").mapInArrow(lambda batches: count_features(batches), "feature string, n long")
+    ones = materialise(ones.groupBy("feature").agg(F.sum("n").alias("ones")), "ones")
+    least = _least(ones.filter("ones >= 3").count())
+    often = ones.filter(F.col("ones") >= fewest(least, n_one, n_zero))
+
+    def buckets(batches):
+        found = np.unique(np.fromiter((_bucket(f) for f in _column(batches, "feature")), dtype=np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(found)], names=["bucket"])
+
+    held = np.zeros(BUCKETS, dtype=bool)
+    held[often.mapInArrow(buckets, "bucket long").distinct().toArrow().column("bucket").to_numpy()] = True
+    sent = restored.sparkSession.sparkContext.broadcast(held)
+    zeros = restored.filter("label = 0").mapInArrow(lambda batches: count_features(batches, sent.value), "feature string, n long")
+    both = often.join(zeros.groupBy("feature").agg(F.sum("n").alias("zeros")), "feature", "left").fillna(0, ["zeros"]).select("feature", "ones", "zeros")
+
+    def judged(batches):
+        for batch in batches:
+            a, b = (batch.column(c).to_numpy().astype(float) for c in ("ones", "zeros"))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_ratio(a, b, n_one, n_zero))], names=["feature", "ones", "zeros", "ratio"])
 
+    both = both.mapInArrow(judged, "feature string, ones long, zeros long, ratio double").filter(F.col("ratio") >= least)
+    found = both.orderBy(F.desc("ratio"), "feature").limit(MOST_FEATURES).collect()
+    discard(ones)
+    return found
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5, left_out: int = 0, per_class: int = TRAIN_PER_CLASS) -> ToxicityModel:
-    """As :func:`fit`, of a bounded sample: texts are counted, decoded and reduced to telling features in tasks; counts and these features come back."""
-    spark = docs.sparkSession
-    short_batches(spark)
-    sample, totals = labelled_sample(docs, labels, label, per_class, folds, left_out)
-    sample = materialise(sample.repartition(SAMPLE_TASKS), "sample")
 
-    def count(batches):
-        words = plain_words(t for batch in batches for t in batch.column("text").to_pylist())
-        yield pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], names=["word", "n"])
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5, left_out: int = 0, per_class: int | None = None) -> ToxicityModel:
+    """As :func:`fit`, of all labelled documents outside the fold ``left_out``, or of a bounded sample of ``per_class`` of each value.
 
-    found = sample.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
-    letters = CharacterModel.learn(Counter(dict(zip(found.column("word").to_pylist(), found.column("n").to_pylist(), strict=True))))
+    Texts are counted, decoded and reduced to bags of telling features in tasks.
+    """
+    spark = docs.sparkSession
+    short_batches(spark)
+    texts, totals = labelled_texts(docs, labels, label, folds, left_out) if per_class is None else labelled_sample(docs, labels, label, per_class, folds, left_out)
+    texts = materialise(texts, "labelled")
+    letters = learn_letters(texts)
     sent = spark.sparkContext.broadcast(letters)
 
     def restore_all(batches):
-        for batch in batches:
+        for batch in chunks(batches):
             yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array([restored_words(sent.value, t) for t in batch.column("text").to_pylist()], pa.list_(pa.string()))], names=["label", "words"])
 
-    restored = materialise(sample.mapInArrow(restore_all, "label int, words array<string>"), "restored")
-
-    def count_buckets(batches):
-        seen = np.zeros((2, BUCKETS), dtype=np.int64)
-        for batch in batches:
-            seen += bucket_counts(batch.column("words").to_pylist(), batch.column("label").to_pylist())
-        at = np.flatnonzero(seen.any(axis=0))
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[1, at]), pa.array(seen[0, at])], names=["bucket", "ones", "zeros"])
-
-    # Only features that documents of label 1 have can tell them.
-    seen = restored.mapInArrow(count_buckets, "bucket long, ones long, zeros long").groupBy("bucket").agg(F.sum("ones").alias("ones"), F.sum("zeros").alias("zeros")).filter("ones > 0").toArrow()
+    restored = materialise(texts.select("label", "text").mapInArrow(restore_all, "label int, words array<string>"), "restored")
+    discard(texts)
     sizes = {r["label"]: r["n"] for r in restored.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    ones, zeros = (seen.column(c).to_numpy().astype(float) for c in ("ones", "zeros"))
-    least = _least(int((ones >= 3).sum()))
     n_one, n_zero = sizes.get(1, 0), sizes.get(0, 0)
-    telling = set(seen.column("bucket").to_numpy()[_ratio(ones, zeros, n_one, n_zero) >= 0.5 * least].tolist()) if n_one and n_zero and len(ones) else set()
+    told = [(r["feature"], r["ones"], r["zeros"]) for r in telling(restored, n_one, n_zero)] if n_one and n_zero else []
+    chosen = {f: i for i, (f, _, _) in enumerate(told)}
 
-    def bags(batches):
+    def bagged(batches):
+        incidence = Incidence(chosen)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array([bag(w, telling) for w in batch.column("words").to_pylist()], pa.list_(pa.string()))], names=["label", "bag"])
+            doc, cols = incidence.pairs(batch.column("words"))
+            sizes, y = np.bincount(doc, minlength=batch.num_rows), batch.column("label").to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array([x.astype("<i4").tobytes()], pa.binary()) for x in (cols, sizes, y)], names=["cols", "sizes", "labels"])
+
+    packed = materialise(restored.mapInArrow(bagged, "cols binary, sizes binary, labels binary"), "bags")
+    discard(restored)
+
+    def at(x: np.ndarray) -> tuple[float, np.ndarray]:
+        def run(batches):
+            rows = ([np.frombuffer(v, dtype="<i4") for v in row] for batch in batches for row in zip(*[c.to_pylist() for c in batch.columns], strict=True))
+            loss, slope = losses(rows, x)
+            yield pa.RecordBatch.from_arrays([pa.array([loss]), pa.array([slope.tobytes()], pa.binary())], names=["loss", "slope"])
+
+        rows = packed.mapInArrow(run, "loss double, slope binary").collect()
+        return sum(r["loss"] for r in rows), sum(np.frombuffer(r["slope"]) for r in rows)
 
-    rows = sorted((r["bag"], r["label"]) for r in restored.mapInArrow(bags, "label int, bag array<string>").toLocalIterator())
-    discard(sample, restored)
-    return finish(letters, [b for b, _ in rows], [k for _, k in rows], totals, least)
+    model = finish(letters, told, n_one, n_zero, totals, at)
+    discard(packed)
+    return model
 
 
 def score_texts(model: ToxicityModel, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:

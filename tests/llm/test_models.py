@@ -413,3 +413,26 @@ def test_attention_learns_from_document_labels(spark, sf):
     out = quality_classifier.op10_quality_classifier(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id")
     right = out.filter("held_out").agg(F.avg((F.col("predicted") == F.col("quality")).cast("double"))).first()[0]
     assert right >= 0.85
+
+
+def test_toxicity_counts_every_labelled_document(spark):
+    """More documents than any sample that was taken, one of them long, one in parts of a task, and of an id with two labels."""
+    texts, labels = toxic_texts()
+    texts, labels = [f"{t} n{i % 7}" for i in range(27) for t in texts], labels * 27
+    texts[1] = "lodan " * 30_000 + "idiot"
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    marks = spark.createDataFrame([*enumerate(labels), (0, 0), (10**6, 1)], "doc_id long, toxic int")
+    held = [i for i in range(len(texts)) if zlib.crc32(str(i).encode()) % 5 == 0]
+    learned = [i for i in range(len(texts)) if i not in set(held)]
+    model = toxicity.train(docs, marks)
+    whole = toxicity.fit([texts[i] for i in learned], [labels[i] for i in learned], Counter(labels[i] for i in learned) + Counter({1: zlib.crc32(b"1000000") % 5 != 0}))
+    assert len(learned) > 5000 and model.letters.counts["   "]["l"] == sum(len({w for w in texts[i].split() if w[0] == "l" and w.isalpha()}) for i in learned)
+    assert model.letters.counts == whole.letters.counts and model.letters.words == whole.letters.words
+    assert model.features == whole.features and np.allclose(model.weights, whole.weights) and np.allclose(model.alone, whole.alone)
+    score, predicted = toxicity.score_texts(model, [texts[i] for i in held])
+    assert (predicted == np.array([labels[i] for i in held])).mean() > 0.99
+
+
+def test_what_does_not_fit_is_left_out_by_its_count():
+    assert toxicity.least_kept({5: 2, 3: 2, 1: 9}, 4) == 3 and toxicity.least_kept({5: 2, 3: 2, 1: 9}, 3) == 5
+    assert toxicity.least_kept({5: 2}, 1) == 6 and toxicity.least_kept({5: 2}, 2) == toxicity.least_kept({}, 2) == 0
