@@ -74,15 +74,15 @@ def output_rows(queries: DataFrame, kept: DataFrame, column: str = "matched_enti
 
 def validate(matches: DataFrame, cands: DataFrame, queries: DataFrame, targets: DataFrame) -> DataFrame:
     """Our own check of outputs: counts of queries without a row or with several, of matches that are no candidates, of
-    unknown ids and of repeated ids; all zero for a valid output."""
+    unknown ids and of repeated ids; all zero for a valid output. Candidates are rows of comma-joined ids, or pairs (source1_entity_id, id)."""
     split = lambda df, c: df.select("source1_entity_id", F.explode(F.filter(F.split(c, ","), lambda x: x != "")).alias("id"))
-    m, c = split(matches, "matched_entity_ids"), split(cands, "candidate_entity_ids")
+    m, c = split(matches, "matched_entity_ids"), cands if "id" in cands.columns else split(cands, "candidate_entity_ids")
     one = lambda df, name: df.agg(F.count("*").alias(name))
     ids = queries.select(F.col("entity_id").alias("source1_entity_id"))
     parts = [
         one(ids.join(matches, "source1_entity_id", "left_anti"), "missing_rows"),
         one(matches.groupBy("source1_entity_id").count().filter("count > 1"), "repeated_rows"),
-        one(m.join(c.distinct(), ["source1_entity_id", "id"], "left_anti"), "not_candidates"),
+        one(m.join(c, ["source1_entity_id", "id"], "left_anti"), "not_candidates"),
         one(m.join(targets.select(F.col("entity_id").alias("id")), "id", "left_anti"), "unknown_ids"),
         one(m.groupBy("source1_entity_id", "id").count().filter("count > 1"), "repeated_ids"),
     ]

@@ -314,3 +314,12 @@ def test_boosting_sums_equal_rows_once(symmetric, monkeypatch):
         first = boosting.fit(x, y, boosting.Growth(True, 1, depth=1)).trees[0]
         assert (first.feature[0], first.threshold[0]) == (f, pytest.approx(c))
     assert len(model.trees) == 5
+
+
+def test_validator_takes_candidates_as_pairs(spark):
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "entity_id string")
+    matches = spark.createDataFrame([("S1-1", "S2-1,S2-2,S2-2"), ("S1-2", "S3-9"), ("S1-2", "")], "source1_entity_id string, matched_entity_ids string")
+    rows = spark.createDataFrame([("S1-1", "S2-1,S3-1"), ("S1-2", "S3-9")], "source1_entity_id string, candidate_entity_ids string")
+    pairs = spark.createDataFrame([("S1-1", "S2-1"), ("S1-1", "S2-1"), ("S1-1", "S3-1"), ("S1-2", "S3-9")], "source1_entity_id string, id string")
+    found = [matching.validate(matches, c, ids("S1-1", "S1-2", "S1-3"), ids("S2-1", "S2-2", "S3-1")).first() for c in (rows, pairs)]
+    assert found[0] == found[1] and tuple(found[0]) == (1, 1, 2, 1, 1)
