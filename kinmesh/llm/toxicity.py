@@ -25,6 +25,7 @@ import zlib
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -64,6 +65,9 @@ _HIDDEN = re.compile(rf"[{_SIGN}]\w|\w[@$!|+€(]\w|([^\W\d_])\1\1|^\w(?:[.\-_*~
 _LETTER = re.compile(r"[^\W\d_]")
 _FINAL = re.compile(rf"[^\W\d_][{_SIGN}]+$")
 _DOUBTFUL = re.compile(r"[^\W_][.\-_*~]+[^\W_]|([^\W\d_])\1")
+_THRICE = re.compile(r"(.)\1\1")
+#: Doubled letters of a token whose readings are looked up one by one.
+MOST_DOUBLED = 6
 _SPACED = re.compile(r"(?<!\S)[^\W_](?:[\s.\-_*~]+[^\W_]){2,}(?!\w)")
 
 
@@ -110,12 +114,15 @@ class CharacterModel:
 
 def letter_counts(words: Iterable[tuple[str, int]]) -> Counter:
     """How often each letter follows each context of up to three letters, from words and how often they occur."""
-    counts: Counter = Counter()
+    grams: Counter = Counter()
     for word, n in words:
         padded = " " * (ORDER - 1) + word + " "
-        for i in range(ORDER - 1, len(padded)):
-            for m in range(ORDER):
-                counts[padded[i - m : i], padded[i]] += n
+        for i in range(len(word) + 1):
+            grams[padded[i : i + ORDER]] += n
+    counts: Counter = Counter()
+    for gram, n in grams.items():  # shorter contexts are the ends of the longest ones
+        for m in range(ORDER):
+            counts[gram[ORDER - 1 - m : ORDER - 1], gram[-1]] += n
     return counts
 
 
@@ -181,11 +188,14 @@ class ToxicityModel:
     alone: np.ndarray
     #: Beginnings of the words among the features.
     heads: frozenset[str] = field(init=False, repr=False, compare=False)
-    #: Features of recent tokens; each worker process has its own for each model.
-    seen: dict[str, tuple[int, ...]] = field(default_factory=dict, repr=False, compare=False)
+    #: First letters of the word beginnings among the features, as many as the shortest beginning has.
+    begun: frozenset[str] = field(init=False, repr=False, compare=False)
+    #: Features of recent tokens, and what a cut word would begin with there; each worker process has its own for each model.
+    seen: dict[str, tuple[tuple[int, ...], str]] = field(default_factory=dict, repr=False, compare=False)
 
     def __post_init__(self):
         self.heads = frozenset(w[:n] for w in self.features if w[-1:] != "~" for n in range(1, len(w)))
+        self.begun = beginnings(self.features)
 
     def __getstate__(self):
         return self.__dict__ | {"seen": {}}
@@ -195,17 +205,34 @@ def _plain(word: str) -> bool:
     return not (_HIDDEN.search(word) or _FINAL.search(word))
 
 
+def _may_be_known(words: frozenset[str], token: str) -> bool:
+    """Whether any reading of a plain token is a known word: without its fillers, each doubled letter written twice or once."""
+    if any(c in LEET or c.isspace() for c in token):
+        return True  # signs that stand for letters are for the lattice
+    parts, before = [], ""
+    for c in token:
+        if c not in FILLERS:
+            parts.append((c, "") if c == before else (c,))
+        before = c
+    return sum(len(x) > 1 for x in parts) > MOST_DOUBLED or any("".join(x) in words for x in product(*parts))
+
+
 def restore_token(model: CharacterModel, token: str) -> list[str]:
     """The words that a token of the lower-cased text stands for."""
     core = token.strip(_TRIM)
     if not core:
         return []
+    if core in model.words and token[0] not in "$@":
+        return [core]  # known words are plain
     if not _LETTER.search(core):
         return [core]
     if _plain(token if token[0] in "$@" else core):
         if core in model.words or not _DOUBTFUL.search(core):
             return [core]
-        found = decode(model, unicodedata.normalize("NFC", core)).split()
+        composed = unicodedata.normalize("NFC", core)
+        if not _may_be_known(model.words, composed):
+            return [core]
+        found = decode(model, composed).split()
         return found if found and all(w in model.words for w in found) else [core]
     hidden = token.rstrip(_TRIM) if token[0] in "$@" else core
     hidden = unicodedata.normalize("NFC", hidden)
@@ -216,16 +243,28 @@ def _spelled(model: CharacterModel, stretch: str) -> str:
     return decode(model, re.sub(r"\s+", " ", stretch))
 
 
-def restore_cut(words: frozenset[str], features: dict[str, int], heads: frozenset[str], tokens: list[str]) -> list[str]:
-    """Words among the features that white space cuts into neighbouring tokens, not all of them known words."""
+def _beginning(heads: frozenset[str], token: str) -> str:
+    """What a word that white space cuts would begin with at a token; '' if none begins so."""
+    joined = token if token in heads else token.lstrip(_TRIM)
+    return joined if joined in heads else ""
+
+
+def restore_cut(words: frozenset[str], features: dict[str, int], heads: frozenset[str], tokens: list[str], begins: dict[str, str] | None = None) -> list[str]:
+    """Words among the features that white space cuts into neighbouring tokens, not all of them known words. ``begins``: what :func:`_beginning` is for the tokens that have one."""
     found = []
+    if begins is None:
+        begins = {t: b for t in set(tokens) if (b := _beginning(heads, t))}
+    if not begins:
+        return found
     for i, token in enumerate(tokens):
-        joined = token if token in heads else token.lstrip(_TRIM)
-        if joined not in heads:
+        if token not in begins:
             continue
+        joined = begins[token]
         unknown = joined not in words
         for k in range(i + 1, len(tokens)):  # ends soon: each step needs a longer beginning
             after = tokens[k]
+            if (first := joined + after[0]) not in heads and first not in features:
+                break
             core = after.rstrip(_TRIM)
             unknown = unknown or core not in words
             if core and unknown and joined + core in features:
@@ -251,6 +290,30 @@ def _features(word: str) -> list[str]:
     return [word, *(f"{word[:n]}~" for n in PREFIXES if n <= len(word))]
 
 
+def beginnings(features: Iterable[str]) -> frozenset[str]:
+    """First letters of the word beginnings among features, as many as the shortest beginning has."""
+    return frozenset(f[: PREFIXES[0]] for f in features if f[-1:] == "~")
+
+
+def _among(word: str, features: dict[str, int], begun: frozenset[str]) -> list[int]:
+    """The numbers of a word's features; ``begun`` are their :func:`beginnings`."""
+    if word[: PREFIXES[0]] in begun:
+        return [features[f] for f in _features(word) if f in features]
+    return [features[word]] if word in features else []
+
+
+def _held(word: str, held: bytes) -> list[str]:
+    """Those features of a word that may be often, by the buckets of features that are. No document has a longer beginning, or the word, without the shorter ones."""
+    found = []
+    for n in PREFIXES:
+        if n > len(word):
+            break
+        if not held[_bucket(f := f"{word[:n]}~")]:
+            return found
+        found.append(f)
+    return [word, *found] if held[_bucket(word)] else found
+
+
 def _bucket(feature: str) -> int:
     return zlib.crc32(feature.encode("utf-8", "replace")) & (BUCKETS - 1)
 
@@ -274,7 +337,7 @@ def plain_words(texts: Iterable[str | None]) -> Iterator[set[str]]:
             word = known.get(token)
             if word is None:
                 word = token.strip(_TRIM)
-                word = word if word.isalpha() and _plain(word) else ""
+                word = word if word.isalpha() and not _THRICE.search(word) else ""  # letters alone hide nothing else
                 if len(known) >= CACHE:
                     known.clear()
                 known[token] = word
@@ -410,17 +473,18 @@ class Incidence:
     """Which features the documents of a batch of restored words have, by arrays. Features get numbers as they are met, or those given."""
 
     def __init__(self, numbers: dict[str, int] | None = None, held: np.ndarray | None = None):
-        self.fixed, self.held = numbers is not None, held
+        self.fixed, self.held = numbers is not None, None if held is None else held.tobytes()
         self.numbers: dict[str, int] = {} if numbers is None else numbers
+        self.begun = beginnings(self.numbers)
         self.known: dict[str, tuple[int, ...]] = {}
 
     def _of(self, word: str) -> tuple[int, ...]:
         of = self.known.get(word)
         if of is None:
             if self.fixed:
-                of = tuple(self.numbers[f] for f in _features(word) if f in self.numbers)
+                of = tuple(_among(word, self.numbers, self.begun))
             else:
-                of = tuple(self.numbers.setdefault(f, len(self.numbers)) for f in _features(word) if self.held is None or self.held[_bucket(f)])
+                of = tuple(self.numbers.setdefault(f, len(self.numbers)) for f in (_features(word) if self.held is None else _held(word, self.held)))
             if len(self.known) >= CACHE:
                 self.known.clear()
             self.known[word] = of
@@ -437,7 +501,8 @@ class Incidence:
         n = sizes[at]
         place = np.arange(n.sum()) + np.repeat(first[at] - (np.cumsum(n) - n), n)
         most = max(len(self.numbers), 1)
-        both = np.unique(np.repeat(doc, n) * most + flat[place])
+        both = np.sort(np.repeat(doc, n) * most + flat[place])
+        both = both[np.flatnonzero(np.diff(both, prepend=-1))]
         return both // most, both % most
 
 
@@ -591,7 +656,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int =
 def score_texts(model: ToxicityModel, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """score and predicted for each text."""
     cache = model.seen
-    features, nothing = model.features, ()
+    features, begun, nothing = model.features, model.begun, ((), "")
     z = np.full(len(texts), model.intercept)
     for i, text in enumerate(texts):
         if not text:
@@ -599,17 +664,22 @@ def score_texts(model: ToxicityModel, texts: list[str | None]) -> tuple[np.ndarr
         lowered = text.lower()
         tokens = lowered.split()
         hit: set[int] = set()
+        begins: dict[str, str] = {}
         for token in set(tokens):
             found = cache.get(token)
             if found is None:
-                found = tuple({features[f] for w in restore_token(model.letters, token) for f in _features(w) if f in features}) or nothing
+                own, begin = tuple({x for w in restore_token(model.letters, token) for x in _among(w, features, begun)}), _beginning(model.heads, token)
+                found = (own, begin) if own or begin else nothing
                 if len(cache) >= CACHE:
                     cache.clear()
                 cache[token] = found
-            if found:
-                hit.update(found)
-        hit.update(features[f] for w in restore_spaced(model.letters, lowered) for f in _features(w) if f in features)
-        hit.update(features[f] for w in restore_cut(model.letters.words, features, model.heads, tokens) for f in _features(w) if f in features)
+            if found is not nothing:
+                own, begin = found
+                hit.update(own)
+                if begin:
+                    begins[token] = begin
+        hit.update(x for w in restore_spaced(model.letters, lowered) for x in _among(w, features, begun))
+        hit.update(x for w in restore_cut(model.letters.words, features, model.heads, tokens, begins) for x in _among(w, features, begun))
         if hit:
             at = list(hit)
             z[i] = max(z[i] + model.weights[at].sum(), model.alone[at].max())

@@ -436,3 +436,31 @@ def test_toxicity_counts_every_labelled_document(spark):
 def test_what_does_not_fit_is_left_out_by_its_count():
     assert toxicity.least_kept({5: 2, 3: 2, 1: 9}, 4) == 3 and toxicity.least_kept({5: 2, 3: 2, 1: 9}, 3) == 5
     assert toxicity.least_kept({5: 2}, 1) == 6 and toxicity.least_kept({5: 2}, 2) == toxicity.least_kept({}, 2) == 0
+
+
+def test_tokens_that_no_known_word_explains_are_not_decoded(monkeypatch):
+    texts, labels = toxic_texts()
+    m = toxicity.fit(texts, labels, {0: 160, 1: 80}).letters
+    decoded, real = [], toxicity.decode
+    monkeypatch.setattr(toxicity, "decode", lambda model, token: decoded.append(token) or real(model, token))
+    assert toxicity.restore_token(m, "qwzzter") == ["qwzzter"] and toxicity.restore_token(m, "xx-yyqq") == ["xx-yyqq"] and not decoded
+    word = next(w for w in sorted(m.words) if not re.search(r"(.)\1", w))
+    for token in (word[0] + word, word[:2] + "-" + word[2:], f"{word[:3]}{word[2:]}"):  # a known word explains these
+        decoded.clear()
+        found = real(m, token).split()
+        assert toxicity.restore_token(m, token) == (found if found and all(w in m.words for w in found) else [token]) and decoded == [token]
+
+
+def test_letter_counts_and_buckets_are_those_of_plain_counting():
+    words = [("lodan", 3), ("a", 2), ("", 1), ("ññarr", 1)]
+    brute = Counter()
+    for w, n in words:
+        padded = "   " + w + " "
+        for i in range(3, len(padded)):
+            for k in range(4):
+                brute[padded[i - k : i], padded[i]] += n
+    assert toxicity.letter_counts(words) == brute
+    held = np.zeros(toxicity.BUCKETS, dtype=bool)
+    held[[toxicity._bucket(f) for f in ("marv~", "marve~", "tell~", "cat", "telling", "sing~")]] = True
+    assert set(toxicity._held("marvel", held.tobytes())) == {"marv~", "marve~"} and toxicity._held("cat", held.tobytes()) == ["cat"]
+    assert toxicity._held("telling", held.tobytes()) == ["tell~"]  # often itself only if its beginnings are
