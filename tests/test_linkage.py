@@ -116,6 +116,14 @@ def test_rule_and_gates(spark):
     assert matching.hybrid(both).count() == 0 and matching.hybrid(both, 0.83).count() == 4
 
 
+def test_rule_bounds_are_met_by_similarities_that_equal_them(spark):
+    rows = [(0.95 * (10 / 19), 1.0), (1.0, 0.95 * (18 / 19)), (0.499, 1.0), (1.0, 0.899)]  # the first two are 0.5 and 0.9 but for their last bits
+    assert rows[0][0] < 0.5 and rows[1][1] < 0.9
+    pairs = spark.createDataFrame(rows, "name double, addr double")
+    got = [r[0] for r in pairs.select(matching.combine(F.col("name"), F.col("addr"), F.lit(True))).collect()]
+    assert got == pytest.approx([0.75, 0.95, 0.6 * 0.499 + 0.4, 0.6 + 0.4 * 0.899])
+
+
 def test_country_filter_and_validation_finds_faults(spark):
     s1, s2 = frames(spark)
     linked = pipeline.link(s1, s2, country="India")
